@@ -60,14 +60,17 @@ def prefix(values: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a text column: ``start``/``end`` bytes, ``first`` word of each row (rows + 1 entries)."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, space: np.ndarray = SPACE, fold: np.ndarray | None = None):
+        """space: which bytes part words; fold: what each byte reads as."""
         column = binary(column)
         off = offsets_of(column)
         buf = column.buffers()[2]
         self.bytes = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.zeros(0, np.uint8)
+        if fold is not None:
+            self.bytes = fold[self.bytes]
         self.off = off - off[0]
         n = len(self.bytes)
-        word = ~SPACE[self.bytes]
+        word = ~space[self.bytes]
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             before[1:], after[:-1] = word[:-1], word[1:]
