@@ -1,0 +1 @@
+"""Nothing to stream: statements are whole files, and every plan here is a batch plan."""
