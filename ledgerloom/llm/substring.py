@@ -7,15 +7,15 @@ some shift below the period puts both on cover positions.  An anchor hashes the
 an anchor that lies inside both, aligned.
 
 1. Anchors of every text are hashed; those that occur in two different texts are
-   shared (least and greatest text key per hash, aggregated before the shuffle).
+   shared (least and greatest text key per hash).
 2. Around each shared anchor the match is extended to every whole window that
    holds it, hashed to 128 bits; the least doc_id per window hash decides.
 3. Words covered by a window that starts in a smaller document are removed.
 
 Equal texts are one text with its least doc_id as owner; in the other copies all
-windows start in a smaller document.  Hot passages: both joins are on aggregates
-with one row per key, which adaptive execution can split, and no group of
-documents is ever gathered.
+windows start in a smaller document, and a task emits a text's anchors once.
+Hot passages: joins are on aggregates with one row per key, windows are
+aggregated before their shuffle, and no group of documents is ever gathered.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
 repeated rows (same doc_id and text) are no smaller document than each other and
@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_text, steps
@@ -38,6 +38,8 @@ from .vechash import Words
 
 LENGTH = 50
 PERIOD = 31
+#: A task forgets the texts it has met at so many; copies then only cost rows.
+SEEN_TEXTS = 1_000_000
 
 
 def difference_cover(period: int) -> list[int]:
@@ -61,14 +63,22 @@ def anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
     size = length - period + 1
 
     def run(batches):
+        seen: set[int] = set()
         for b in steps(batches):
             w = Words(b.column("text"))
             at = w.inside(size)
             row = w.row()[at] if len(at) else at
             pos = at - w.first[row]
-            keep = cover[pos % period] & (w.count[row] >= length)
-            at, row, pos = at[keep], row[keep], pos[keep]
             h1 = b.column("h1").to_numpy(zero_copy_only=False)
+            new = np.zeros(len(h1), bool)  # a copy adds nothing: anchors are told apart by text
+            for k, h in enumerate(h1.tolist()):
+                if h not in seen:
+                    new[k] = True
+                    seen.add(h)
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
+            keep = cover[pos % period] & (w.count[row] >= length) & new[row]
+            at, row, pos = at[keep], row[keep], pos[keep]
             yield pa.RecordBatch.from_arrays([_signed(w.windows(size)[at]), pa.array(h1[row]), pa.array(pos.astype(np.int32))], ["anchor", "h1", "pos"])
 
     return texts.select("h1", "text").mapInArrow(run, "anchor long, h1 long, pos int")
@@ -95,10 +105,10 @@ def windows(texts: DataFrame, length: int, period: int) -> DataFrame:
             np.add.at(held, w.first[row][ok] + hi[ok] + 1, -1)
             at = np.flatnonzero(np.cumsum(held)[:-1] > 0)
             row = w.row()[at]
-            cols = [_signed(w.windows(length, f)[at]) for f in (0, 1)] + [pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("h1", "h2", "doc_id")]
+            cols = [_signed(w.windows(length, f)[at]) for f in (0, 1)] + [pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("h1__", "h2__", "owner")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array((at - w.first[row]).astype(np.int32))], ["w1", "w2", "h1", "h2", "doc_id", "pos"])
 
-    return texts.select("h1", "h2", "doc_id", "text", "at").mapInArrow(run, "w1 long, w2 long, h1 long, h2 long, doc_id long, pos int")
+    return texts.mapInArrow(run, "w1 long, w2 long, h1 long, h2 long, doc_id long, pos int")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
@@ -106,19 +116,26 @@ def removals(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> Dat
 
     ``docs`` needs ``doc_id`` (long) and ``text`` (string); a row for each row.
     """
-    keyed = docs.withColumn("__h1", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("__h2", F.xxhash64(F.lit(length), F.coalesce("text", F.lit(""))))
-    texts = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
-    seen = anchors(texts, length, period)
-    shared = seen.groupBy("anchor").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("anchor")
-    spots = seen.join(shared, "anchor").groupBy("h1").agg(F.collect_set("pos").alias("at"))
-    owners = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
+    names = docs.columns
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn("h1__", F.xxhash64(text)).withColumn("h2__", F.xxhash64(F.lit(length), text))
+    # One shuffle of anchors: their least and greatest text stand beside each of them.
+    seen = anchors(docs.select(F.xxhash64(text).alias("h1"), text.alias("text")), length, period)
+    alike = Window.partitionBy("anchor")
+    shared = seen.withColumn("a", F.min("h1").over(alike)).withColumn("b", F.max("h1").over(alike)).filter("a < b")
+    spots = shared.groupBy("h1").agg(F.collect_set("pos").alias("at"))
+    owners = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(length), text).alias("h2")).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
     near = owners.filter("owner is not null").join(spots, "h1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner", "at")
-    held = texts.join(near, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("doc_id") == F.col("owner")))
+    same = (F.col("h1__") == F.col("k1")) & (F.col("h2__") == F.col("k2"))
+    # All columns go to the worker, so that this and the last join read one shuffle of the texts.
+    # A plain equality would filter null ids below the shuffle, and make it another one.
+    own = F.coalesce(F.col("doc_id").cast("long") == F.col("owner"), F.lit(False))
+    held = keyed.join(near, same).filter(own).select(*names, "h1__", "h2__", "owner", "at")
     found = windows(held, length, period)
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     cut = found.join(least, ["w1", "w2"]).filter("doc_id > least").groupBy("h1", "h2").agg(F.collect_set("pos").alias("cut"))
     marks = owners.join(cut, ["h1", "h2"], "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("owner").alias("__owner"), F.col("cut").alias("__cut"))
-    return keyed.join(marks, (F.col("__h1") == F.col("k1")) & (F.col("__h2") == F.col("k2"))).drop("k1", "k2", "__h1", "__h2")
+    return keyed.join(marks, same).select(*names, "__owner", "__cut")
 
 
 def covered(batch: pa.RecordBatch, length: int) -> tuple[Words, np.ndarray]:
