@@ -51,7 +51,7 @@ def grams(w: Words):
     for k, n in ((2, 3), (3, 5)):
         code = w.bytes.astype(np.uint64)
         for j in range(1, n):
-            code[: len(code) - j] |= w.bytes[j:].astype(np.uint64) << U(8 * j)
+            code[: max(0, len(code) - j)] |= w.bytes[j:].astype(np.uint64) << U(8 * j)
         inside = np.arange(len(code)) + n <= w.off[1:][row] if len(code) else np.zeros(0, bool)
         yield (mix(code[inside]) & part).astype(np.int32) + k * (BUCKETS // 4), row[inside], np.maximum(size - n + 1, 0)
 

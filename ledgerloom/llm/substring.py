@@ -85,14 +85,14 @@ def anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
 
 
 def windows(texts: DataFrame, length: int, period: int) -> DataFrame:
-    """(w1, w2, h1, h2, doc_id, pos) of each window that holds a shared anchor (``at``: its positions)."""
+    """(w1, w2, h1, h2, doc_id, pos) of each window that holds a shared anchor (``__at``: its positions)."""
     size = length - period + 1
 
     def run(batches):
         for b in steps(batches):
             w = Words(b.column("text"))
             held = np.zeros(len(w.start) + 1, np.int64)  # starts and ends of runs of window starts
-            lists = b.column("at")
+            lists = b.column("__at")
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(b.num_rows), n)
             pos = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -105,7 +105,7 @@ def windows(texts: DataFrame, length: int, period: int) -> DataFrame:
             np.add.at(held, w.first[row][ok] + hi[ok] + 1, -1)
             at = np.flatnonzero(np.cumsum(held)[:-1] > 0)
             row = w.row()[at]
-            cols = [_signed(w.windows(length, f)[at]) for f in (0, 1)] + [pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("h1__", "h2__", "owner")]
+            cols = [_signed(w.windows(length, f)[at]) for f in (0, 1)] + [pa.array(b.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("h1__", "h2__", "__first")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array((at - w.first[row]).astype(np.int32))], ["w1", "w2", "h1", "h2", "doc_id", "pos"])
 
     return texts.mapInArrow(run, "w1 long, w2 long, h1 long, h2 long, doc_id long, pos int")
@@ -125,16 +125,16 @@ def removals(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> Dat
     shared = seen.withColumn("a", F.min("h1").over(alike)).withColumn("b", F.max("h1").over(alike)).filter("a < b")
     spots = shared.groupBy("h1").agg(F.collect_set("pos").alias("at"))
     owners = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(length), text).alias("h2")).groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
-    near = owners.filter("owner is not null").join(spots, "h1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "owner", "at")
-    same = (F.col("h1__") == F.col("k1")) & (F.col("h2__") == F.col("k2"))
+    near = owners.filter("owner is not null").join(spots, "h1").select(F.col("h1").alias("__k1"), F.col("h2").alias("__k2"), F.col("owner").alias("__first"), F.col("at").alias("__at"))
+    same = (F.col("h1__") == F.col("__k1")) & (F.col("h2__") == F.col("__k2"))
     # All columns go to the worker, so that this and the last join read one shuffle of the texts.
     # A plain equality would filter null ids below the shuffle, and make it another one.
-    own = F.coalesce(F.col("doc_id").cast("long") == F.col("owner"), F.lit(False))
-    held = keyed.join(near, same).filter(own).select(*names, "h1__", "h2__", "owner", "at")
+    own = F.coalesce(F.col("doc_id").cast("long") == F.col("__first"), F.lit(False))
+    held = keyed.join(near, same).filter(own).select(*names, "h1__", "h2__", "__first", "__at")
     found = windows(held, length, period)
     least = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     cut = found.join(least, ["w1", "w2"]).filter("doc_id > least").groupBy("h1", "h2").agg(F.collect_set("pos").alias("cut"))
-    marks = owners.join(cut, ["h1", "h2"], "left").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("owner").alias("__owner"), F.col("cut").alias("__cut"))
+    marks = owners.join(cut, ["h1", "h2"], "left").select(F.col("h1").alias("__k1"), F.col("h2").alias("__k2"), F.col("owner").alias("__owner"), F.col("cut").alias("__cut"))
     return keyed.join(marks, same).select(*names, "__owner", "__cut")
 
 
