@@ -18,7 +18,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Unicode's White_Space characters.
 SPACES = "\t-\r \x85\xa0  -     　"
-CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: A word of Latin letters before a space, comma, stop or line end is a whole pre-token with the space before it.
+CHUNK = re.compile(f" [A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.\\n])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
 TABLE_CHUNKS = 400_000
 LONG_CHUNK = 128
 
