@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import id_text
 
 #: Texts beyond this are left out of the sample (never of the scoring).
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 20_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> tuple[list[str], list[int]]:

@@ -30,7 +30,7 @@ from .labelled import sample
 from .quality import platt
 from .vechash import U, Words, mix
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2500
 WINDOW = 24
 STRIDE = WINDOW // 2
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 14, 1 << 15, 8, 8
@@ -320,7 +320,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """(doc_id, held_out, score, predicted), a row for each row."""
 
     def run(batches):
-        for b in steps(batches, size=2 << 20):
+        for b in steps(batches):
             p = model.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.astype(np.float64)), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
