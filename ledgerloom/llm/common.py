@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker takes at a time (one row may be larger).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 _shipped: set[str] = set()
