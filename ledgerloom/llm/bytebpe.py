@@ -20,6 +20,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SPACES = "\t-\r \x85\xa0  -     　"
 #: A word of Latin letters before a space, comma, stop or line end is a whole pre-token with the space before it.
 CHUNK = re.compile(f" [A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ ,.\\n])|[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+WHITE = frozenset(re.findall(f"[{SPACES}]", "".join(map(chr, range(0x3001)))))
 TABLE_CHUNKS = 400_000
 LONG_CHUNK = 128
 
@@ -45,7 +46,17 @@ def token_bytes(path: str) -> np.ndarray:
 
 class Ids:
     def __init__(self, path: str):
-        self.tok, self.table = tokenizer(path), {}
+        self.tok, self.table, self.width = tokenizer(path), {}, token_bytes(path)
+
+    def _divide(self, part: list[str]) -> None:
+        """Encode the joined chunks and give each its ids."""
+        ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(c.encode()) for c in part])
+        cuts = (4 * (np.searchsorted(np.cumsum(self.width[ids]), ends) + 1)).tolist()
+        data, a = ids.tobytes(), 0
+        for c, b in zip(part, cuts, strict=True):
+            self.table[c] = data[a:b]
+            a = b
 
     def of(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -58,8 +69,14 @@ class Ids:
             if len(table) + len(new) > TABLE_CHUNKS:
                 table.clear()
                 new = list(set(chunks))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
+            # Chunks from white space to something else stay apart when joined: they are encoded together and
+            # divided by the bytes that their tokens stand for.
+            joined = [c for c in new if c[0] in WHITE and c[-1] not in WHITE]
+            for at in range(0, len(joined), 1024):
+                self._divide(joined[at : at + 1024])
+            alone = [c for c in new if c not in table]
+            for at in range(0, len(alone), 4096):
+                part = alone[at : at + 4096]
                 for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     table[c] = np.array(e.ids, "<u4").tobytes()
             rare = new if len(table) > 2 * TABLE_CHUNKS else [c for c in new if len(c) > LONG_CHUNK]
