@@ -1,0 +1,95 @@
+"""The pipeline's near-dedup stage against brute force on the words themselves."""
+
+from __future__ import annotations
+
+import random
+from itertools import combinations
+
+import corpus_pipeline
+import numpy as np
+import pytest
+from ledgerloom.llm import jaccard
+from ledgerloom.llm.common import ship
+from ledgerloom.llm.simhash import LOWER, WORD
+
+SCHEMA = "doc_id long, text string, n_chars long"
+
+
+def _grams(text):
+    w = WORD.findall((text or "").encode().translate(LOWER))
+    return frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)])
+
+
+def _groups(rows):
+    """Row number -> root, by all pairs."""
+    sets, root = [_grams(t) for _, t in rows], list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        p, q = sets[a], sets[b]
+        if min(len(p), len(q)) * 5 >= 4 * max(len(p), len(q)) and 5 * len(p & q) >= 4 * len(p | q) and root[a] != root[b]:
+            old = root[b]
+            root = [root[a] if r == old else r for r in root]
+    return root
+
+
+def _copies():
+    """Texts and copies of them with a few to many words changed, some just at 0.8; copies of copies; a hot group."""
+    r, out = random.Random(8), [None, "", " ", "one two", "One  two", "three four five six"]
+    vocabulary = [f"w{k}" for k in range(3000)]
+    for n in (5, 9, 24, 60, 150, 400, 1200):
+        base = [r.choice(vocabulary) for _ in range(n)]
+        out.append(" ".join(base))
+        for share in (0.01, 0.02, 0.022, 0.025, 0.03, 0.05, 0.1):
+            copy = [r.choice(vocabulary) if r.random() < share else w for w in base]
+            out += [" ".join(copy), " ".join(copy[: int(n * 0.85)]), " ".join(copy).upper()]
+    base = [r.choice(vocabulary) for _ in range(80)]
+    hot = [[r.choice(vocabulary) if r.random() < r.choice([0.005, 0.02, 0.04]) else w for w in base] for _ in range(80)]
+    return out + [" ".join(w) for w in hot] + [" ".join(base[:40] + [r.choice(vocabulary) for _ in range(60)]) for _ in range(20)]
+
+
+def _least(rows):
+    best = {}
+    for (i, _), g in zip(rows, _groups(rows), strict=True):
+        best[g] = min(i, best.get(g, i))
+    return sorted(best.values())
+
+
+@pytest.mark.parametrize("common", [0, 10_000])
+def test_stage_equals_brute_force(spark, monkeypatch, common):
+    ship(spark)
+    if not common:
+        monkeypatch.setattr(jaccard, "COMMON", 1)
+    else:
+        monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    rows = [((i * 37) % 1009, t) for i, t in enumerate(_copies())]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], SCHEMA).repartition(5)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns and sorted(x.doc_id for x in got.collect()) == _least(rows)
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_on_documents(spark):
+    ship(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _least(rows)
+
+
+def test_failed_links_hide_no_pair(spark, monkeypatch):
+    """Bitmaps that tell nothing: the forest is full of failed links, and the second look finds what they hid."""
+    ship(spark)
+    monkeypatch.setattr(jaccard, "bitmap", lambda h: bytes(32))
+    rows = list(enumerate(_copies()))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _least(rows)
+
+
+def test_bitmaps_keep_every_pair():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 60, 64, 65, 300, 3000, 20_000):
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        for cut in (0, n // 9, n // 5):
+            b = np.concatenate([a[cut:], r.integers(0, 2**63, n // 50, dtype=np.uint64)])
+            both = n - cut
+            if 5 * both >= 4 * (n + len(b) - both):
+                found = jaccard.pairs_of(np.array([1, 2]), np.array([n, len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array([1, 2]), True)
+                assert len(found) == 1
