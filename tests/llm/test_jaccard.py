@@ -93,3 +93,16 @@ def test_bitmaps_keep_every_pair():
             if 5 * both >= 4 * (n + len(b) - both):
                 found = jaccard.pairs_of(np.array([1, 2]), np.array([n, len(b)]), [jaccard.bitmap(a), jaccard.bitmap(b)], np.array([1, 2]), True)
                 assert len(found) == 1
+
+
+def test_one_row_of_each_component(spark):
+    """Where a doc_id repeats, texts of other components stay, and near copies go."""
+    ship(spark)
+    r = random.Random(2)
+    a, b, c, d = (" ".join(f"{x}{r.randrange(500)}" for _ in range(60)) for x in "abcd")
+    rows = [(1, a, 1), (5, a + " more", 2), (5, b, 3), (5, b + " more", 4), (5, b, 3), (5, b.upper(), 6), (5, d, 9), (7, c, 7), (7, c, 7), (None, a, 8), (None, a, 8)]
+    for part in (1, 4):
+        got = [tuple(x) for x in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA).repartition(part), "").collect()]
+        named = [x for x in got if x[0] is not None]
+        assert len(got) == 6 and (1, a, 1) in named and (7, c, 7) in named
+        assert sorted(t[:5].lower() for i, t, _ in named if i == 5) == [b[:5], d[:5]]
