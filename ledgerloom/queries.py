@@ -260,6 +260,20 @@ MASKED = BASE + """SELECT masked, count(*) AS n FROM (
  UNION ALL SELECT 'Trans Post' FROM (SELECT DISTINCT doc_id, page_no FROM b WHERE o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2))) GROUP BY 1"""
 
 
+def masked_layout_lines(spark, sf_dir):
+    """Every masked text of the pages of dialect A, with its lines."""
+    return facts.masked_layout(_words(spark, sf_dir, "A")).groupBy("masked").agg(F.count("*").alias("n"))
+
+
+MASKED_LINES = BASE + """, pg AS (SELECT DISTINCT doc_id, page_no, o_custkey % 50 = 8 AND page_no = 2 AS bare FROM b WHERE o_custkey % 50 <> 9),
+l AS (SELECT CASE WHEN k = 1 THEN replace(dated, ' ', '') ELSE dated END || CASE WHEN k = 8 THEN '' ELSE ' ' || dated END || ' ORD ' || CASE WHEN k = 2 THEN 'Ý ' ELSE '' END || o_orderkey || ' CAT' || (o_orderkey % 7) || ' '
+ || CASE k WHEN 9 THEN '$' || plain WHEN 10 THEN plain || '**' WHEN 11 THEN '-' || plain ELSE plain END AS line FROM b WHERE NOT dropped AND o_custkey % 50 <> 9
+ UNION ALL SELECT 'CONT ' || (o_orderkey % 1000) FROM b WHERE NOT dropped AND o_custkey % 50 <> 9 AND k IN (4, 5, 6)
+ UNION ALL SELECT unnest(['Trans Post', 'date date Description Spend Categories Amount($)']) FROM pg WHERE NOT bare
+ UNION ALL SELECT unnest(['Total for', 'Jan 1 Jan 1 JUNK 9.99']) FROM pg)
+SELECT regexp_replace(line, '[0-9]', '#', 'g') AS masked, count(*) AS n FROM l GROUP BY 1"""
+
+
 def _profile_rows(spark, sf_dir):
     """Profiles made from nations, some of them broken."""
     k, name = F.col("n_nationkey"), F.col("n_name")
@@ -313,6 +327,7 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "display_totals": (display_totals, _status_sql("B") + "SELECT CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 1), 0) AS DECIMAL(18,2)) AS total_funds_out, CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 0), 0) AS DECIMAL(18,2)) AS total_funds_in FROM tb JOIN (SELECT doc_id FROM st WHERE status = 'Success') USING (doc_id)"),
     "text_layer_preserved": (text_layer_preserved, TEXT_LAYER),
     "masked_layout": (masked_layout, MASKED),
+    "masked_layout_lines": (masked_layout_lines, MASKED_LINES),
     "profile_violations": (profile_violations, VIOLATIONS),
     "duplicate_profiles": (duplicate_profiles, "SELECT 'p' || (n_nationkey % 20) AS profile_id, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1"),
 }
