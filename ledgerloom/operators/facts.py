@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, text_hash
 
-from .layout import line_text, lines_of
+from .layout import PAGE, heading_start, line_text, lines_of
 
 # Wording of printed totals and balances.
 TOTAL_OUT = r"(?i)total(?U:\s)+funds(?U:\s)+out(?U:\s)+([0-9,]+\.[0-9]{2})"
 TOTAL_IN = r"(?i)total(?U:\s)+funds(?U:\s)+in(?U:\s)+([0-9,]+\.[0-9]{2})"
 PREVIOUS, NEW = "previous statement balance", "total new balance"
 LEFT_PANEL = 350.0
+TABLE_ENDS = ("total new balance", "td message centre")
 
 
 def excluded_pages(pages: DataFrame, phrases: list[str]) -> DataFrame:
@@ -64,3 +65,21 @@ def masked_layout(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """(doc_id, page_no, line_no, masked): every line with its digits hidden."""
     return lines_of(words, tolerance).select("doc_id", "page_no", "line_no", F.regexp_replace(line_text(F.col("words")), r"(?U)\d", "#").alias("masked"))
 
+
+def masked_table(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
+    """(doc_id, page_no, line_no, y, masked, words): dialect C's lines from the heading to the first stop phrase, both in it.
+
+    Digits are hidden in the line and in each word; pages without a heading give
+    none, pages without a stop run to their end.
+    """
+    lines = lines_of(words, tolerance)
+    table = lines.join(heading_start(lines, "C"), PAGE).filter("line_no >= start")
+    low = F.lower(line_text(F.col("words")))
+    stop = low.contains(TABLE_ENDS[0]) | low.contains(TABLE_ENDS[1])
+    before = Window.partitionBy(*PAGE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = table.withColumn("ended", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).filter("ended = 0")
+
+    def hide(text: Column) -> Column:
+        return F.regexp_replace(text, r"(?U)\d", "#")
+
+    return open_.select(*PAGE, "line_no", "y", hide(line_text(F.col("words"))).alias("masked"), F.transform("words", lambda w: w.withField("text", hide(w["text"]))).alias("words"))

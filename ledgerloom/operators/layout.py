@@ -84,6 +84,11 @@ def _windows(lines: DataFrame, dialect: str) -> DataFrame:
     return sized.filter(has_tokens(tokens, ["transaction", "posting", "activity", "description", "amount", "date"]))
 
 
+def heading_start(lines: DataFrame, dialect: str) -> DataFrame:
+    """(doc_id, page_no, start): the first line of the smallest, then earliest window that holds the headings."""
+    return _windows(lines, dialect).groupBy(*PAGE).agg(F.min_by("line_no", F.struct("size", "line_no")).alias("start"))
+
+
 def headers(lines: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:
     """(doc_id, page_no, cuts, right_edge, bottom) of the pages that have a heading.
 

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 from ledgerloom import queries as own
-from ledgerloom.operators import layout
+from ledgerloom.operators import facts, layout
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,18 @@ def test_every_masked_line_is_counted(spark):
     want = Counter(re.sub(r"\d", "#", " ".join(r.t)) for r in lines)
     got = {r.masked: r.n for r in own.queries()["masked_layout_lines"](spark, SF).collect()}
     assert got == want and {"Jan # Jan # JUNK #.##", "CONT ##"} <= set(got) and len(got) > 50
+
+
+def test_masked_table_is_the_region_of_the_reference(spark):
+    """From the heading to the first stop phrase; nothing of the personal data above or of what follows."""
+    head = [("TRANSACTION", 50, 72), ("POSTING", 100, 72), ("DATE", 50, 76), ("ACTIVITY", 150, 80), ("DESCRIPTION", 192, 80), ("AMOUNT($)", 300, 80)]
+    body = [("Sep", 50, 100), ("13", 68, 100), ("SHOP7", 152, 100), ("TD", 50, 300), ("MESSAGE", 90, 300), ("CENTRE", 130, 300), ("TOTAL", 50, 320), ("NEW", 90, 320), ("BALANCE", 130, 320)]
+    above, open_ = [("Jane", 50, 20), ("4111", 90, 20)], [w for w in body if w[2] < 200]
+    rows = []
+    for doc, ws in (("all", above + head + body), ("open", above + head + open_), ("bare", above + body)):
+        rows += [(doc, 1, k, float(x), y - 4.0, x + 30.0, y + 4.0, t) for k, (t, x, y) in enumerate(ws)]
+    words = spark.createDataFrame(rows, "doc_id string, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    got = facts.masked_table(words).orderBy("doc_id", "line_no").collect()
+    table = ["TRANSACTION POSTING", "DATE", "ACTIVITY DESCRIPTION AMOUNT($)", "Sep ## SHOP#"]
+    assert [(r.doc_id, r.masked) for r in got] == [("all", t) for t in [*table, "TD MESSAGE CENTRE"]] + [("open", t) for t in table]
+    assert all(" ".join(w.text for w in r.words) == r.masked for r in got) and {r.y for r in got} == {72.0, 76.0, 80.0, 100.0, 300.0}
