@@ -174,6 +174,23 @@ def _cells_sql(cells_: str, kinds: str) -> str:
     return BASE + f"SELECT doc_id, page_no, {cells_.format(raw=raw)} AS cells FROM b WHERE NOT dropped AND o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2) AND k NOT IN ({kinds})"
 
 
+def cells_lines(spark, sf_dir, dialect):
+    """Cells of every line below the heading, whatever its kind."""
+    lines = rows.table_lines(_words(spark, sf_dir, dialect), dialect)
+    return lines.select("doc_id", "page_no", F.array_join("cells", "|").alias("cells"))
+
+
+def _cells_lines_sql(rest: str, cont: str, ends: list[str], forward: str | None = None) -> str:
+    raw = "CASE k WHEN 9 THEN '$' || plain WHEN 10 THEN plain || '**' WHEN 11 THEN '-' || plain ELSE plain END"
+    first = "CASE WHEN k = 1 THEN replace(dated, ' ', '') ELSE dated END || '|' || CASE WHEN k = 8 THEN '' ELSE dated END || '|ORD ' || o_orderkey || '|' || "
+    headed = "o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2)"
+    more = f" UNION ALL SELECT doc_id, page_no, '{forward}' FROM pg WHERE page_no = 1" if forward else ""
+    return BASE + f""", pg AS (SELECT DISTINCT doc_id, page_no FROM b WHERE {headed})
+SELECT doc_id, page_no, {first}{rest.format(raw=raw)} AS cells FROM b WHERE NOT dropped AND {headed}
+UNION ALL SELECT doc_id, page_no, '||CONT ' || (o_orderkey % 1000) || '{cont}' FROM b WHERE NOT dropped AND {headed} AND k IN (4, 5, 6)
+UNION ALL SELECT doc_id, page_no, unnest([{", ".join(f"'{x}'" for x in ends)}]) FROM pg{more}"""
+
+
 # Statements ---------------------------------------------------------------
 
 
@@ -300,6 +317,15 @@ VIOLATIONS = """SELECT 'p' || (n_nationkey % 20) AS profile_id, concat_ws(',', C
 _DOC = "FROM documents"
 _NORMAL = r"trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))"
 _BY = [("transactions", transactions, TRANSACTIONS), ("header", header, {"A": _header_sql("50,100,150,300,420", "CAST(NULL AS INTEGER)"), "B": _header_sql("50,100,150,300,380,460", "CAST(NULL AS INTEGER)"), "C": _header_sql("50,100,150,300", "349")})]
+_CELLS_LINES = {
+    "A": _cells_lines_sql("'CAT' || (o_orderkey % 7) || '|' || {raw}", "||", ["Total for||||", "Jan 1|Jan 1|JUNK||9.99"]),
+    "B": _cells_lines_sql(
+        "CASE WHEN o_orderkey % 2 = 1 OR k = 12 THEN {raw} ELSE '' END || '|' || CASE WHEN o_orderkey % 2 = 0 OR k = 12 THEN {raw} ELSE '' END || '|' || {raw}",
+        "|||", ["Page|of||||", "Jan 1|Jan 1|JUNK|9.99||9.99"], "Jan 1|Jan 1|BALANCE FORWARD|||1,000.00",
+    ),
+    "C": _cells_lines_sql("{raw}", "|", ["TD|MESSAGE CENTRE||", "Jan 1|Jan 1|JUNK|9.99"]),
+}
+_BY += [("cells_lines", cells_lines, _CELLS_LINES)]
 _BY += [("status", status, {d: _status_sql(d) + "SELECT doc_id, status, n_txn, pages, error FROM st" for d in "ABC"})]
 _BY += [("reconciled", reconciled, {d: _status_sql(d) + ", ok AS (SELECT doc_id FROM st WHERE status = 'Success') SELECT x.* FROM (" + TRANSACTIONS[d].removeprefix(BASE) + ") x JOIN ok USING (doc_id)" for d in "ABC"})]
 

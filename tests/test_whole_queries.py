@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
 from ledgerloom import queries as own
-from ledgerloom.operators import facts, layout
+from ledgerloom.operators import facts, layout, rows
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,12 @@ def test_masked_table_is_the_region_of_the_reference(spark):
     table = ["TRANSACTION POSTING", "DATE", "ACTIVITY DESCRIPTION AMOUNT($)", "Sep ## SHOP#"]
     assert [(r.doc_id, r.masked) for r in got] == [("all", t) for t in [*table, "TD MESSAGE CENTRE"]] + [("open", t) for t in table]
     assert all(" ".join(w.text for w in r.words) == r.masked for r in got) and {r.y for r in got} == {72.0, 76.0, 80.0, 100.0, 300.0}
+
+
+@pytest.mark.parametrize("dialect", "abc")
+def test_cells_of_every_kind_are_compared(spark, dialect):
+    got = own.queries()[f"cells_lines_{dialect}"](spark, SF).collect()
+    lines = rows.classify(rows.table_lines(own._words(spark, SF, dialect.upper()), dialect.upper()), dialect.upper())
+    kinds = {r.kind for r in lines.select("kind").distinct().collect()}
+    assert {"T", "C", "X"} <= kinds and ("B" in kinds) == (dialect == "b") and len(got) == lines.count()
+    assert any("JUNK" in r.cells for r in got) and any("CONT" in r.cells for r in got)
