@@ -1,46 +1,82 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Found: e-mail addresses, IPv4 addresses, phone numbers, dates, social security
-and account or card numbers (13 to 19 digits, also in groups of four) and hex
-secrets.  Each is validated and then permuted by a keyed Feistel network within
-its own format, so equal values become equal pseudonyms in every document, no
-two values become the same, and the key takes them back:
-
-- strings: the halves are shifted in turn, each character within its own class
-  (digit, lower case, upper case, hex letter), by a keyed hash of the other half;
-- card numbers: all but the check digit are permuted; the check digit follows so
-  that a valid number stays valid and an invalid one stays as far off;
+numbers, card numbers (13 to 19 digits, also in groups of four) and hex secrets.
+Each is validated and then permuted by a keyed Feistel network within its own
+format, so equal values become equal pseudonyms in every document, no two values
+become the same, and the key takes them back (``undo``):
+
+- e-mail addresses: the local part (up to 64 characters) is shifted, each
+  character within its class; hex secrets likewise;
+- phone numbers: the national digits are permuted and laid back onto the format
+  that was found, so a number has one pseudonym in all its spellings; a country
+  code stays;
+- card numbers: Luhn's check must hold; all but the check digit are permuted, and
+  the check digit follows, so a valid number stays valid;
 - IPv4 addresses: the 32 bits are permuted, so octets stay octets;
-- dates from 1900 to 2099: the day number is permuted among the 73,049 days.
+- social security numbers: permuted among the valid areas, groups and serials;
+- dates from 1900 to 2099: the day number is permuted among the 73,049 days, so a
+  day has one pseudonym in all three formats.
+
+The key is the caller's: the argument, else ``spark.ledgerloom.pii.key`` of the
+session; without either a public test key is used, with a warning.  Patterns
+repeat groups a bounded number of times only, so no text, however long, deepens
+the matcher's stack; matching is linear in the text.
 
 Edge cases: a null text stays null with 0 found, an empty one stays empty; what
-fails validation (an octet over 255, a 31 February) isn't PII and stays; other
-columns pass through; repeated rows become the same; an empty table stays empty.
+fails validation (an octet over 255, a 31 February, a number without Luhn's
+check) isn't PII, stays and isn't counted; other columns pass through, but a
+column named like the count is replaced; repeated rows become the same; an empty
+table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "ledgerloom"
+from .common import col, fresh
+
+KEY_CONF = "spark.ledgerloom.pii.key"
+#: Public, so worth nothing in production: whoever has it can take pseudonyms back.
+TEST_KEY = "ledgerloom"
 ROUNDS = 8
 
 # The patterns of each kind, tried in this order.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]{0,128}+[A-Fa-f])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
     "card": r"(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)",
 }
+# Telephone country codes of one and two digits; all others have three.
+COUNTRY_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 ANY = "|".join(PATTERNS.values())
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Days from 1900-01-01 to 2099-12-31, as a product of two radices.
 DAYS = (17, 4297)
 FIRST_DAY = "1900-01-01"
+#: Social security numbers: areas 001 to 899 without 666; groups 01 to 99 by serials 0001 to 9999.
+AREAS, SERIALS = 898, 9999
+
+
+def configured_key(spark: SparkSession) -> str:
+    """The session's key, or the public test key with a warning."""
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        warnings.warn(f"{KEY_CONF} isn't set: pseudonyms are made with a public test key", stacklevel=3)
+    return found or TEST_KEY
+
+
+def _let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x evaluated once."""
+    return F.transform(F.array(x), use)[0]
 
 
 def _chars(s: Column) -> Column:
@@ -109,13 +145,16 @@ def _ip(s: Column, key: str, undo: bool) -> Column:
     return feistel_pair(part[0] * 256 + part[1], part[2] * 256 + part[3], (65_536, 65_536), key, undo, text)
 
 
+# How each written form of a date is recognised and read.
+FORMS = ((r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{4}-", "yyyy-MM-dd"))
+
+
 def _date(s: Column, key: str, undo: bool) -> Column:
     out = s
-    for pattern, form in ((r"^\d{2}\.", "dd.MM.yyyy"), (r"^\d{2}/", "MM/dd/yyyy"), (r"^\d{4}-", "yyyy-MM-dd")):
-        day = F.datediff(F.try_to_date(s, form), F.lit(FIRST_DAY).cast("date"))
-
+    for pattern, form in FORMS:
+        day = _day(s, form)
         moved = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_pair((day / DAYS[1]).cast("long"), day % DAYS[1], DAYS, key, undo, lambda a: (a["l"] * DAYS[1] + a["r"]).cast("int")))
-        out = F.when(s.rlike(pattern), F.when((day >= 0) & (day < DAYS[0] * DAYS[1]), F.date_format(moved, form)).otherwise(s)).otherwise(out)
+        out = F.when(s.rlike(pattern), F.when(day.isNotNull(), F.date_format(moved, form)).otherwise(s)).otherwise(out)
     return out
 
 
@@ -131,42 +170,93 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
+def _lay(s: Column, digits: Column) -> Column:
+    """``s`` with its digits replaced in order by ``digits``."""
+
+    def step(acc: Column, c: Column) -> Column:
+        one = c.between("0", "9")
+        return F.struct(
+            F.concat(acc["t"], F.when(one, F.substring(acc["d"], 1, 1)).otherwise(c)).alias("t"),
+            F.when(one, F.substring(acc["d"], F.lit(2), F.length(acc["d"]))).otherwise(acc["d"]).alias("d"),
+        )
+
+    return F.aggregate(_chars(s), F.struct(F.lit("").alias("t"), digits.alias("d")), step, lambda acc: acc["t"])
+
+
+def _digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
+
+
 def _card(s: Column, key: str, undo: bool) -> Column:
-    digits = F.regexp_replace(s, "[ -]", "")
+    digits = _digits(s)
     head = feistel_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, [DIGITS], undo)
-    check = F.pmod(luhn(digits) - luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string")
-    new = F.concat(head, check)
-    gap = F.substring(s, 5, 1)
-    grouped = F.concat_ws("", *(x for k in range(4) for x in ([gap] if k else []) + [F.substring(new, 4 * k + 1, 4)]))
-    return F.when(s.rlike("[ -]"), grouped).otherwise(new)
+    return _lay(s, _let(head, lambda h: F.concat(h, F.pmod(luhn(digits) - luhn(F.concat(h, F.lit("0"))), F.lit(10)).cast("string"))))
 
 
-def pseudonym(s: Column, key: str = KEY, undo: bool = False) -> Column:
-    """The pseudonym of one value that matched one of the patterns; undo: back to the value."""
+def _phone(s: Column, key: str, undo: bool) -> Column:
+    digits = _digits(s)
+    code = F.when(s.startswith("+"), F.regexp_extract(digits, f"^(?:{COUNTRY_CODES})", 0)).otherwise("")
+    national = F.substring(digits, F.length(code) + 1, F.length(digits))
+    return _lay(s, F.concat(code, feistel_text(national, key, [DIGITS], undo)))
+
+
+def _ssn(s: Column, key: str, undo: bool) -> Column:
+    area, group, serial = (F.split_part(s, F.lit("-"), F.lit(k)).cast("int") for k in (1, 2, 3))
+    left = area - F.when(area > 666, 2).otherwise(1)
+
+    def text(a: Column) -> Column:
+        new = a["l"] + F.when(a["l"] >= 665, 2).otherwise(1)
+        parts = ((new, 3), ((a["r"] / SERIALS).cast("long") + 1, 2), (a["r"] % SERIALS + 1, 4))
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in parts))
+
+    return feistel_pair(left, (group - 1) * SERIALS + serial - 1, (AREAS, 99 * SERIALS), key, undo, text)
 
-    def whole(kind: str) -> Column:
-        return s.rlike(rf"\A(?:{PATTERNS[kind]})\z")
 
+def _whole(s: Column, kind: str) -> Column:
+    return s.rlike(rf"\A(?:{PATTERNS[kind]})\z")
+
+
+def _day(s: Column, form: str) -> Column:
+    """Days since the first one; null for what isn't a date of the form in range."""
+    day = F.datediff(F.try_to_date(s, form), F.lit(FIRST_DAY).cast("date"))
+    return F.when(day.between(0, DAYS[0] * DAYS[1] - 1), day)
+
+
+def valid(s: Column) -> Column:
+    """Whether a value that matched one of the patterns is one: dates are days, cards hold Luhn's check."""
+    day = F.lit(False)
+    for pattern, form in FORMS:
+        day = F.when(s.rlike(pattern), _day(s, form).isNotNull()).otherwise(day)
+    other = F.contains(s, F.lit("@")) | s.rlike("[A-Fa-f]")
+    return F.when(other, True).when(_whole(s, "date"), day).when(_whole(s, "card"), luhn(_digits(s)) == 0).otherwise(True)
+
+
+def pseudonym(s: Column, key: str | None = None, undo: bool = False) -> Column:
+    """The pseudonym of one value that matched one of the patterns; undo: back to the value."""
+    key = key or configured_key(SparkSession.active())
     at = F.instr(s, "@")
-    prefix = F.regexp_extract(s, r"^\+\d{1,3}[ .-]", 0)
     everyone = [DIGITS, LOWER, UPPER]
     return (
         F.when(at > 0, F.concat(feistel_text(F.substring(s, F.lit(1), at - 1), key, everyone, undo), F.substring(s, at, F.length(s))))
         .when(s.rlike("[A-F]"), feistel_text(s, key, [DIGITS + "ABCDEF"], undo))
         .when(s.rlike("[a-f]"), feistel_text(s, key, [DIGITS + "abcdef"], undo))
-        .when(whole("ip"), _ip(s, key, undo))
-        .when(whole("date"), _date(s, key, undo))
-        .when(whole("card"), _card(s, key, undo))
-        .otherwise(F.concat(prefix, feistel_text(F.substring(s, F.length(prefix) + 1, F.length(s)), key, [DIGITS], undo)))
+        .when(_whole(s, "ip"), _ip(s, key, undo))
+        .when(_whole(s, "date"), _date(s, key, undo))
+        .when(_whole(s, "ssn"), _ssn(s, key, undo))
+        .when(_whole(s, "card"), _card(s, key, undo))
+        .otherwise(_phone(s, key, undo))
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str = "n_found") -> DataFrame:
-    """``docs`` with pseudonyms in ``text_col`` and the number of values found in ``count_col``."""
-    names = docs.columns
-    text = F.col(text_col)
-    some = docs.withColumn("__found", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))))
+def pseudonymize(docs: DataFrame, key: str | None = None, text_col: str = "text", count_col: str = "n_found", undo: bool = False) -> DataFrame:
+    """``docs`` with pseudonyms in ``text_col`` and the number of validated values in ``count_col``; undo: with the values again."""
+    key = key or configured_key(docs.sparkSession)
+    names = [c for c in docs.columns if c.lower() != count_col.lower()]
+    found = fresh(names, "found")
+    text = col(text_col)
+    some = docs.select(*map(col, names), F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(0))).alias(found))
     rest = F.split(text, ANY, -1)
-    new = F.array_join(F.zip_with(rest, F.transform("__found", lambda m: pseudonym(m, key)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = some.withColumn("__new", F.when(F.size("__found") > 0, new).otherwise(text)).withColumn("__n", F.coalesce(F.when(F.col("__found").isNotNull(), F.size("__found")), F.lit(0)).cast("long"))
-    return out.select(*(F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in names), F.col("__n").alias(count_col))
+    new = F.transform(found, lambda m: F.when(valid(m), pseudonym(m, key, undo)).otherwise(m))
+    whole = F.array_join(F.zip_with(rest, new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    n = F.coalesce(F.when(F.col(found).isNotNull(), F.size(F.filter(found, valid))), F.lit(0)).cast("long")
+    return some.select(*(F.when(F.size(found) > 0, whole).otherwise(text).alias(c) if c == text_col else col(c) for c in names), n.alias(count_col))

@@ -28,7 +28,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.configured_key(spark))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
