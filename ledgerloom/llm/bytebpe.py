@@ -5,6 +5,9 @@ isn't white space to one that is, and what a run of white space becomes depends
 only on the run and the character after it.  So a text splits into chunks
 (white space, then what follows up to the next white space) that encode alone.
 The table of chunks is emptied at ``TABLE_CHUNKS`` and long chunks aren't kept.
+
+Added tokens (such as an end-of-text mark) in a text become their own ids, as the
+library has it; the texts between them are encoded as texts of their own.
 """
 
 from __future__ import annotations
@@ -29,9 +32,18 @@ LONG_CHUNK = 128
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return Tokenizer.from_file(path)
+
+
+@cache
+def added(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """(what splits a text at added tokens, the ids of each)."""
+    found = tokenizer(path).get_added_tokens_decoder()
+    for t in found.values():
+        if t.lstrip or t.rstrip or t.single_word:
+            raise ValueError(f"an added token that looks at its neighbours: {t.content}")
+    ids = {t.content: np.array([i], "<u4").tobytes() for i, t in found.items()}
+    return (re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})") if ids else None), ids
 
 
 @cache
@@ -47,6 +59,7 @@ def token_bytes(path: str) -> np.ndarray:
 class Ids:
     def __init__(self, path: str):
         self.tok, self.table, self.width = tokenizer(path), {}, token_bytes(path)
+        self.split, self.special = added(path)
 
     def _divide(self, part: list[str]) -> None:
         """Encode the joined chunks and give each its ids."""
@@ -60,6 +73,11 @@ class Ids:
 
     def of(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
+        if self.split is None or not self.split.search(text):
+            return self._plain(text)
+        return b"".join(self.special[p] if k % 2 else self._plain(p) for k, p in enumerate(self.split.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         chunks, table = CHUNK.findall(text), self.table
