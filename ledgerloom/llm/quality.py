@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, steps, texts_of
+from .common import id_text, map_arrow, steps, texts_of
 from .labelled import sample
 from .vechash import U, Words, mix
 
@@ -176,4 +176,4 @@ def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
         for b in steps(batches):
             yield b.filter(pa.array(judge(b, model, threshold)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
