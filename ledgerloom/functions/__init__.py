@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,17 @@ AMOUNT = r"\A-?\$?[0-9][0-9,]*\.[0-9]{2}\**\z"
 EXTRA_SPACE = "\\x1c-\\x1f"
 
 
+def let(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x evaluated once."""
+    return F.transform(F.array(x), use)[0]
+
+
+def strip(s: Column) -> Column:
+    """Without Unicode white space at the ends; linear in the text."""
+    space = f"[\\s{EXTRA_SPACE}]"
+    return F.regexp_replace(s, f"(?U)\\A{space}++|(?<!{space}){space}++\\z", "")
+
+
 def normalize(s: Column) -> Column:
     """Runs of Unicode white space become one space, none at the ends."""
     return F.trim(F.regexp_replace(s, f"(?U)[\\s{EXTRA_SPACE}]+", " "))

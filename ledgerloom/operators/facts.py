@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, text_hash
+from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, strip, text_hash
 
-from .layout import PAGE, heading_start, line_text, lines_of
+from .layout import PAGE, center_x, heading_start, line_text, lines_in, lines_of, page_words
 
 # Wording of printed totals and balances.
 TOTAL_OUT = r"(?i)total(?U:\s)+funds(?U:\s)+out(?U:\s)+([0-9,]+\.[0-9]{2})"
@@ -30,37 +30,71 @@ def printed_totals(pages: DataFrame) -> DataFrame:
 
 def printed_balances(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """(doc_id, previous_balance, new_balance): a line's last amount; the last line wins; previous wins a shared line."""
-    lines = lines_of(words.filter((F.col("x0") + F.col("x1")) / 2 < LEFT_PANEL), tolerance)
-    low = F.lower(normalize(line_text(F.col("words"))))
-    amounts = F.filter(F.transform("words", lambda w: w["text"]), is_amount)
-    found = lines.select("doc_id", F.struct("page_no", "line_no").alias("at"), low.alias("low"), parse_amount(F.try_element_at(amounts, F.lit(-1))).alias("v")).filter("v is not null")
-    previous = F.contains(F.col("low"), F.lit(PREVIOUS))
-    new = F.contains(F.col("low"), F.lit(NEW)) & ~previous
-    picked = [F.max_by("v", F.when(k, F.col("at"))).alias(n) for k, n in ((previous, "previous_balance"), (new, "new_balance"))]
-    return found.filter(previous | new).groupBy("doc_id").agg(*picked)
+    return printed_balances_in(page_words(words), tolerance)
+
+
+def printed_balances_in(pages: DataFrame, tolerance: float = 2.5) -> DataFrame:
+    """The same from ``layout.page_words``."""
+    left = F.filter("ws", lambda w: center_x(w) < LEFT_PANEL)
+    lines = pages.select(*PAGE, left.alias("ws")).select(*PAGE, F.posexplode(lines_in(F.col("ws"), tolerance)).alias("line_no", "l"))
+    low = F.lower(normalize(line_text(F.col("l.words"))))
+    amounts = F.filter(F.transform("l.words", lambda w: w["text"]), is_amount)
+    named = lines.withColumn("low", low).filter(F.contains("low", F.lit(PREVIOUS)) | F.contains("low", F.lit(NEW)))
+    found = named.select("doc_id", F.struct("page_no", "line_no").alias("at"), F.contains("low", F.lit(PREVIOUS)).alias("previous"), parse_amount(F.try_element_at(amounts, F.lit(-1))).alias("v")).filter("v is not null")
+    previous = F.col("previous")
+    return found.groupBy("doc_id").agg(*(F.max_by("v", F.when(k, F.col("at"))).alias(n) for k, n in ((previous, "previous_balance"), (~previous, "new_balance"))))
 
 
 def page_stats(pages: DataFrame, words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, text_characters, positioned_words, text_hash)."""
-    stats = pages.select("doc_id", "page_no", F.length(F.trim("page_text")).alias("text_characters"), text_hash(F.col("page_text")).alias("text_hash"))
+    """(doc_id, page_no, text_characters, positioned_words, images, text_hash); ``pages`` may carry ``images``."""
+    images = F.col("images") if "images" in pages.columns else F.lit(0)
+    stats = pages.select("doc_id", "page_no", F.length(strip(F.col("page_text"))).alias("text_characters"), images.cast("int").alias("images"), text_hash(F.col("page_text")).alias("text_hash"))
     n = words.groupBy("doc_id", "page_no").agg(F.count("*").alias("positioned_words"))
-    return stats.join(n, ["doc_id", "page_no"], "left").withColumn("positioned_words", F.coalesce("positioned_words", F.lit(0)))
+    return stats.join(n, ["doc_id", "page_no"], "left").select("doc_id", "page_no", "text_characters", F.coalesce("positioned_words", F.lit(0)).alias("positioned_words"), "images", "text_hash")
+
+
+COMPARED = ("text_characters", "positioned_words", "images", "text_hash")
+
+
+def _side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
+    a, b = (t.select("doc_id", "page_no", F.lit(True).alias(p), *(F.col(c).alias(f"{p}_{c}") for c in COMPARED if c in t.columns)) for t, p in ((before, "a"), (after, "b")))
+    return a.join(b, ["doc_id", "page_no"], "full_outer")
 
 
 def text_layer_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, status) from two page_stats tables: same pages, text on both sides, equal words and hash where there was text."""
-    a, b = (t.select("doc_id", "page_no", *(F.col(c).alias(f"{p}_{c}") for c in ("text_characters", "positioned_words", "text_hash"))) for t, p in ((before, "a"), (after, "b")))
-    both = a.join(b, ["doc_id", "page_no"], "full_outer")
-    lone = F.col("a_text_characters").isNull() | F.col("b_text_characters").isNull()
-    text = F.col("a_text_characters") > 0
-    changed = text & ((F.col("a_positioned_words") != F.col("b_positioned_words")) | (F.col("a_text_hash") != F.col("b_text_hash")))
-    found = both.groupBy("doc_id").agg(
-        F.max(lone.cast("int")).alias("lone"), F.sum("a_text_characters").alias("a"), F.sum("b_text_characters").alias("b"), F.max(F.coalesce(changed, F.lit(False)).cast("int")).alias("changed")
+    """(doc_id, status) from two page_stats tables.
+
+    Pages must be the same; a document without positioned words on a side is
+    image-only there; then the first page that lost its text, words or wording
+    decides.  Pages without words and characters before are skipped.
+    """
+    both = _side_by_side(before, after)
+    lone = F.col("a").isNull() | F.col("b").isNull()
+    blank = (F.col("a_positioned_words") == 0) & (F.col("a_text_characters") == 0)
+    lost = (F.col("b_positioned_words") == 0) | (F.col("b_text_characters") == 0)
+    page = (
+        F.when(lone | blank, F.lit(None))
+        .when(lost, "page lost its text")
+        .when(F.col("a_positioned_words") != F.col("b_positioned_words"), "page word count changed")
+        .when(F.col("a_text_hash") != F.col("b_text_hash"), "page text changed")
+    )
+    found = both.withColumn("page", page).groupBy("doc_id").agg(
+        F.max(lone.cast("int")).alias("lone"), F.sum("a_positioned_words").alias("a"), F.sum("b_positioned_words").alias("b"), F.min_by("page", F.when(F.col("page").isNotNull(), F.col("page_no"))).alias("first")
     )
-    status = F.when(F.col("lone") == 1, "page count changed").when(F.col("a") == 0, "image only before").when(F.col("b") == 0, "image only after").when(F.col("changed") == 1, "page text changed").otherwise("preserved")
+    status = F.when(F.col("lone") == 1, "page count changed").when(F.col("a") == 0, "image only before").when(F.col("b") == 0, "image only after").otherwise(F.coalesce("first", F.lit("preserved")))
     return found.select("doc_id", status.alias("status"))
 
 
+def page_totals(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(doc_id, and of both sides pages, characters, words and images) from two page_stats tables."""
+    both = _side_by_side(before, after)
+    out = []
+    for p, side in (("a", "before"), ("b", "after")):
+        out.append(F.count(p).alias(f"pages_{side}"))
+        out += [F.coalesce(F.sum(f"{p}_{c}"), F.lit(0)).cast("long").alias(f"{n}_{side}") for c, n in (("text_characters", "characters"), ("positioned_words", "words"), ("images", "images"))]
+    return both.groupBy("doc_id").agg(*out)
+
+
 def masked_layout(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """(doc_id, page_no, line_no, masked): every line with its digits hidden."""
     return lines_of(words, tolerance).select("doc_id", "page_no", "line_no", F.regexp_replace(line_text(F.col("words")), r"(?U)\d", "#").alias("masked"))

@@ -1,48 +1,70 @@
 """Lines, headings and cells of positioned words.
 
-Words are shuffled once, by (doc_id, page_no); lines, windows over lines and the
-heading of a page all keep that partitioning, so no further exchange is needed.
-A page is a bounded group.
+Words are shuffled once, by (doc_id, page_no), into one row a page.  Lines, the
+heading, the table region and its cells are then array functions on that row: a
+page is a bounded group, and nothing more is exchanged, joined or sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import has_tokens, normalize
+from ledgerloom.functions import let, normalize
 
 GLYPH = "Ý"
 PAGE = ["doc_id", "page_no"]
+# The words of dialect C's heading.
+HEADING_TOKENS = ("transaction", "posting", "activity", "description", "amount", "date")
+#: Dialect C's heading spans so many lines at most.
+MOST_LINES = 5
+SPAN = "array<struct<start:int,n:int,total:double>>"
 
 
 def center_x(w: Column) -> Column:
     return (w["x0"] + w["x1"]) / 2
 
 
-def lines_of(words: DataFrame, tolerance: float) -> DataFrame:
-    """(doc_id, page_no, line_no, y, words): greedy lines of a page, ``words`` by x0.
+def page_words(words: DataFrame) -> DataFrame:
+    """(doc_id, page_no, ws): a page's words by (y centre, x0, word_no)."""
+    w = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0"), F.col("word_no").cast("int").alias("word_no"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("text"))
+    return words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(w)).alias("ws"))
+
 
-    A word, taken by (y centre, x0, word_no), joins the line while it is within
-    ``tolerance`` of the running mean of the line's centres.  The fold carries a
-    line number, a mean, a sum and a count, never the words.
+def _spans(ws: Column, tolerance: float) -> Column:
+    """Where each greedy line starts, its words and the sum of their centres.
+
+    A word joins the line while it is within ``tolerance`` of the running mean of
+    the line's centres.  The fold carries numbers, never words, and grows its
+    array only where a line ends.
     """
-    w = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0"), F.col("word_no").cast("int").alias("word_no"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("text"))
-    pages = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(w)).alias("ws"))
-    start = F.struct(F.array().cast("array<int>").alias("ids"), F.lit(-1).alias("line"), F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast(SPAN).alias("done"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+
+    def line(a: Column) -> Column:
+        return F.array(F.struct(a["start"].alias("start"), a["n"].alias("n"), a["total"].alias("total")))
 
     def step(a: Column, x: Column) -> Column:
-        new = (a["line"] < 0) | (F.abs(x["y"] - a["total"] / F.greatest(a["n"], F.lit(1))) > tolerance)
-        line = F.when(new, a["line"] + 1).otherwise(a["line"])
-        return F.struct(
-            F.concat(a["ids"], F.array(line)).alias("ids"), line.alias("line"), F.when(new, x["y"]).otherwise(a["total"] + x["y"]).alias("total"), F.when(new, F.lit(1)).otherwise(a["n"] + 1).alias("n")
-        )
+        new = (a["n"] > 0) & (F.abs(x["y"] - a["total"] / F.greatest(a["n"], F.lit(1))) > tolerance)
+        return F.when(
+            new, F.struct(F.concat(a["done"], line(a)).alias("done"), (a["i"] + 1).alias("i"), a["i"].alias("start"), F.lit(1).alias("n"), x["y"].alias("total"))
+        ).otherwise(F.struct(a["done"].alias("done"), (a["i"] + 1).alias("i"), a["start"].alias("start"), (a["n"] + 1).alias("n"), (a["total"] + x["y"]).alias("total")))
 
-    numbered = pages.select(*PAGE, F.explode(F.arrays_zip(F.col("ws").alias("w"), F.aggregate("ws", start, step, lambda a: a["ids"]).alias("k"))).alias("z"))
-    flat = numbered.select(*PAGE, F.col("z.k").alias("line_no"), F.col("z.w").alias("w"))
-    keyed = F.struct(F.col("w.x0").alias("a"), F.col("w.y").alias("b"), F.col("w.word_no").alias("c"), F.col("w").alias("w"))
-    grouped = flat.groupBy(*PAGE, "line_no").agg((F.sum("w.y") / F.count("*")).alias("y"), F.array_sort(F.collect_list(keyed)).alias("s"))
-    return grouped.select(*PAGE, "line_no", "y", F.transform("s", lambda x: x["w"]).alias("words"))
+    return F.aggregate(ws, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], line(a))).otherwise(a["done"]))
+
+
+def lines_in(ws: Column, tolerance: float) -> Column:
+    """The lines of sorted words: an array of (y, words), ``words`` by x0."""
+
+    def by_x(w: Column) -> Column:
+        return F.struct(*(w[c].alias(c) for c in ("x0", "y", "word_no", "x1", "y0", "y1", "text")))
+
+    return F.transform(_spans(ws, tolerance), lambda s: F.struct((s["total"] / s["n"]).alias("y"), F.array_sort(F.transform(F.slice(ws, s["start"] + 1, s["n"]), by_x)).alias("words")))
+
+
+def lines_of(words: DataFrame, tolerance: float) -> DataFrame:
+    """(doc_id, page_no, line_no, y, words): greedy lines of a page, ``words`` by x0."""
+    pages = page_words(words).select(*PAGE, lines_in(F.col("ws"), tolerance).alias("lines"))
+    return pages.select(*PAGE, F.posexplode("lines").alias("line_no", "l")).select(*PAGE, "line_no", "l.y", "l.words")
 
 
 def line_text(words: Column) -> Column:
@@ -53,12 +75,9 @@ def _first(words: Column, *tokens: str) -> Column:
     return F.try_element_at(F.filter(words, lambda w: F.lower(w["text"]).isin(*tokens)), F.lit(1))
 
 
-def _by_x(words: Column) -> Column:
-    return F.array_sort(F.transform(words, lambda w: F.struct(w["x0"].alias("x0"), w["y"].alias("b"), w["word_no"].alias("c"), w["x1"].alias("x1"))))
-
-
 def _leftmost(words: Column, token: str, rank: int = 1) -> Column:
-    return F.try_element_at(_by_x(F.filter(words, lambda w: F.lower(w["text"]) == token)), F.lit(rank))
+    """By (x0, y, word_no), the order of the words' own fields."""
+    return F.try_element_at(F.array_sort(F.filter(words, lambda w: F.lower(w["text"]) == token)), F.lit(rank))
 
 
 def _has(text: Column, *parts: str) -> Column:
@@ -68,69 +87,111 @@ def _has(text: Column, *parts: str) -> Column:
     return out
 
 
-def _windows(lines: DataFrame, dialect: str) -> DataFrame:
-    """(doc_id, page_no, line_no, size, near): runs of lines whose text holds the headings."""
-    by = Window.partitionBy(*PAGE).orderBy("line_no")
-    low = F.lower(line_text(F.col("words")))
-    if dialect == "A":
-        rows = lines.withColumn("near", F.flatten(F.collect_list("words").over(by.rowsBetween(-1, 0)))).filter(_has(low, "description", "spend", "categories", "amount"))
-        return rows.filter(_has(F.lower(line_text(F.col("near"))), "trans", "post", "date")).select(*PAGE, "line_no", F.lit(1).alias("size"), "near")
-    if dialect == "B":
-        rows = lines.withColumn("near", F.flatten(F.collect_list("words").over(by.rowsBetween(0, 1)))).filter(_has(low, "transaction", "balance", "out", "in") & (F.regexp_count(low, F.lit("funds")) >= 2))
-        return rows.filter(_has(F.lower(line_text(F.col("near"))), "trans.", "eff.", "date")).select(*PAGE, "line_no", F.lit(1).alias("size"), "near")
-    runs = lines.withColumn("run", F.collect_list("words").over(by.rowsBetween(0, 4)))
-    sized = runs.select(*PAGE, "line_no", "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("size")).select(*PAGE, "line_no", "size", F.flatten(F.slice("run", F.lit(1), F.col("size"))).alias("near"))
-    tokens = F.regexp_extract_all(F.lower(line_text(F.col("near"))), F.lit("([a-z]+)"), F.lit(1))
-    return sized.filter(has_tokens(tokens, ["transaction", "posting", "activity", "description", "amount", "date"]))
+def _near(lines: Column, start: Column, size: Column) -> Column:
+    return F.flatten(F.transform(F.slice(lines, start + 1, size), lambda x: x["words"]))
 
 
-def heading_start(lines: DataFrame, dialect: str) -> DataFrame:
-    """(doc_id, page_no, start): the first line of the smallest, then earliest window that holds the headings."""
-    return _windows(lines, dialect).groupBy(*PAGE).agg(F.min_by("line_no", F.struct("size", "line_no")).alias("start"))
+def _with_windows(pages: DataFrame, dialect: str) -> DataFrame:
+    """``pages`` (with ``lines``) and ``windows``: (line_no, first, size) of the runs of lines whose text holds the headings, best first."""
+    low = F.transform("lines", lambda x: F.lower(line_text(x["words"])))
+    n = F.size("lines")
+    every = F.sequence(F.lit(0), n - 1)
+    if dialect in "AB":
+        texts = pages.withColumn("low", low)
 
+        def text(i: Column) -> Column:
+            return F.coalesce(F.get("low", i), F.lit(""))
 
-def headers(lines: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:
-    """(doc_id, page_no, cuts, right_edge, bottom) of the pages that have a heading.
+        if dialect == "A":
+            ok = F.filter(every, lambda i: _has(text(i), "description", "spend", "categories", "amount") & _has(F.concat_ws(" ", F.get("low", i - 1), text(i)), "trans", "post", "date"))
+            first, size = (lambda i: F.greatest(i - 1, F.lit(0))), (lambda i: F.least(i + 1, F.lit(2)))
+        else:
+            ok = F.filter(every, lambda i: _has(text(i), "transaction", "balance", "out", "in") & (F.regexp_count(text(i), F.lit("funds")) >= 2) & _has(F.concat_ws(" ", text(i), F.get("low", i + 1)), "trans.", "eff.", "date"))
+            first, size = (lambda i: i), (lambda i: F.least(n - i, F.lit(2)))
+        found = F.transform(ok, lambda i: F.struct(i.alias("line_no"), first(i).alias("first"), size(i).alias("size")))
+        return texts.withColumn("windows", found).drop("low")
 
-    The smallest, then earliest window counts whose anchors are all there, in x
-    order.  ``cuts`` are the columns' left edges; ``right_edge`` only in dialect C.
-    """
-    near = F.col("near")
+    # A bit for each heading word that a line holds; a window holds the headings if its lines have all bits together.
+    def bits(t: Column) -> Column:
+        tokens = F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1))
+        every_bit = let(tokens, lambda k: sum((F.when(F.array_contains(k, w), 1 << b).otherwise(0) for b, w in enumerate(HEADING_TOKENS)), F.lit(0)))
+        return F.when(t.rlike("|".join(HEADING_TOKENS)), every_bit).otherwise(0)
+
+    masks = pages.withColumn("masks", F.transform(low, bits))
+    whole = (1 << len(HEADING_TOKENS)) - 1
+    none = F.array().cast("array<struct<line_no:int,first:int,size:int>>")
+
+    def together(m: Column) -> Column:
+        return F.aggregate(m, F.lit(0), lambda a, x: a.bitwiseOR(x)) == whole
+
+    def run(size: int) -> Column:
+        ok = F.filter(F.sequence(F.lit(0), n - size), lambda i: together(F.slice("masks", i + 1, F.lit(size))))
+        return F.when(n >= size, F.transform(ok, lambda i: F.struct(i.alias("line_no"), i.alias("first"), F.lit(size).alias("size")))).otherwise(none)
+
+    found = F.concat(*(run(size) for size in range(1, MOST_LINES + 1)))
+    return masks.withColumn("windows", F.when(together(F.col("masks")), found).otherwise(none)).drop("masks")
+
+
+def _anchors(near: Column, dialect: str, margin: float) -> Column:
+    """(cuts, right_edge, bottom) of a window's words; ``cuts`` may hold nulls or be out of order."""
     if dialect == "A":
         picked = [_leftmost(near, t) for t in ("trans", "post", "description", "spend")] + [_first(near, "amount($)", "amount")]
     elif dialect == "B":
         picked = [_first(near, t) for t in ("trans.", "eff.", "transaction")] + [_leftmost(near, "funds", k) for k in (1, 2)] + [_first(near, "balance")]
     else:
         picked = [_first(near, t) for t in ("transaction", "posting", "activity")] + [_first(near, "amount($)", "amount")]
-    right = picked[-1]["x1"] + margin if dialect == "C" else F.lit(None).cast("double")
-    found = _windows(lines, dialect).select(*PAGE, "line_no", "size", "near", F.array(*(p["x0"] for p in picked)).alias("cuts"), right.alias("right_edge"))
-    whole = found.filter(F.forall("cuts", lambda x: x.isNotNull()) & (F.col("cuts") == F.array_sort("cuts")))
-    under = F.filter("near", lambda w: F.col("right_edge").isNull() | (center_x(w) < F.col("right_edge")))
-    ended = whole.select(*PAGE, "size", "line_no", "cuts", "right_edge", F.array_max(F.transform(under, lambda w: w["y1"])).alias("bottom"))
-    best = ended.groupBy(*PAGE).agg(F.min_by(F.struct("cuts", "right_edge", "bottom"), F.struct("size", "line_no")).alias("h"))
-    return best.select(*PAGE, "h.*")
+    cuts = F.array(*(p["x0"] for p in picked)).alias("cuts")
+    if dialect != "C":
+        return F.struct(cuts, F.lit(None).cast("double").alias("right_edge"), F.array_max(F.transform(near, lambda w: w["y1"])).alias("bottom"))
+
+    def under(right: Column) -> Column:
+        inside = F.filter(near, lambda w: right.isNull() | (center_x(w) < right))
+        return F.struct(cuts, right.alias("right_edge"), F.array_max(F.transform(inside, lambda w: w["y1"])).alias("bottom"))
 
+    return let(picked[-1]["x1"] + margin, under)
+
+
+def with_heading(pages: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:
+    """The ``pages`` (with ``lines``) that have a heading, and ``head``: (cuts, right_edge, bottom).
+
+    The smallest, then earliest window counts whose anchors are all there, in x
+    order.  ``cuts`` are the columns' left edges; ``right_edge`` only in dialect C.
+    """
+    windows = _with_windows(pages, dialect)
+    tried = F.transform("windows", lambda c: let(_near(F.col("lines"), c["first"], c["size"]), lambda near: _anchors(near, dialect, margin)))
+    whole = F.filter(tried, lambda h: F.forall(h["cuts"], lambda x: x.isNotNull()) & (h["cuts"] == F.array_sort(h["cuts"])))
+    # An explosion of at most one, not a filter: that would be pushed down and evaluate everything below it twice.
+    return windows.select(*(c for c in windows.columns if c != "windows"), F.explode(F.slice(whole, 1, 1)).alias("head"))
 
-def region(words: DataFrame, heads: DataFrame) -> DataFrame:
-    """Words from just above the heading's bottom, left of the right edge if there is one."""
-    both = words.join(heads.select(*PAGE, "right_edge", "bottom"), PAGE)
-    inside = (F.col("y0") >= F.col("bottom") - 1) & (F.col("right_edge").isNull() | ((F.col("x0") + F.col("x1")) / 2 < F.col("right_edge")))
-    return both.filter(inside).drop("right_edge", "bottom")
 
+def _by_page(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", "y", "words"))).alias("lines"))
 
-def cells_of(n: int, left_edge: bool) -> Column:
-    """The normalized text of each of ``n`` columns of a line (columns words, cuts, right_edge); by left edge or centre."""
+
+def heading_start(lines: DataFrame, dialect: str) -> DataFrame:
+    """(doc_id, page_no, start): the first line of the smallest, then earliest window that holds the headings."""
+    found = _with_windows(_by_page(lines), dialect).filter(F.size("windows") > 0)
+    return found.select(*PAGE, F.get("lines", F.get("windows", F.lit(0))["line_no"])["line_no"].alias("start"))
+
+
+def headers(lines: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:
+    """(doc_id, page_no, cuts, right_edge, bottom) of the pages that have a heading (``with_heading``)."""
+    return with_heading(_by_page(lines), dialect, margin).select(*PAGE, "head.*")
+
+
+def region(ws: Column, head: Column) -> Column:
+    """The words from just above the heading's bottom, left of the right edge if there is one."""
+    return F.filter(ws, lambda w: (w["y0"] >= head["bottom"] - 1) & (head["right_edge"].isNull() | (center_x(w) < head["right_edge"])))
+
+
+def cells_of(words: Column, head: Column, n: int, left_edge: bool) -> Column:
+    """The normalized text of each of ``n`` columns of a line; by left edge or centre."""
 
     def place(w: Column) -> Column:
         return w["x0"] if left_edge else center_x(w)
 
-    def cell(k: int) -> Column:
-        def inside(w: Column) -> Column:
-            ok = (w["text"] != GLYPH) & (F.col("right_edge").isNull() | (center_x(w) < F.col("right_edge")))
-            if k:
-                ok = ok & (place(w) >= F.col("cuts")[k])
-            return ok & (place(w) < F.col("cuts")[k + 1]) if k < n - 1 else ok
-
-        return normalize(line_text(F.filter("words", inside)))
+    def inside(w: Column, k: Column) -> Column:
+        return ((k == 0) | (place(w) >= F.get(head["cuts"], k))) & ((k == n - 1) | (place(w) < F.get(head["cuts"], k + 1)))
 
-    return F.array(*map(cell, range(n)))
+    shown = F.filter(words, lambda w: (w["text"] != GLYPH) & (head["right_edge"].isNull() | (center_x(w) < head["right_edge"])))
+    return let(shown, lambda ws: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: normalize(line_text(F.filter(ws, lambda w: inside(w, k))))))

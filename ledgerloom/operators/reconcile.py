@@ -1,15 +1,16 @@
 """Accept or reject statements, and summaries of a batch.
 
 First hit wins: unreadable, no text at all, no table, totals or balances not
-printed, totals that don't match.  Sums are exact decimals.
+printed, totals that don't match.  Sums are exact decimals.  A text counts
+without the Unicode white space at its ends.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import money_text, page_list, parse_amount
+from ledgerloom.functions import money_text, output_name, page_list, parse_amount, strip
 
 OK, FAILED = "Success", "Failed"
 MONEY = "decimal(18,2)"
@@ -29,23 +30,23 @@ def statement_status(pages: DataFrame, rows: DataFrame, dialect: str, facts: Dat
     """A row per document of ``pages``: (doc_id, status, n_txn, source_pages, error), and the sums and facts.
 
     A failed statement counts no transactions and no pages.  ``pages`` may carry
-    ``read_error`` (null where the document could be read).
+    ``read_error``, the whole message (null where the document could be read).
     """
     read_error = F.first("read_error", ignorenulls=True) if "read_error" in pages.columns else F.lit(None).cast("string")
-    docs = pages.groupBy("doc_id").agg(F.sum(F.length(F.trim("page_text"))).alias("characters"), read_error.alias("read_error"))
+    docs = pages.groupBy("doc_id").agg(F.sum(F.length(strip(F.col("page_text")))).alias("characters"), read_error.alias("read_error"))
     all_ = docs.join(statement_sums(rows, dialect), "doc_id", "left")
     if facts is not None:
         all_ = all_.join(facts, "doc_id", "left")
     none = F.coalesce("n_txn", F.lit(0)) == 0
     error = (
-        F.when(F.col("read_error").isNotNull(), F.concat(F.lit("Could not read PDF: "), F.col("read_error")))
+        F.when(F.col("read_error").isNotNull(), F.col("read_error"))
         .when(none & (F.coalesce("characters", F.lit(0)) == 0), "No readable text was found; the statement is image-only and needs OCR.")
         .when(none, "No readable transaction table was found; the transaction page may be image-only." if dialect == "C" else f"No transaction table matching profile '{display_name}' was found.")
     )
     if dialect == "B":
         error = error.when(F.col("total_out").isNull() | F.col("total_in").isNull(), "Statement totals were not found.").when(
             (F.col("sum_out") != F.col("total_out")) | (F.col("sum_in") != F.col("total_in")),
-            F.concat(F.lit("Totals do not match. Extracted funds out: "), money_text(F.col("sum_out")), F.lit("; statement: "), money_text(F.col("total_out")), F.lit(". Extracted funds in: "), money_text(F.col("sum_in")), F.lit("; statement: "), money_text(F.col("total_in")), F.lit(".")),
+            F.concat(F.lit("Statement totals do not match. Extracted funds out: "), money_text(F.col("sum_out")), F.lit("; statement: "), money_text(F.col("total_out")), F.lit(". Extracted funds in: "), money_text(F.col("sum_in")), F.lit("; statement: "), money_text(F.col("total_in")), F.lit(".")),
         )
     elif dialect == "C":
         change = (F.col("new_balance") - F.col("previous_balance")).cast(MONEY)
@@ -62,22 +63,47 @@ def statement_status(pages: DataFrame, rows: DataFrame, dialect: str, facts: Dat
     )
 
 
+def accept(rows: DataFrame, dialect: str, facts: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+    """The transactions of statements that reconcile, by sums beside each row, so ``rows`` is evaluated once.
+
+    The same statements as ``statement_status`` accepts; ``unreadable`` (doc_id) never are.
+    """
+    of = Window.partitionBy("doc_id")
+    kept = rows
+    if dialect != "A":
+        named = ["funds_out", "funds_in"] if dialect == "B" else ["amount"]
+        sums = {f"__{c}": F.coalesce(F.sum(F.when(F.col(c) != "", parse_amount(F.col(c)))).over(of), F.lit(0)).cast(MONEY) for c in named}
+        beside = rows.withColumns(sums).join(facts, "doc_id")
+        if dialect == "B":
+            right = (F.col("__funds_out") == F.col("total_out")) & (F.col("__funds_in") == F.col("total_in"))
+        else:
+            right = F.col("__amount") == (F.col("new_balance") - F.col("previous_balance")).cast(MONEY)
+        kept = beside.filter(right).select(*rows.columns)
+    return kept if unreadable is None else kept.join(unreadable, "doc_id", "left_anti")
+
+
 def accepted(rows: DataFrame, statuses: DataFrame) -> DataFrame:
     """Transactions of accepted statements."""
     return rows.join(statuses.filter(F.col("status") == OK).select("doc_id"), "doc_id", "left_semi")
 
 
-def batch_summary(statuses: DataFrame, profile_id: str, version: int, institution: str) -> DataFrame:
-    """The batch report, with the columns and texts that its file has."""
+def batch_summary(statuses: DataFrame, profile_id: str, version: int, institution: str, target: Column | None = None) -> DataFrame:
+    """The batch report, with the columns and texts that its file has; target: where each document's rows were written.
+
+    ``doc_id`` is the file's path below the input folder, with or without its ending.
+    """
+    file = F.element_at(F.split("doc_id", "/"), -1)
+    file = F.when(file.rlike(r"\.[^.]+$"), file).otherwise(F.concat(file, F.lit(".pdf")))
+    target = output_name(F.col("doc_id")) if target is None else target
     return statuses.select(
         F.lit(profile_id).alias("profile_id"),
         F.lit(version).alias("profile_version"),
         F.lit(institution).alias("institution"),
-        F.concat("doc_id", F.lit(".pdf")).alias("pdf_file"),
+        file.alias("pdf_file"),
         "status",
         F.col("n_txn").alias("transactions"),
         page_list(F.col("source_pages")).alias("pages"),
-        F.when(F.col("status") == OK, F.concat("doc_id", F.lit("_transactions.csv"))).otherwise("").alias("output_csv"),
+        F.when(F.col("status") == OK, target).otherwise("").alias("output_csv"),
         F.coalesce("error", F.lit("")).alias("error"),
     )
 

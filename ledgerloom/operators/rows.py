@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import export_amount, is_amount, is_lenient_date, is_strict_date, lenient_date, normalize, repair_activity
 
-from .layout import PAGE, cells_of, headers, lines_of, region
+from .layout import PAGE, cells_of, lines_in, page_words, region, with_heading
 
 COLUMNS = {
     "A": ["trans_date", "post_date", "description", "spend_categories", "amount"],
@@ -19,21 +19,29 @@ COLUMNS = {
 }
 
 
+def table_lines_in(pages: DataFrame, dialect: str, tolerance: float = 2.5) -> DataFrame:
+    """``layout.page_words`` -> (doc_id, page_no, line_no, y, cells) below each page's heading."""
+    head = F.col("head")
+    headed = with_heading(pages.withColumn("lines", lines_in(F.col("ws"), tolerance)), dialect).select(*PAGE, "head", region(F.col("ws"), head).alias("ws"))
+    lined = headed.select(*PAGE, "head", F.transform(lines_in(F.col("ws"), tolerance), lambda x, i: F.struct(i.alias("line_no"), x["y"].alias("y"), x["words"].alias("words"))).alias("lines"))
+    below = F.filter("lines", lambda x: x["y"] > head["bottom"] + 1)
+    cells = F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), x["y"].alias("y"), cells_of(x["words"], head, len(COLUMNS[dialect]), dialect == "A").alias("cells")))
+    return lined.select(*PAGE, F.inline(cells))
+
+
 def table_lines(words: DataFrame, dialect: str, tolerance: float = 2.5, excluded: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, line_no, y, cells) below each page's heading; pages in ``excluded`` (doc_id, page_no) give none."""
-    if excluded is not None:
-        words = words.join(excluded, ["doc_id", "page_no"], "left_anti")
-    heads = headers(lines_of(words, tolerance), dialect)
-    lines = lines_of(region(words, heads), tolerance).join(heads, PAGE)
-    below = lines.filter(F.col("y") > F.col("bottom") + 1)
-    return below.select(*PAGE, "line_no", "y", cells_of(len(COLUMNS[dialect]), dialect == "A").alias("cells"))
+    return table_lines_in(without(page_words(words), excluded), dialect, tolerance)
+
+
+def without(pages: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    return pages if excluded is None else pages.join(excluded, PAGE, "left_anti")
 
 
 def classify(lines: DataFrame, dialect: str) -> DataFrame:
     """``kind`` of each line that isn't blank."""
     c = [F.col("cells")[k] for k in range(len(COLUMNS[dialect]))]
-    joined = normalize(F.concat_ws(" ", *c))
-    low = F.lower(joined)
+    low = F.col("low")
     none = F.lit(True)
     if dialect == "A":
         kind = (
@@ -61,7 +69,8 @@ def classify(lines: DataFrame, dialect: str) -> DataFrame:
             .when(is_lenient_date(c[0]) & is_lenient_date(c[1]) & (c[2] != "") & is_amount(c[3]), "T")
             .when(none & (c[2] != ""), "C")
         )
-    return lines.filter(joined != "").withColumn("kind", kind.otherwise("O"))
+    texts = lines.withColumn("low", F.lower(normalize(F.array_join("cells", " "))))
+    return texts.filter(low != "").withColumn("kind", kind.otherwise("O")).drop("low")
 
 
 def attach(lines: DataFrame, dialect: str, gap: float = 18.0) -> DataFrame:
@@ -107,6 +116,10 @@ def stitch(attached: DataFrame, dialect: str) -> DataFrame:
     return rows.select("doc_id", "page_no", "line_no", *(x.alias(n) for x, n in zip(out, COLUMNS[dialect], strict=True)))
 
 
+def transactions_in(pages: DataFrame, dialect: str, tolerance: float = 2.5, gap: float = 18.0, excluded: DataFrame | None = None) -> DataFrame:
+    """The transactions of ``layout.page_words``."""
+    return stitch(attach(classify(table_lines_in(without(pages, excluded), dialect, tolerance), dialect), dialect, gap), dialect)
+
+
 def transactions(words: DataFrame, dialect: str, tolerance: float = 2.5, gap: float = 18.0, excluded: DataFrame | None = None) -> DataFrame:
-    lines = classify(table_lines(words, dialect, tolerance, excluded), dialect)
-    return stitch(attach(lines, dialect, gap), dialect)
+    return transactions_in(page_words(words), dialect, tolerance, gap, excluded)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import facts, reconcile, rows
+from ledgerloom.operators import facts, layout, reconcile, rows
 from ledgerloom.sources.profiles import Profile
 
-#: The printed names of each dialect's columns.
+# The printed names of each dialect's columns.
 PRINTED = {
     "A": ["Trans date", "Post date", "Description", "Spend Categories", "Amount($)"],
     "B": ["Trans. date", "Eff. date", "Transaction", "Funds out", "Funds in", "Balance"],
@@ -26,16 +27,38 @@ class Statements:
 
 
 def process(words: DataFrame, pages: DataFrame, profile: Profile) -> Statements:
-    """Extract, stitch and reconcile every document of ``pages``; a bad one is a status, not an exception."""
+    """Extract, stitch and reconcile every document of ``pages``; a bad one is a status, not an exception.
+
+    Words are read and shuffled once for rows and balances; accepted rows come
+    from the same pass as their sums.
+    """
     d = profile.dialect
     out = facts.excluded_pages(pages, list(profile.excluded_page_phrases))
-    found = rows.transactions(words, d, profile.line_tolerance, profile.continuation_gap, out)
-    printed = facts.printed_totals(pages) if d == "B" else facts.printed_balances(words, profile.line_tolerance) if d == "C" else None
+    held = layout.page_words(words)
+    found = rows.transactions_in(held, d, profile.line_tolerance, profile.continuation_gap, out)
+    printed = facts.printed_totals(pages) if d == "B" else facts.printed_balances_in(held, profile.line_tolerance) if d == "C" else None
     status = reconcile.statement_status(pages, found, d, printed, profile.display_name)
-    return Statements(reconcile.accepted(found, status), found, status)
+    unreadable = pages.filter("read_error is not null").select("doc_id").distinct() if "read_error" in pages.columns else None
+    return Statements(reconcile.accept(found, d, printed, unreadable), found, status)
 
 
-def export(transactions: DataFrame, profile: Profile) -> DataFrame:
+def process_all(words: DataFrame, pages: DataFrame, chosen: list[Profile]) -> tuple[dict[str, Statements], DataFrame]:
+    """Documents of several profiles at once: ``words`` and ``pages`` carry ``profile_id``.
+
+    Returns each profile's statements, and the statuses of all with profile_id,
+    version and institution.  Documents of a profile that isn't given are left out.
+    """
+    made = {p.profile_id: process(*(t.filter(F.col("profile_id") == p.profile_id).drop("profile_id") for t in (words, pages)), p) for p in chosen}
+    named = [made[p.profile_id].status.select(F.lit(p.profile_id).alias("profile_id"), F.lit(p.profile_version).alias("profile_version"), F.lit(p.institution).alias("institution"), "*") for p in chosen]
+    return made, reduce(DataFrame.unionByName, named)
+
+
+def printed_columns(profile: Profile) -> list[Column]:
     """The columns that the profile names, in its order; a name that the dialect lacks is all empty."""
     own = dict(zip(PRINTED[profile.dialect], rows.COLUMNS[profile.dialect], strict=True))
-    return transactions.orderBy("doc_id", "page_no", "line_no").select(*((F.col(own[h]) if h in own else F.lit(None).cast("string")).alias(h) for h in profile.required_headers))
+    return [(F.col(own[h]) if h in own else F.lit(None).cast("string")).alias(h) for h in profile.required_headers]
+
+
+def export(transactions: DataFrame, profile: Profile) -> DataFrame:
+    """``printed_columns`` in the order of the statements' rows."""
+    return transactions.orderBy("doc_id", "page_no", "line_no").select(*printed_columns(profile))

@@ -7,15 +7,16 @@ what the synthetic pages must yield.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import functions as fn
 from ledgerloom.operators import facts, layout, reconcile, rows
-from ledgerloom.plans import process
+from ledgerloom.plans import process, process_all
 from ledgerloom.sources import profiles, synthetic
+from ledgerloom.sources.storage import materialize
 
 PARSER = {d: p for p, d in profiles.PARSERS.items()}
 
@@ -37,7 +38,8 @@ def synthetic_profile(dialect: str) -> profiles.Profile:
 
 
 def _processed(spark: SparkSession, sf_dir: str, dialect: str):
-    return process(_words(spark, sf_dir, dialect), _pages(spark, sf_dir, dialect), synthetic_profile(dialect))
+    # Words are read once; page texts, several times.
+    return process(_words(spark, sf_dir, dialect), materialize(_pages(spark, sf_dir, dialect)), synthetic_profile(dialect))
 
 
 # Text operators -----------------------------------------------------------
@@ -55,9 +57,29 @@ def mask_digits(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", fn.mask_digits(F.col("text")).alias("masked"))
 
 
+def _document_pages(spark, sf_dir):
+    """Documents as pages, some with white space of several kinds around them."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n \t"), "text", F.lit("\x1c\u00a0\n"))).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 100).cast("string")).alias("doc_id"), F.col("doc_id").alias("page_no"), text.alias("page_text"), (F.col("doc_id") % 4).cast("int").alias("images"))
+
+
+def _document_words(pages: DataFrame) -> DataFrame:
+    return pages.select("doc_id", "page_no", F.explode(F.split(fn.normalize(F.col("page_text")), " ")).alias("text")).filter("text <> ''")
+
+
 def page_text_stats(spark, sf_dir):
-    text = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", F.length(F.trim(text)).cast("long").alias("characters"), F.size(F.split(fn.normalize(text), " ")).cast("long").alias("words"))
+    pages = _document_pages(spark, sf_dir)
+    stats = facts.page_stats(pages, _document_words(pages))
+    return stats.select(F.col("page_no").alias("doc_id"), F.col("text_characters").cast("long").alias("characters"), F.col("positioned_words").alias("words"), "images", F.col("text_hash").alias("hash"))
+
+
+def _page_pair(spark, sf_dir):
+    """Statistics of documents as pages, and of a copy with some pages dropped, emptied or changed."""
+    pages = _document_pages(spark, sf_dir)
+    text, no = F.col("page_text"), F.col("page_no")
+    changed = F.when(no % 53 == 2, "\n ").when(no % 89 == 3, F.replace(text, F.lit("e"), F.lit("E"))).when(no % 71 == 4, F.concat(text, F.lit(" more"))).otherwise(text)
+    after = pages.filter("page_no % 97 <> 5").withColumn("page_text", changed)
+    return (facts.page_stats(p, _document_words(p)) for p in (pages, after))
 
 
 def page_exclusion(spark, sf_dir):
@@ -217,7 +239,7 @@ def _status_sql(d: str) -> str:
     table = "No readable transaction table was found; the transaction page may be image-only." if d == "C" else f"No transaction table matching profile 'Synthetic {d}' was found."
     more = ""
     if d == "B":
-        more = f"""WHEN total_out IS NULL OR total_in IS NULL THEN 'Statement totals were not found.' WHEN so <> total_out OR si <> total_in THEN 'Totals do not match. Extracted funds out: ' || {m("so")} || '; statement: ' || {m("total_out")} || '. Extracted funds in: ' || {m("si")} || '; statement: ' || {m("total_in")} || '.'"""
+        more = f"""WHEN total_out IS NULL OR total_in IS NULL THEN 'Statement totals were not found.' WHEN so <> total_out OR si <> total_in THEN 'Statement totals do not match. Extracted funds out: ' || {m("so")} || '; statement: ' || {m("total_out")} || '. Extracted funds in: ' || {m("si")} || '; statement: ' || {m("total_in")} || '.'"""
     if d == "C":
         more = f"""WHEN ck % 50 = 10 THEN 'Statement balances were not found.' WHEN sv <> change THEN 'Does not reconcile. Extracted: ' || {m("sv")} || '; expected change: ' || {m("change")} || '.'"""
     return (
@@ -250,20 +272,21 @@ def display_totals(spark, sf_dir):
 
 
 def text_layer_preserved(spark, sf_dir):
-    """Documents as pages against a copy with some pages dropped, emptied or changed."""
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 100).cast("string")).alias("doc_id"), F.col("doc_id").alias("page_no"), F.col("text").alias("page_text"))
+    return facts.text_layer_preserved(*_page_pair(spark, sf_dir))
 
-    def stats(pages: DataFrame) -> DataFrame:
-        text = F.col("page_text")
-        return pages.select("doc_id", "page_no", F.length(F.trim(text)).alias("text_characters"), F.size(F.split(fn.normalize(text), " ")).alias("positioned_words"), fn.text_hash(text).alias("text_hash"))
 
-    k = F.col("page_no") % 89
-    after = docs.filter("page_no % 97 <> 5").withColumn("page_text", F.when(k == 3, F.upper("page_text")).otherwise(F.col("page_text")))
-    return facts.text_layer_preserved(stats(docs), stats(after))
+def page_totals(spark, sf_dir):
+    return facts.page_totals(*_page_pair(spark, sf_dir))
 
 
-TEXT_LAYER = """SELECT doc_id, CASE WHEN lone = 1 THEN 'page count changed' WHEN changed = 1 THEN 'page text changed' ELSE 'preserved' END AS status FROM (
- SELECT 'd' || (doc_id % 100) AS doc_id, max(CASE WHEN doc_id % 97 = 5 THEN 1 ELSE 0 END) AS lone, max(CASE WHEN doc_id % 97 <> 5 AND doc_id % 89 = 3 AND upper(text) <> text THEN 1 ELSE 0 END) AS changed FROM documents GROUP BY 1)"""
+PAIR = r"""WITH p AS (SELECT 'd' || (doc_id % 100) AS doc_id, doc_id AS n, text, CAST(doc_id % 4 AS INTEGER) AS images, doc_id % 97 = 5 AS lone, doc_id % 53 = 2 AS emptied, doc_id % 53 <> 2 AND doc_id % 89 = 3 AS upped, doc_id % 53 <> 2 AND doc_id % 89 <> 3 AND doc_id % 71 = 4 AS longer,
+ CAST(length(regexp_replace(text, '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+|[\s\x0b\x1c-\x1f\x{85}\p{Z}]+$', '', 'g')) AS BIGINT) AS c, coalesce(CAST(len(string_split(nullif(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')), ''), ' ')) AS BIGINT), 0) AS w FROM documents),
+q AS (SELECT *, CASE WHEN emptied THEN 0 WHEN longer THEN w + 1 ELSE w END AS w2, CASE WHEN emptied THEN 0 WHEN longer THEN CASE WHEN w = 0 THEN 4 ELSE length(regexp_replace(CASE WHEN n % 3 = 0 THEN chr(10) || ' ' || chr(9) || text || chr(28) || chr(160) || chr(10) ELSE text END || ' more', '^[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', '')) END ELSE c END AS c2 FROM p)
+"""
+TEXT_LAYER = PAIR + """, f AS (SELECT *, CASE WHEN lone OR w = 0 AND c = 0 THEN NULL WHEN w2 = 0 OR c2 = 0 THEN 'page lost its text' WHEN w <> w2 THEN 'page word count changed' WHEN upped AND contains(text, 'e') THEN 'page text changed' END AS bad FROM q)
+SELECT doc_id, CASE WHEN bool_or(lone) THEN 'page count changed' WHEN sum(w) = 0 THEN 'image only before' WHEN sum(w2) = 0 THEN 'image only after' ELSE coalesce(arg_min(bad, n) FILTER (WHERE bad IS NOT NULL), 'preserved') END AS status FROM f GROUP BY 1"""
+PAGE_TOTALS = PAIR + """SELECT doc_id, count(*) AS pages_before, count(*) FILTER (WHERE NOT lone) AS pages_after, CAST(sum(c) AS BIGINT) AS characters_before, CAST(coalesce(sum(c2) FILTER (WHERE NOT lone), 0) AS BIGINT) AS characters_after,
+ CAST(sum(w) AS BIGINT) AS words_before, CAST(coalesce(sum(w2) FILTER (WHERE NOT lone), 0) AS BIGINT) AS words_after, CAST(sum(images) AS BIGINT) AS images_before, CAST(coalesce(sum(images) FILTER (WHERE NOT lone), 0) AS BIGINT) AS images_after FROM q GROUP BY 1"""
 
 
 def masked_layout(spark, sf_dir):
@@ -291,6 +314,42 @@ l AS (SELECT CASE WHEN k = 1 THEN replace(dated, ' ', '') ELSE dated END || CASE
 SELECT regexp_replace(line, '[0-9]', '#', 'g') AS masked, count(*) AS n FROM l GROUP BY 1"""
 
 
+def masked_region(spark, sf_dir):
+    """Every masked text of dialect C's tables, from the heading to the first stop phrase, with its lines."""
+    return facts.masked_table(_words(spark, sf_dir, "C")).groupBy("masked").agg(F.count("*").alias("n"))
+
+
+MASKED_REGION = BASE + """, pg AS (SELECT DISTINCT doc_id, page_no FROM b WHERE o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2)), kept AS (SELECT b.* FROM b JOIN pg USING (doc_id, page_no) WHERE NOT dropped),
+l AS (SELECT CASE WHEN k = 1 THEN replace(dated, ' ', '') ELSE dated END || CASE WHEN k = 8 THEN '' ELSE ' ' || dated END || ' ORD ' || CASE WHEN k = 2 THEN 'Ý ' ELSE '' END || o_orderkey || ' '
+ || CASE k WHEN 9 THEN '$' || plain WHEN 10 THEN plain || '**' WHEN 11 THEN '-' || plain ELSE plain END || CASE WHEN k = 7 THEN ' PANEL' ELSE '' END AS line FROM kept
+ UNION ALL SELECT 'CONT ' || (o_orderkey % 1000) FROM kept WHERE k IN (4, 5, 6)
+ UNION ALL SELECT unnest(['TRANSACTION POSTING REWARDS', 'DATE DATE', 'ACTIVITY DESCRIPTION AMOUNT($)', 'TD MESSAGE CENTRE']) FROM pg)
+SELECT regexp_replace(line, '[0-9]', '#', 'g') AS masked, count(*) AS n FROM l GROUP BY 1"""
+
+
+def line_drift(spark, sf_dir):
+    """Lines of crowded pages, where a line's running mean drifts from word to word, with ties in both directions."""
+    k = F.col("o_orderkey")
+    y = (k * 37) % 96 / 8.0
+    words = synthetic.read_orders(spark, sf_dir).select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("doc_id"), F.lit(1).alias("page_no"), k.alias("word_no"), (k * 5 % 7 * 4.0).alias("x0"), y.alias("y0"), (k * 5 % 7 * 4.0 + 2).alias("x1"), y.alias("y1"), k.cast("string").alias("text"))
+    return layout.lines_of(words, 2.5).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "y", layout.line_text(F.col("words")).alias("words"))
+
+
+LINE_DRIFT = """WITH RECURSIVE w AS (SELECT 'c' || o_custkey AS doc_id, o_orderkey AS k, (o_orderkey * 37) % 96 / 8.0::DOUBLE AS y, o_orderkey * 5 % 7 AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey * 37) % 96, o_orderkey * 5 % 7, o_orderkey) AS i FROM orders),
+f AS (SELECT doc_id, k, y, x, i, CAST(0 AS BIGINT) AS line_no, y AS total, 1 AS n FROM w WHERE i = 1
+ UNION ALL SELECT w.doc_id, w.k, w.y, w.x, w.i, CASE WHEN abs(w.y - f.total / f.n) > 2.5 THEN f.line_no + 1 ELSE f.line_no END, CASE WHEN abs(w.y - f.total / f.n) > 2.5 THEN w.y ELSE f.total + w.y END, CASE WHEN abs(w.y - f.total / f.n) > 2.5 THEN 1 ELSE f.n + 1 END
+ FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1)
+SELECT doc_id, line_no, sum(y) / count(*) AS y, string_agg(CAST(k AS VARCHAR), ' ' ORDER BY x, y, k) AS words FROM f GROUP BY 1, 2"""
+
+
+def status_all(spark, sf_dir):
+    """The statements of all three dialects, each under its profile, in one run."""
+    chosen = [synthetic_profile(d) for d in "ABC"]
+    words, pages = (reduce(DataFrame.unionByName, [make(spark, sf_dir, d).withColumn("profile_id", F.lit(p.profile_id)) for d, p in zip("ABC", chosen, strict=True)]) for make in (_words, _pages))
+    _, found = process_all(words, materialize(pages), chosen)
+    return found.select("profile_id", "doc_id", "status", "n_txn", fn.page_list(F.col("source_pages")).alias("pages"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def _profile_rows(spark, sf_dir):
     """Profiles made from nations, some of them broken."""
     k, name = F.col("n_nationkey"), F.col("n_name")
@@ -333,7 +392,7 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "normalize_text": (normalize_text, f"SELECT doc_id, {_NORMAL} AS normalized {_DOC}"),
     "text_hash": (text_hash, f"SELECT doc_id, sha256({_NORMAL}) AS hash {_DOC}"),
     "mask_digits": (mask_digits, f"SELECT doc_id, regexp_replace(text, '[0-9]', '#', 'g') AS masked {_DOC}"),
-    "page_text_stats": (page_text_stats, f"SELECT doc_id, CAST(length(trim(text)) AS BIGINT) AS characters, CAST(len(string_split({_NORMAL}, ' ')) AS BIGINT) AS words {_DOC}"),
+    "page_text_stats": (page_text_stats, PAIR + r"SELECT n AS doc_id, c AS characters, w AS words, images, sha256(trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))) AS hash FROM p"),
     "page_exclusion": (page_exclusion, f"SELECT doc_id {_DOC} WHERE contains(lower(text), 'rights reserved') AND contains(lower(text), 'the')"),
     "token_superset": (token_superset, f"SELECT doc_id {_DOC} WHERE list_has_all(regexp_extract_all(lower(text), '[a-z]+'), ['the', 'and', 'of', 'with'])"),
     "date_predicate_strict": (date_predicate_strict, STRINGS + "SELECT o_orderkey, k IN (2, 4) OR k = 3 AND false AS ok FROM t"),
@@ -352,6 +411,10 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "batch_counts": (batch_counts, _status_sql("B") + "SELECT count(*) FILTER (WHERE status = 'Success') AS successful, count(*) FILTER (WHERE status = 'Failed') AS failed, CAST(sum(n_txn) AS BIGINT) AS transactions FROM st"),
     "display_totals": (display_totals, _status_sql("B") + "SELECT CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 1), 0) AS DECIMAL(18,2)) AS total_funds_out, CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 0), 0) AS DECIMAL(18,2)) AS total_funds_in FROM tb JOIN (SELECT doc_id FROM st WHERE status = 'Success') USING (doc_id)"),
     "text_layer_preserved": (text_layer_preserved, TEXT_LAYER),
+    "page_totals": (page_totals, PAGE_TOTALS),
+    "line_drift": (line_drift, LINE_DRIFT),
+    "masked_region": (masked_region, MASKED_REGION),
+    "status_all": (status_all, " UNION ALL ".join(f"SELECT 'synthetic_{d.lower()}_v1' AS profile_id, * FROM ({_status_sql(d)}SELECT doc_id, status, n_txn, pages, error FROM st)" for d in "ABC")),
     "masked_layout": (masked_layout, MASKED),
     "masked_layout_lines": (masked_layout_lines, MASKED_LINES),
     "profile_violations": (profile_violations, VIOLATIONS),

@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Parser names and their dialects.
+# Parser names and their dialects, and the numbers that a profile may leave out.
 PARSERS = {"cibc_credit_card": "A", "simplii_chequing_account": "B", "td_visa_credit_card": "C"}
+LINE_TOLERANCE, CONTINUATION_GAP = 2.5, 18.0
 TEXTS = ["profile_id", "display_name", "institution", "document_type", "parser", "input_folder", "output_folder", "file_pattern"]
 LISTS = ["required_headers", "excluded_page_phrases"]
 
@@ -34,8 +35,8 @@ class Profile:
     excluded_page_phrases: tuple[str, ...]
     recursive: bool = False
     preserve_subfolders: bool = False
-    line_tolerance: float = 2.5
-    continuation_gap: float = 18.0
+    line_tolerance: float = LINE_TOLERANCE
+    continuation_gap: float = CONTINUATION_GAP
     source_path: str = ""
 
     @property
@@ -63,7 +64,7 @@ def parse(data: object, source: str = "") -> Profile:
     if flags["preserve_subfolders"] and not flags["recursive"]:
         raise ProfileError("preserve_subfolders needs recursive.")
     numbers = {}
-    for k, usual in (("line_tolerance", 2.5), ("continuation_gap", 18.0)):
+    for k, usual in (("line_tolerance", LINE_TOLERANCE), ("continuation_gap", CONTINUATION_GAP)):
         try:
             numbers[k] = float(data.get(k, usual))
         except (TypeError, ValueError):

@@ -110,7 +110,7 @@ def page_texts(orders: DataFrame, dialect: str) -> DataFrame:
         printed = F.concat(F.lit("\nTotal funds out "), F.col("o"), F.lit("\nTOTAL  FUNDS IN "), F.col("i"))
         text = F.concat(text, F.when((F.col("page_no") == F.col("last")) & (F.col("o_custkey") % 50 != 10), printed).otherwise(""))
     out = F.concat(text, F.when((F.col("o_custkey") % 50 == 7) & (F.col("page_no") == 2), F.lit("\nSPECIAL offers AND examples")).otherwise(""))
-    return pages.select("doc_id", "page_no", F.when(F.col("o_custkey") % 50 == 9, "").otherwise(out).alias("page_text"))
+    return pages.select("doc_id", "page_no", F.when(F.col("o_custkey") % 50 == 9, "\n \n").otherwise(out).alias("page_text"))
 
 
 EXCLUDED = ["special offers", "examples"]
