@@ -39,7 +39,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, fresh, id_text, map_arrow, materialize, steps
@@ -119,10 +119,32 @@ class RecentWindows:
         return out
 
 
+def _together(keys: list[np.ndarray], known: np.ndarray, row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Rows of one key and text as one: (the row of each, its first position, its other positions or null).
+
+    So a text that repeats itself sends a window once, and all that is known of a text is one row.
+    """
+    order = np.lexsort((pos, *keys, known, row))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in (*keys, known, row):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(order)))
+    rest = np.concatenate(([0], np.cumsum(size - 1))).astype(np.int32)
+    more = pa.ListArray.from_arrays(pa.array(rest), pa.array(pos[order][~new].astype(np.int32)), mask=pa.array(size == 1))
+    return order[first], pa.array(pos[order[first]].astype(np.int32)), more
+
+
+def _places() -> Column:
+    """All positions of a group of rows."""
+    return F.flatten(F.collect_list(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))))
+
+
 def anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
-    """(key, known, h1, pos) of each cover position with a whole anchor window, for texts that have a whole window.
+    """(key, known, h1, pos, more) of cover positions with a whole anchor window, for texts that have a whole window.
 
-    ``known``: the anchor is shared, and ``key`` is the text; else ``key`` is the anchor.
+    ``known``: the anchors are shared, and ``key`` is the text; else ``key`` is the anchor.
     """
     cover = np.zeros(period, bool)
     cover[difference_cover(period)] = True
@@ -149,15 +171,16 @@ def anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
             anchor, text = w.windows(size)[at], h1[row]
             known = recent.known(anchor, text)
             key = np.where(known, text, anchor.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(known), pa.array(text), pa.array(pos.astype(np.int32))], ["key", "known", "h1", "pos"])
+            one, first, more = _together([key], known, row, pos)
+            yield pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(known[one]), pa.array(text[one]), first, more], ["key", "known", "h1", "pos", "more"])
 
-    return texts.select("h1", "text").mapInArrow(run, "key long, known boolean, h1 long, pos int")
+    return texts.select("h1", "text").mapInArrow(run, "key long, known boolean, h1 long, pos int, more array<int>")
 
 
 def windows(texts: DataFrame, length: int, period: int, h1: str, h2: str, spots: str) -> DataFrame:
-    """(k1, k2, known, h1, h2, doc_id, pos) of each window that holds a shared anchor (column ``spots``: their positions).
+    """(k1, k2, known, h1, h2, doc_id, pos, more) of windows that hold a shared anchor (column ``spots``: their positions).
 
-    ``known``: a smaller document has the window, and the key is the text; else the key is the window.
+    ``known``: smaller documents have the windows, and the key is the text; else the key is the window.
     """
     size = length - period + 1
 
@@ -183,10 +206,10 @@ def windows(texts: DataFrame, length: int, period: int, h1: str, h2: str, spots:
             own = [b.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False)[row] for c in (h1, h2, "doc_id")]
             known = recent.known(w1, w2, own[2])
             keys = [np.where(known, own[k], x.view(np.int64)) for k, x in enumerate((w1, w2))]
-            cols = [*keys, known, *own, (at - w.first[row]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["k1", "k2", "known", "h1", "h2", "doc_id", "pos"])
+            one, first, more = _together(keys, known, row, at - w.first[row])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[one]) for x in (*keys, known, *own)), first, more], ["k1", "k2", "known", "h1", "h2", "doc_id", "pos", "more"])
 
-    return map_arrow(texts, run, "k1 long, k2 long, known boolean, h1 long, h2 long, doc_id long, pos int")
+    return map_arrow(texts, run, "k1 long, k2 long, known boolean, h1 long, h2 long, doc_id long, pos int, more array<int>")
 
 
 def removals(docs: DataFrame, copy: str, cut: str, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
@@ -205,7 +228,7 @@ def removals(docs: DataFrame, copy: str, cut: str, length: int = LENGTH, period:
     seen = anchors(docs.select(one.alias("h1"), text.alias("text")), length, period)
     alike = Window.partitionBy("key")
     shared = seen.withColumn("a", F.min("h1").over(alike)).withColumn("b", F.max("h1").over(alike)).filter("known or a < b")
-    at = shared.groupBy("h1").agg(F.collect_set("pos").alias("at"))
+    at = shared.groupBy("h1").agg(_places().alias("at"))
     near = owners.filter("owner is not null").join(at, "h1").select(F.col("owner").alias(k0), F.col("h1").alias(k1), F.col("h2").alias(k2), F.col("at").alias(spots))
     # A plain equality would filter null ids below the shuffle of the texts, and make it another one than the last join's.
     same = col("doc_id").cast("long").eqNullSafe(F.col(k0)) & (col(h1) == F.col(k1)) & (col(h2) == F.col(k2))
@@ -213,7 +236,7 @@ def removals(docs: DataFrame, copy: str, cut: str, length: int = LENGTH, period:
     found = windows(held, length, period, h1, h2, spots)
     least = F.min(F.when(~F.col("known"), F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
     gone = found.withColumn("least", least).filter("known or doc_id > least")
-    owned = gone.groupBy("doc_id", "h1", "h2").agg(F.collect_set("pos").alias("cut"))
+    owned = gone.groupBy("doc_id", "h1", "h2").agg(_places().alias("cut"))
     # The exchange of its own lets a large group of copies be split in the join.
     several = owners.filter("n > 1").repartition("owner")
     copies = rows.join(several, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2").distinct()

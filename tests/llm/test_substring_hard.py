@@ -81,6 +81,15 @@ def test_a_hot_passage_sends_few_rows(spark):
     assert max(map(max, most)) <= 4, most
 
 
+def test_a_text_that_repeats_itself_sends_a_window_once(spark):
+    ship(spark)
+    docs = spark.createDataFrame([(k, "a b " * 500) for k in range(3)] + [(9, "x " + "a b " * 400)], "doc_id long, text string").coalesce(1)
+    texts = docs.select(F.xxhash64("text").alias("h1"), "text")
+    assert substring.anchors(texts, 50, 31).count() <= 8
+    want = _expected([tuple(r) for r in docs.collect()])
+    assert Counter(tuple(r) for r in substring.dedup_digests(docs).collect()) == want
+
+
 def test_clashing_columns(spark):
     ship(spark)
     shared = " ".join(f"s{k}" for k in range(60))
