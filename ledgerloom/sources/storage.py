@@ -50,7 +50,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    path = getattr(df, "scratch_path", None)
+    if path:
+        Store(df.sparkSession, path).remove(path)
 
 
 class Store:
