@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step of a Python worker takes at a time (one row may be larger).
-STEP_BYTES = 1 << 20
-
+from ledgerloom.sources.storage import discard, materialize, scratch_dir, ship
 
-_shipped: set[str] = set()
+__all__ = ["binary", "col", "discard", "fresh", "id_text", "map_arrow", "materialize", "offsets_of", "scratch_dir", "ship", "steps", "table", "texts_of"]
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: workers needn't have it on their path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_package.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(at))
-    _shipped.add(app)
+#: Bytes of text that one step of a Python worker takes at a time (one row may be larger).
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,28 +40,6 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on one machine, where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = jsc.get() if jsc.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` for columns of any names, dots included."""
     names = df.columns
@@ -90,9 +51,11 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def binary(column: pa.Array) -> pa.Array:
-    """A text column as large_binary without nulls."""
+    """A text or binary column as large_binary without nulls."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        return column.cast(pa.large_binary()).fill_null(b"")
     return column.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"")
 
 

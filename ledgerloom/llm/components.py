@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _rounds(edges: DataFrame, small: bool) -> DataFrame:
@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if n == 0 or (n, mark) == seen:
             break
-        seen = (n, mark)
-        now = materialize(_rounds(_rounds(now, small=False), small=True))
+        seen, before = (n, mark), now
+        now = materialize(_rounds(_rounds(before, small=False), small=True))
+        discard(before)
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
     return now.select("u", F.col("v").alias("root")).union(roots)

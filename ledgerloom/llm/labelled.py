@@ -12,11 +12,14 @@ SAMPLE_CHARS = 20_000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where: Column | None = None) -> tuple[list[str], list[int]]:
-    """At most ``rows`` texts with their labels, chosen by a hash of doc_id, the same on every run."""
+    """At most ``rows`` texts with their labels, chosen by a hash of doc_id, the same on every run.
+
+    Of a doc_id with several labels the least counts, of one with several texts the first in order.
+    """
     ids = labels.select(F.col("doc_id").cast("long").alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y is not null")
     if where is not None:
         ids = ids.filter(where)
-    few = ids.dropDuplicates(["k"]).orderBy(F.xxhash64("k"), "k").limit(rows)
-    got = id_text(docs).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few), F.col("doc_id") == F.col("k")).select("k", "text", "y").dropDuplicates(["k"]).collect()
+    few = ids.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
+    got = id_text(docs).filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(few), F.col("doc_id") == F.col("k")).groupBy("k", "y").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: r.k)
     return [r.text for r in got], [r.y for r in got]

@@ -135,9 +135,82 @@ def _bmp(b: bytes, at: int) -> int:
     return size if ok else 0
 
 
+# Block sizes and sample rates that a FLAC frame's header names by number; bits by sample size number.
+FLAC_BLOCKS = {1: 192, **{k: 576 << (k - 2) for k in range(2, 6)}, **{k: 256 << (k - 8) for k in range(8, 16)}}
+
+
+def _crc8(b: bytes) -> int:
+    crc = 0
+    for x in b:
+        crc ^= x
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x07) & 0xFF if crc & 0x80 else crc << 1
+    return crc
+
+
+@cache
+def _crc16_table() -> tuple[int, ...]:
+    out = []
+    for k in range(256):
+        crc = k << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+        out.append(crc)
+    return tuple(out)
+
+
+def _flac_header(b: bytes, at: int) -> tuple[int, int]:
+    """(length of a frame's header, samples in the frame), zeros if there is none."""
+    if at + 6 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
+        return 0, 0
+    block, rate = b[at + 2] >> 4, b[at + 2] & 15
+    if block == 0 or rate == 15 or b[at + 3] & 1 or b[at + 3] >> 4 > 10:
+        return 0, 0
+    ones = 8 - (b[at + 4] ^ 0xFF).bit_length()  # the frame's number is coded as UTF-8 codes a character
+    if ones in (1, 8):
+        return 0, 0
+    more = max(0, ones - 1)
+    k = at + 5 + more
+    samples = FLAC_BLOCKS.get(block, 0)
+    for code, size in ((6, 1), (7, 2)):
+        if block == code:
+            samples, k = int.from_bytes(b[k : k + size], "big") + 1, k + size
+    k += {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    return (k + 1 - at, samples) if k < len(b) and _crc8(b[at:k]) == b[k] else (0, 0)
+
+
 def _flac(b: bytes, at: int) -> int:
-    """The stream's description must come first and whole; what follows reaches to the blob's end."""
-    return len(b) - at if len(b) >= at + 42 and b[at + 4] & 0x7F == 0 and b[at + 5 : at + 8] == b"\x00\x00\x22" else 0
+    """Metadata blocks from the stream's description on, then frames, each closed by its checksum, up to its count of samples."""
+    k, first = at + 4, True
+    while True:
+        if k + 4 > len(b):
+            return 0
+        kind, n = b[k], int.from_bytes(b[k + 1 : k + 4], "big")
+        if k + 4 + n > len(b) or (first and (kind & 0x7F or n != 34)):
+            return 0
+        if first:
+            left = int.from_bytes(b[k + 4 + 13 : k + 4 + 18], "big") & ((1 << 36) - 1)
+        first, k = False, k + 4 + n
+        if kind & 0x80:
+            break
+    if not left:  # the description leaves the count open: the metadata are all that can be confirmed
+        return k - at
+    table = _crc16_table()
+    while left > 0:
+        head, samples = _flac_header(b, k)
+        if not head:
+            return 0
+        crc, end = 0, 0
+        for j in range(k, len(b)):
+            # Zero over a frame and its checksum; a frame ends where that is and another, or nothing, begins.
+            crc = (crc << 8 & 0xFF00) ^ table[crc >> 8 ^ b[j]]
+            if crc == 0 and j >= k + head + 2 and (left <= samples or _flac_header(b, j + 1)[0]):
+                end = j + 1
+                break
+        if not end:
+            return 0
+        left, k = left - samples, end
+    return k - at
 
 
 VALID = {"image/png": _png, "image/gif": _gif, "image/jpeg": _jpeg, "audio/wav": _wav, "image/bmp": _bmp, "audio/flac": _flac}
@@ -198,7 +271,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in steps(batches, "media"):
             out = []
             for blob, declared in zip(b.column("media").to_pylist(), b.column("declared").to_pylist(), strict=True):
                 blob = blob or b""

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import Ids
+from .bytebpe import worker_ids
 from .common import id_text, steps, texts_of
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -39,7 +39,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int, end_id: int = 1, id_col:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids = Ids(vocabulary)
+        ids = worker_ids(vocabulary)
         met: dict[int, int] = {}  # a task's rows are bounded, so this is
         for b in steps(batches):
             row, start, length, crc, total, nth = [], [], [], [], [], []

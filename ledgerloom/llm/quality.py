@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, map_arrow, steps, texts_of
 from .labelled import sample
-from .vechash import U, Words, mix
+from .vechash import BLOCK, U, Words, mix
 
 BUCKETS = 1 << 14
 TRAIN_ROWS = 1500
@@ -39,7 +39,7 @@ class Model(NamedTuple):
 
 
 def grams(w: Words):
-    """(buckets, the row of each, how many each row has) of each family of n-grams."""
+    """(buckets, the row of each, how many each row has) of each family of n-grams; of bytes, block by block."""
     part = U(BUCKETS // 4 - 1)
     h = w.hashes()
     yield (h & part).astype(np.int32), w.row(), w.count
@@ -47,13 +47,16 @@ def grams(w: Words):
     row = w.row()[at]
     yield (w.windows(2, hashes=h)[at] & part).astype(np.int32) + BUCKETS // 4, row, np.maximum(w.count - 1, 0)
     size = np.diff(w.off)
-    row = np.repeat(np.arange(len(size)), size)
-    for k, n in ((2, 3), (3, 5)):
-        code = w.bytes.astype(np.uint64)
-        for j in range(1, n):
-            code[: max(0, len(code) - j)] |= w.bytes[j:].astype(np.uint64) << U(8 * j)
-        inside = np.arange(len(code)) + n <= w.off[1:][row] if len(code) else np.zeros(0, bool)
-        yield (mix(code[inside]) & part).astype(np.int32) + k * (BUCKETS // 4), row[inside], np.maximum(size - n + 1, 0)
+    for a in range(0, len(w.bytes), BLOCK):
+        near = w.bytes[a : a + BLOCK + 4].astype(np.uint64)
+        n_here = min(BLOCK, len(w.bytes) - a)
+        row = np.searchsorted(w.off, np.arange(a, a + n_here), side="right") - 1
+        for k, n in ((2, 3), (3, 5)):
+            code = near[:n_here].copy()
+            for j in range(1, n):
+                code[: max(0, len(near) - j)] |= near[j : j + n_here] << U(8 * j)
+            inside = np.arange(a, a + n_here) + n <= w.off[1:][row]
+            yield (mix(code[inside]) & part).astype(np.int32) + k * (BUCKETS // 4), row[inside], np.maximum(size - n + 1, 0)
 
 
 def dense(texts: list[str]) -> np.ndarray:

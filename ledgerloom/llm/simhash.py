@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize, steps
+from .common import col, fresh, materialize, steps
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -57,15 +57,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int(np.packbits(votes * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint as a signed long, a row for each row."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint as a signed long, a row for each row; with_row: and ``row``, a hash of the whole row."""
+    extra = [F.xxhash64(*map(col, docs.columns)).alias("row")] if with_row else []
 
     def run(batches):
         for b in steps(batches):
-            fps = [fingerprint((x or "").encode(), shingle) for x in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            fps = pa.array(np.array([fingerprint((x or "").encode(), shingle) for x in b.column("text").to_pylist()], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps, *([b.column("row")] if with_row else [])], ["doc_id", "fp", *(["row"] if with_row else [])])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col), F.lit("")).alias("text"), *extra)
+    return texts.mapInArrow(run, "doc_id long, fp long" + (", row long" if with_row else ""))
 
 
 def _long(x: int) -> Column:
@@ -119,22 +121,35 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return a.join(b, on).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): a row for each row of ``docs``."""
-    fps = materialize(fingerprints(docs, shingle, id_col, text_col))
+def components_of(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``fps`` (doc_id, fp, ...) with ``component_id``; the fingerprints must be a table."""
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), max_bits))
     named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): a row for each row of ``docs``."""
+    return components_of(materialize(fingerprints(docs, shingle, id_col, text_col)), max_bits).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` with the least doc_id of their component, one row each.
+    """The rows of ``docs`` with the least doc_id of their component, one row for each doc_id.
 
-    Rows without a doc_id can't be named and stay as they are.
+    A doc_id is one document here: where it repeats, the row stays whose component
+    it names, of several the least by a hash of the whole row (``jaccard.keep_one``
+    keeps a row of each component instead).  Rows without a doc_id can't be named
+    and stay as they are.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    names = docs.columns
+    k, h, w = (fresh(names, c) for c in ("kept", "row_hash", "whole"))
+    whole = F.xxhash64(*map(col, names))
+    rows = materialize(fingerprints(docs, shingle, with_row=True))
+    found = components_of(rows, max_bits).filter("doc_id = component_id")
+    least = found.groupBy("doc_id").agg(F.min("row").alias(w)).select(F.col("doc_id").alias(k), w)
+    named = docs.filter(col("doc_id").isNotNull()).select(*map(col, names), whole.alias(h))
+    same = (col("doc_id").cast("long") == F.col(k)) & (F.col(h) == F.col(w))
+    one = named.join(least, same, "left_semi").dropDuplicates(["doc_id", h]).select(*map(col, names))
+    return one.unionByName(docs.filter(col("doc_id").isNull()))

@@ -87,6 +87,12 @@ class ChunkTable:
         return joined, decoded[1:]
 
 
+@cache
+def chunk_table(path: str) -> ChunkTable:
+    """The worker's table: it outlives a task, so a worker segments a distinct chunk once, not once a task."""
+    return ChunkTable(path)
+
+
 @cache
 def _lead(model: sentencepiece.SentencePieceProcessor) -> list[int]:
     """A piece whose decoded form is one character."""
@@ -97,7 +103,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     """(doc_id, n_tokens, ids, decoded): encoded as the library does, ids as decimal text joined by commas."""
 
     def run(batches):
-        table = ChunkTable(model_path)
+        table = chunk_table(model_path)
         for b in steps(batches):
             got = [table.encode(x) for x in texts_of(b)]
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +118,7 @@ def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256); the digests are taken in the worker, so ids never cross to the JVM."""
 
     def run(batches):
-        table = ChunkTable(model_path)
+        table = chunk_table(model_path)
         for b in steps(batches):
             got = [table.encode(x) for x in texts_of(b)]
             sha = [[hashlib.sha256(x[k].encode()).hexdigest() for x in got] for k in (0, 1)]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytebpe import Ids, token_bytes
+from .bytebpe import token_bytes, worker_ids
 from .common import id_text, steps, texts_of
 
 
@@ -60,7 +60,7 @@ def section_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """
 
     def run(batches):
-        ids, size_of = Ids(vocabulary), token_bytes(vocabulary)
+        ids, size_of = worker_ids(vocabulary), token_bytes(vocabulary)
         for b in steps(batches):
             parts = []
             for k, text in enumerate(texts_of(b)):

@@ -106,15 +106,9 @@ def _gather(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(at, c, size) for c in rows.T], axis=1).astype(np.float32)
 
 
-def _leaning(at: np.ndarray, bucket: np.ndarray, y: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(how far each bucket leans to label 1 in standard errors, over 4; how many texts hold it)."""
-    pair = np.unique(at.astype(np.int64) * size + bucket)
-    doc, b = pair // size, pair % size
-    pos, neg = np.bincount(b, y[doc], size), np.bincount(b, 1 - y[doc], size)
-    p, n = y.sum(), len(y) - y.sum()
-    odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
-    return (np.clip(odds / error, -4, 4) / 4).astype(np.float32), pos + neg
+def _texts_with(at: np.ndarray, bucket: np.ndarray, size: int) -> np.ndarray:
+    """How many texts hold each bucket."""
+    return np.bincount(np.unique(at.astype(np.int64) * size + bucket) % size, minlength=size)
 
 
 class Network:
@@ -131,7 +125,7 @@ class Network:
         def init(*shape: int) -> np.ndarray:
             return (r.standard_normal(shape) / np.sqrt(shape[0])).astype(f)
 
-        self.p = {"word": np.zeros((WORD_BUCKETS, DIM), f), "char": (0.3 * r.standard_normal((CHAR_BUCKETS, DIM))).astype(f)}
+        self.p = {"word": np.zeros((WORD_BUCKETS, DIM), f), "char": (0.03 * r.standard_normal((CHAR_BUCKETS, DIM))).astype(f)}
         for d in "fb":
             self.p |= {f"x{d}": init(2 * DIM, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, f), f"h{d}": init(HIDDEN, 3 * HIDDEN)}
         self.p |= {"a": init(2 * HIDDEN, HIDDEN), "v": init(HIDDEN, 1)[:, 0], "o": init(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, f)}
@@ -268,17 +262,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 11) ->
     row, first, size = x.windows()
     order = np.lexsort((rng.random(len(row)), row))
     own = np.sort(order[(np.arange(len(order)) - np.searchsorted(row[order], row[order]) < TRAIN_WINDOWS) & ~held[row[order]]])
-    # The first dimension of each embedding starts at how its texts lean; training moves all of them.
     doc = np.repeat(np.arange(len(y)), x.count)
     keep = ~held[doc]
     word = x.word[keep]
-    lean, texts_with = _leaning(doc[keep], x.bucket[word], y, WORD_BUCKETS)
-    net.known[:] = texts_with >= 3
-    net.p["word"][:, 0] = lean
+    net.known[:] = _texts_with(doc[keep], x.bucket[word], WORD_BUCKETS) >= 3
     chars, _, size_of = x.chars_of(word)
-    net.p["char"] *= 0.1
-    net.p["char"][:, 0], texts_with = _leaning(np.repeat(doc[keep], size_of), chars, y, CHAR_BUCKETS)
-    net.common[:] = texts_with >= 3
+    net.common[:] = _texts_with(np.repeat(doc[keep], size_of), chars, CHAR_BUCKETS) >= 3
     adam = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     t = 0
     for turn in range(max(rounds, -(-STEPS * 128 // max(1, 3 * int((~held).sum()))))):

@@ -34,26 +34,43 @@ def _family(k: int) -> tuple[np.ndarray, int, int]:
     return rng.integers(0, 2**64, 256, dtype=np.uint64) | U(1), int(bases[0]) * 8 + 5, int(bases[1]) * 8 + 5
 
 
-_grown: dict[int, np.ndarray] = {}
+#: A text's bytes and words are hashed in blocks, so that no array of 64-bit numbers is longer, whatever the text.
+BLOCK = 1 << 20
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) mod 2**64; kept, and grown by doubling."""
-    have = _grown.get(base)
-    if have is None or len(have) < n:
-        full = np.full(1 << max(16, int(n).bit_length()), base % 2**64, np.uint64)
-        full[0] = 1
-        have = _grown[base] = np.multiply.accumulate(full)
-    return have[:n]
+@cache
+def powers(base: int) -> np.ndarray:
+    """base**0 .. base**(BLOCK-1) mod 2**64."""
+    full = np.full(BLOCK, base % 2**64, np.uint64)
+    full[0] = 1
+    return np.multiply.accumulate(full)
 
 
 def inverse(base: int) -> int:
     return pow(base, -1, 2**64)
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values, out=out[1:])
+def _times(base: int, at: np.ndarray) -> np.ndarray:
+    """base**at for ascending positions."""
+    out = np.empty(len(at), np.uint64)
+    cuts = np.searchsorted(at, np.arange(0, int(at[-1]) + 1 if len(at) else 0, BLOCK)).tolist() + [len(at)]
+    for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        out[a:z] = powers(base)[at[a:z] - k * BLOCK] * U(pow(base, k * BLOCK, 2**64))
+    return out
+
+
+def prefix_at(values, n: int, base: int, at: np.ndarray) -> np.ndarray:
+    """sum of values[i] * base**i for i below each of the ascending positions ``at``; values(a, b): a block of them."""
+    out = np.empty(len(at), np.uint64)
+    carry, done = U(0), 0
+    for a in range(0, n + 1, BLOCK):
+        b = min(a + BLOCK, n)
+        inside = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(values(a, b) * powers(base)[: b - a], out=inside[1:])
+        inside *= U(pow(base, a, 2**64))
+        to = int(np.searchsorted(at, b, side="right"))
+        out[done:to] = carry + inside[at[done:to] - a]
+        carry, done = carry + inside[-1], to
     return out
 
 
@@ -84,8 +101,9 @@ class Words:
     def hashes(self, family: int = 0) -> np.ndarray:
         """A 64-bit hash of each word."""
         tab, base, _ = _family(family)
-        h = prefix(tab[self.bytes] * powers(base, len(self.bytes)))
-        return mix((h[self.end] - h[self.start]) * powers(inverse(base), len(self.bytes) + 1)[self.start])
+        with np.errstate(over="ignore"):
+            first, last = (prefix_at(lambda a, b: tab[self.bytes[a:b]], len(self.bytes), base, x) for x in (self.start, self.end))
+            return mix((last - first) * _times(inverse(base), self.start))
 
     def windows(self, size: int, family: int = 0, hashes: np.ndarray | None = None) -> np.ndarray:
         """The hash of words i .. i+size-1 at each i, over row ends too (see ``inside``)."""
@@ -93,8 +111,9 @@ class Words:
         w = self.hashes(family) if hashes is None else hashes
         if len(w) < size:
             return np.zeros(0, np.uint64)
-        g = prefix(w * powers(base, len(w)))
-        return mix((g[size:] - g[:-size]) * powers(inverse(base), len(w))[: len(w) - size + 1])
+        with np.errstate(over="ignore"):
+            g = prefix_at(lambda a, b: w[a:b], len(w), base, np.arange(len(w) + 1))
+            return mix((g[size:] - g[:-size]) * _times(inverse(base), np.arange(len(w) - size + 1)))
 
     def row(self) -> np.ndarray:
         """The row of each word."""
