@@ -5,8 +5,13 @@ A template is license wording with markup: ``<<o>> ... <</o>>`` is optional,
 automaton over word tokens; a text is accepted where its words pass through all
 mandatory wording exactly.  Automata start only at words that can begin them.
 
+Whole licenses and notices are accepted with all their mandatory wording only;
+references name a license in a few words.  ``gpl-3.0`` marks a reference to
+version 3 of the GNU General Public License or of its lesser form.
+
 Edge cases: null and empty texts have no words, no places and score 0; places
-may overlap and repeat, each counts; repeated rows are scanned each.
+may overlap and repeat, each counts; repeated rows are scanned each; only the
+two named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -24,21 +29,93 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-# Templates of common license wording and their labels.
-TEMPLATES = {
-    "mit": [
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-        "released under <<o>>the terms of<</o>> the mit license",
-        "licensed under <<o>>the terms of<</o>> the mit license",
-    ],
-    "apache-2.0": ["licensed under the apache license <<o>>version 2 0<</o>>", "apache license version 2 0"],
+# References to licenses and their labels.
+REFERENCES = {
+    "mit": ["released under <<o>>the terms of<</o>> the mit license", "licensed under <<o>>the terms of<</o>> the mit license"],
+    "apache-2.0": ["apache license version 2 0", "apache license 2 0"],
     "gpl-3.0": ["gnu <<o>>lesser<</o>> general public license <<o>>as published by the free software foundation<</o>> <<o>>either<</o>> version 3"],
     "cc-by-nc-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 <<o>>international<</o>> <<o>>public<</o>> license"],
     "cc-by-4.0": ["cc by 4 0", "creative commons attribution 4 0 <<o>>international<</o>> <<o>>public<</o>> license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and <<o>>or<</o>> distribute this software for any purpose with or without fee is hereby granted"],
     "copyright": ["copyright <<o>>c<</o>> <<any:6>> all rights reserved"],
 }
+# The wording of whole licenses and notices, as published.
+MIT_WARRANTY = """
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS
+<<o>>OR COPYRIGHT HOLDERS<</o>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+MIT = """
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice <<o>>(including the next paragraph)<</o>> shall be included in all
+copies or substantial portions of the Software."""
+ISC = """
+Permission to use, copy, modify, and<<o>>/or<</o>> distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND <<any:6>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any:6>> BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE."""
+BSD_START = """
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+<<o>>1.<</o>> Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer.
+<<o>>2.<</o>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = """
+<<o>>3.<</o>> Neither the name of <<any:10>> nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+BSD_WARRANTY = """
+THIS SOFTWARE IS PROVIDED BY <<any:8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:8>>
+BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED
+TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable
+for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions:
+<<o>>1.<</o>> The origin of this software must not be misrepresented; you must not claim that you wrote the original
+software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but
+is not required.
+<<o>>2.<</o>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+software.
+<<o>>3.<</o>> This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """
+This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+APACHE_NOTICE = """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at <<o>>http<</o>> <<o>>https<</o>>://www.apache.org/licenses/LICENSE-2.0 Unless required by
+applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+governing permissions and limitations under the License."""
+GPL_NOTICE = """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
+version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details."""
+WHOLE = {
+    "mit": MIT + MIT_WARRANTY,
+    "isc": ISC,
+    "bsd-2-clause": BSD_START + BSD_WARRANTY,
+    "bsd-3-clause": BSD_START + BSD_NAMES + BSD_WARRANTY,
+    "zlib": ZLIB,
+    "unlicense": UNLICENSE + MIT_WARRANTY,
+    "apache-2.0-notice": APACHE_NOTICE,
+    "gpl-3.0-or-later-notice": GPL_NOTICE,
+}
 MARKUP = re.compile(r"<<o>>|<</o>>|<<any:\d+>>|[a-z0-9]+")
 
 
@@ -46,7 +123,7 @@ class Automaton:
     """States are positions in a template's parts; ``match`` gives the longest accepted end, or 0."""
 
     def __init__(self, template: str):
-        parts = MARKUP.findall(template)
+        parts = MARKUP.findall(template.lower())
         self.parts, self.skip, opened = parts, {}, []
         for k, p in enumerate(parts):
             if p == "<<o>>":
@@ -54,6 +131,10 @@ class Automaton:
             elif p == "<</o>>":
                 self.skip[opened.pop()] = k + 1
         self.start = {parts[s] for s, _ in self._closed({(0, 0)}) if s < len(parts)}
+        #: The words that can be second; none if any can, or if one word is enough.
+        then = self._closed({(s + 1, 0) for s, _ in self._closed({(0, 0)}) if s < len(parts)})
+        some = {parts[s] if s < len(parts) else "<<" for s, _ in then}
+        self.second = None if any(w.startswith("<<") for w in some) else {w.encode() for w in some}
 
     def _closed(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         """With what is reached without a word; a state is a part and the replaceable words it has had."""
@@ -97,11 +178,13 @@ class Automaton:
 def compiled() -> dict[bytes, list[tuple[Automaton, str, bool]]]:
     """Automata by first word; the flag marks base phrases."""
     out: dict[bytes, list[tuple[Automaton, str, bool]]] = {}
-    for base, items in ((True, [(p, label) for p, label in BASE.items()]), (False, [(t, label) for label, ts in TEMPLATES.items() for t in ts])):
-        for text, label in items:
-            found = Automaton(text)
-            for word in found.start:
-                out.setdefault(word.encode(), []).append((found, label, base))
+    made = [(p, label, True) for p, label in BASE.items()]
+    made += [(t, label, False) for label, ts in REFERENCES.items() for t in ts]
+    made += [(t, label, False) for label, t in WHOLE.items()]
+    for text, label, base in made:
+        found = Automaton(text)
+        for word in found.start:
+            out.setdefault(word.encode(), []).append((found, label, base))
     return out
 
 
@@ -115,7 +198,10 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
     words = [w.decode(errors="replace") for w in raw]
     base, labels, inside, places = set(), set(), set(), []
     for k in at:
+        after = raw[k + 1] if k + 1 < len(raw) else b""
         for automaton, label, is_base in starts[raw[k]]:
+            if automaton.second is not None and after not in automaton.second:
+                continue
             if end := automaton.match(words, k):
                 labels.add(label)
                 inside.update(range(k, end))
