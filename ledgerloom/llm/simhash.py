@@ -1,16 +1,20 @@
 """SimHash near-duplicates: fingerprints, segment-popcount grid join, components.
 
-Method.  A 64-bit fingerprint is mapped to the bit counts of its 32 two-bit
-segments.  Changing one bit changes one count by one, so the Manhattan distance
-of two count vectors is at most the fingerprints' Hamming distance.  The grid:
-the 32 coordinates form six bands; if the Manhattan distance is at most 3, at
-most three bands differ, so at least three agree cell by cell.  Joining on the
-cells of each of the 20 band triples therefore meets every pair within 3; the
-join condition keeps a pair in its first common triple only, tests the Manhattan
-bound, then the exact Hamming distance, so only true links leave the join.
+Method.  A 64-bit fingerprint is mapped to the bit counts (0 to 2) of its 32
+two-bit segments.  Changing one bit changes one count by one, so the Manhattan
+distance of two count vectors is at most the fingerprints' Hamming distance.
+The grid: each half of the vector, 16 counts, is a cell.  If the distance of two
+vectors is at most 3, the cells of one half are at most 1 apart, so a range join
+that meets each cell with those one step away meets every pair.  A step changes
+the parity of a cell's sum, so only fingerprints in even cells visit their
+neighbours, and a pair meets once in a half; the first half in which it does
+counts.  What meets must be within the Manhattan bound in the whole vector, and
+then within the exact Hamming distance, so only true links leave the join.
 
 Documents with equal fingerprints are one node, whatever their number; only
-distinct fingerprints are joined, and only their links are walked.
+distinct fingerprints are joined, and only their links are walked.  A cell that
+many different fingerprints fill is a key of a plain join of two shuffles, which
+adaptive execution splits.
 
 Edge cases: a null text is the empty text; no words give fingerprint 0, which
 links like any other; rows that repeat a doc_id are each fingerprinted; a null
@@ -21,7 +25,6 @@ a null id); an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,6 @@ from .components import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
-BANDS = 6
 MAX_BITS = 3
 #: The low bit of each two-bit segment.
 LOW_BITS = 0x5555555555555555
@@ -80,10 +82,24 @@ def segment_counts(fp: Column) -> Column:
     return F.shiftleft(low.bitwiseAND(high), 1).bitwiseOR(low.bitwiseXOR(high))
 
 
-def band_masks(bands: int = BANDS) -> list[int]:
-    """The packed positions of each band's segments."""
-    cuts = [round(k * 32 / bands) for k in range(bands + 1)]
-    return [sum(3 << (2 * s) for s in range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+def _half(counts: Column, k: int) -> Column:
+    return F.shiftrightunsigned(counts, 32 * k).bitwiseAND(_long(0xFFFFFFFF))
+
+
+def grid_cells(fp: Column) -> tuple[Column, Column]:
+    """(the cell of each half, the cells one step from the even ones); a cell is its half's number and its 16 packed counts."""
+    counts, home, near = segment_counts(fp), [], []
+    for k in (0, 1):
+        cell = _half(counts, k)
+        key = cell.bitwiseOR(_long(k << 32))
+        even = F.bit_count(fp.bitwiseAND(_long(0xFFFFFFFF << (32 * k)))) % 2 == 0
+        steps_ = []
+        for s in range(16):
+            count = F.shiftrightunsigned(cell, 2 * s).bitwiseAND(_long(3))
+            steps_ += [F.when(even & (count < 2), key + (1 << 2 * s)), F.when(even & (count > 0), key - (1 << 2 * s))]
+        home.append(key)
+        near.append(F.array(*steps_))
+    return F.array(*home), F.array_compact(F.concat(*near))
 
 
 def _manhattan(a: Column, b: Column) -> Column:
@@ -97,28 +113,24 @@ def _manhattan(a: Column, b: Column) -> Column:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Distinct ``fp`` values -> (u, v), u < v as signed longs: every pair within ``max_bits``, once."""
-    masks = band_masks(max_bits + 3)
-    triples = list(combinations(range(len(masks)), 3))
-    cell = segment_counts(F.col("fp"))
-    keys = F.array(*(F.struct(F.lit(k).alias("t"), F.xxhash64(F.lit(k), cell.bitwiseAND(_long(sum(masks[b] for b in t)))).alias("cell")) for k, t in enumerate(triples)))
-    cells = fps.select("fp", F.explode(keys).alias("k")).select("fp", F.col("k.t").alias("t"), F.col("k.cell").alias("cell"))
-    a, b = (cells.select(F.col("fp").alias(n), F.col("t").alias(f"t{n}"), "cell") for n in "uv")
-    cu, cv = segment_counts(F.col("u")), segment_counts(F.col("v"))
-    differ = cu.bitwiseXOR(cv)
-    # The first common triple: no triple before it agrees on all three bands.
-    first = F.lit(len(triples))
-    for k, t in reversed(list(enumerate(triples))):
-        first = F.when(differ.bitwiseAND(_long(sum(masks[b] for b in t))) == 0, F.lit(k)).otherwise(first)
+    """Distinct ``fp`` values -> (u, v), u < v as signed longs: every pair within ``max_bits`` (at most 3), once."""
+    if max_bits > MAX_BITS:
+        raise ValueError(f"cells one step apart meet every pair only up to {MAX_BITS} bits")
+    home, near = grid_cells(F.col("fp"))
+    a = fps.select(F.col("fp").alias("a"), F.explode(home).alias("cell"))
+    stays = F.transform(home, lambda c: F.struct(c.alias("cell"), F.lit(False).alias("visits")))
+    goes = F.transform(near, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visits")))
+    b = fps.select(F.col("fp").alias("b"), F.explode(F.concat(stays, goes)).alias("k")).select("b", F.col("k.cell").alias("at"), "k.visits")
+    ca, cb = segment_counts(F.col("a")), segment_counts(F.col("b"))
+    met_before = (F.col("cell") >= _long(1 << 32)) & (_manhattan(_half(ca, 0), _half(cb, 0)) <= 1)
     on = (
-        (a["cell"] == b["cell"])
-        & (F.col("tu") == F.col("tv"))
-        & (F.col("u") < F.col("v"))
-        & (_manhattan(cu, cv) <= max_bits)
-        & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-        & (first == F.col("tu"))
+        (F.col("cell") == F.col("at"))
+        & (F.col("visits") | (F.col("a") < F.col("b")))
+        & (_manhattan(ca, cb) <= max_bits)
+        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+        & ~met_before
     )
-    return a.join(b, on).select("u", "v")
+    return a.join(b, on).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def components_of(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
