@@ -102,9 +102,3 @@ class Ids:
         for c in rare:
             del table[c]
         return out
-
-
-@cache
-def worker_ids(path: str) -> Ids:
-    """The worker's table: it outlives a task."""
-    return Ids(path)

@@ -50,7 +50,7 @@ PERIOD = 31
 #: A task forgets the texts it has met at so many; copies then only cost rows.
 SEEN_TEXTS = 1_000_000
 #: Slots of a task's tables of recent anchors or windows; forgetting one only costs rows.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 
 
 def difference_cover(period: int) -> list[int]:

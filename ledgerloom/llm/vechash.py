@@ -35,7 +35,7 @@ def _family(k: int) -> tuple[np.ndarray, int, int]:
 
 
 #: A text's bytes and words are hashed in blocks, so that no array of 64-bit numbers is longer, whatever the text.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 @cache
