@@ -51,6 +51,8 @@ PERIOD = 31
 SEEN_TEXTS = 1_000_000
 #: Slots of a task's tables of recent anchors or windows; forgetting one only costs rows.
 SLOTS = 1 << 18
+#: Rows (no texts) of one group of copies are joined under so many keys.
+SALTS = 16
 
 
 def difference_cover(period: int) -> list[int]:
@@ -237,9 +239,10 @@ def removals(docs: DataFrame, copy: str, cut: str, length: int = LENGTH, period:
     least = F.min(F.when(~F.col("known"), F.col("doc_id"))).over(Window.partitionBy("k1", "k2"))
     gone = found.withColumn("least", least).filter("known or doc_id > least")
     owned = gone.groupBy("doc_id", "h1", "h2").agg(_places().alias("cut"))
-    # The exchange of its own lets a large group of copies be split in the join.
-    several = owners.filter("n > 1").repartition("owner")
-    copies = rows.join(several, ["h1", "h2"]).filter("doc_id > owner").select("doc_id", "h1", "h2").distinct()
+    # A large group of copies is dealt over SALTS keys.
+    several = owners.filter("n > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = salted.join(several, ["h1", "h2", "salt"]).filter("doc_id > owner").select("doc_id", "h1", "h2").distinct()
     marks = owned.select("doc_id", "h1", "h2", F.lit(False).alias("copy"), "cut").unionByName(copies.select("*", F.lit(True).alias("copy"), F.lit(None).cast("array<int>").alias("cut")))
     marks = marks.select(F.col("doc_id").alias(k0), F.col("h1").alias(k1), F.col("h2").alias(k2), F.col("copy").alias(copy), F.col("cut").alias(cut))
     return keyed.join(marks, same, "left").select(*map(col, names), copy, cut)
