@@ -53,9 +53,10 @@ def _least(rows):
     return sorted(best.values())
 
 
-@pytest.mark.parametrize("common", [0, 10_000])
-def test_stage_equals_brute_force(spark, monkeypatch, common):
+@pytest.mark.parametrize(("common", "chunk"), [(0, 512), (10_000, 512), (0, 4), (10_000, 16)])
+def test_stage_equals_brute_force(spark, monkeypatch, common, chunk):
     ship(spark)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     if not common:
         monkeypatch.setattr(jaccard, "COMMON", 1)
     else:
@@ -74,9 +75,57 @@ def test_stage_on_documents(spark):
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _least(rows)
 
 
-def test_failed_links_hide_no_pair(spark, monkeypatch):
+def _boilerplate(groups, size, seed):
+    """Texts that share their rarest shingles with all others, in groups of near copies: one crowded bucket with many components."""
+    r = random.Random(seed)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}x{r.randrange(400)}" for _ in range(60)]
+        for _ in range(r.randrange(1, size)):
+            out.append(" ".join([f"notice{k}" for k in range(30)] + [w if r.random() > 0.01 else f"new{r.randrange(90)}" for w in base]))
+    return out
+
+
+def test_crowded_buckets(spark, monkeypatch):
+    """Chunks of a few nodes: groups that lie in different chunks of a bucket are found, and no block grows with the bucket."""
+    ship(spark)
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "SAMPLE", 10**9)  # an order that knows no common shingle
+    rows = list(enumerate(_boilerplate(40, 9, 1)))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA).repartition(3)
+    largest = []
+
+    def watched(blocks, forest):
+        largest.append(blocks.groupBy("block").count().agg({"count": "max"}).first()[0] or 0)
+        return plain(blocks, forest)
+
+    plain = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", watched)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _least(rows)
+    assert len(rows) > 100 and len(largest) > 2 and max(largest) < 50
+
+
+def test_buckets_are_sets_of_nodes(spark):
+    """Each set of two nodes or more that meet at a shingle is a bucket once; repeated profiles change nothing."""
+    r = random.Random(5)
+    made = [(k, 5, b"x", [r.randrange(30) for _ in range(3)]) for k in range(60)]
+    rows = spark.createDataFrame(made + made[:20], "node long, n long, bits binary, first array<long>")
+    met = {}
+    for node, _, _, first in made:
+        for h in first:
+            met.setdefault(h, set()).add(node)
+    got = {}
+    for x in jaccard.buckets_of(rows).collect():
+        got.setdefault((x.bucket, x.size), set()).add(x.node)
+    assert all(size == len(nodes) for (_, size), nodes in got.items())
+    assert sorted(map(sorted, got.values())) == sorted(map(list, {tuple(sorted(x)) for x in met.values() if len(x) > 1}))
+
+
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_failed_links_hide_no_pair(spark, monkeypatch, chunk):
     """Bitmaps that tell nothing: the forest is full of failed links, and the second look finds what they hid."""
     ship(spark)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     monkeypatch.setattr(jaccard, "bitmap", lambda h: bytes(32))
     rows = list(enumerate(_copies()))
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
