@@ -1,13 +1,15 @@
 """PII: format-preserving Feistel pseudonyms, in DataFrame functions only.
 
 Found: e-mail addresses, IPv4 addresses, phone numbers, dates, social security
-numbers, card numbers (13 to 19 digits, also in groups of four) and hex secrets.
+numbers, card numbers (13 to 19 digits, also in groups of four or of 4, 6 and 5)
+and hex secrets (runs of 32 hex digits or more, however long, in any case).
 Each is validated and then permuted by a keyed Feistel network within its own
 format, so equal values become equal pseudonyms in every document, no two values
 become the same, and the key takes them back (``undo``):
 
 - e-mail addresses: the local part (up to 64 characters) is shifted, each
-  character within its class; hex secrets likewise;
+  character within its class; hex secrets likewise (in runs of both cases digits,
+  capitals and small letters are three classes);
 - phone numbers: the national digits are permuted and laid back onto the format
   that was found, so a number has one pseudonym in all its spellings; a country
   code stays;
@@ -48,12 +50,12 @@ ROUNDS = 8
 # The patterns of each kind, tried in this order.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,126}+",
-    "secret": r"(?<![0-9A-Za-z])(?=[0-9]{0,128}+[A-Fa-f])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)",
-    "card": r"(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}|\d{13,19})(?!\w)",
+    "card": r"(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\w)",
 }
 # Telephone country codes of one and two digits; all others have three.
 COUNTRY_CODES = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
@@ -83,23 +85,22 @@ def _chars(s: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(s)), lambda j: F.substring(s, j, F.lit(1)))
 
 
-def _byte(sha: Column, j: Column) -> Column:
-    """Byte j (from 0, over and over) of a hex digest."""
-    return F.conv(F.substring(sha, 2 * F.pmod(j, F.lit(32)) + 1, F.lit(2)), 16, 10).cast("int")
+def _bytes(sha: Column) -> Column:
+    """The 32 bytes of a hex digest as an array of numbers."""
+    return F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.conv(F.substring(sha, 2 * j + 1, F.lit(2)), 16, 10).cast("int"))
 
 
-def _shift(s: Column, sha: Column, classes: list[str], sign: int) -> Column:
-    """Each character moved within its class by a byte of the digest."""
+def _shift(s: Column, digest: Column, classes: list[str], sign: int) -> Column:
+    """Each character moved within its class by a byte of the digest (over and over); linear in ``s``."""
 
-    def one(j: Column) -> Column:
-        c, by = F.substring(s, j, F.lit(1)), sign * _byte(sha, j - 1)
-        out = c
+    def one(c: Column, j: Column) -> Column:
+        by, out = sign * F.get(digest, j % 32), c
         for k in reversed(classes):
             at = F.instr(F.lit(k), c)
             out = F.when(at > 0, F.substring(F.lit(k), F.pmod(at - 1 + by, F.lit(len(k))) + 1, F.lit(1))).otherwise(out)
         return out
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(s)), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), one), "")
 
 
 def feistel_text(s: Column, key: str, classes: list[str], undo: bool = False) -> Column:
@@ -109,11 +110,11 @@ def feistel_text(s: Column, key: str, classes: list[str], undo: bool = False) ->
 
     def forward(acc: Column, i: Column) -> Column:
         sha = F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), acc["r"]), 256)
-        return F.struct(acc["r"].alias("l"), F.when(F.length(acc["l"]) > 0, _shift(acc["l"], sha, classes, 1)).otherwise("").alias("r"))
+        return F.struct(acc["r"].alias("l"), _let(_bytes(sha), lambda h: _shift(acc["l"], h, classes, 1)).alias("r"))
 
     def back(acc: Column, i: Column) -> Column:
         sha = F.sha2(F.concat_ws("|", F.lit(key), (ROUNDS - 1 - i).cast("string"), acc["l"]), 256)
-        return F.struct(F.when(F.length(acc["r"]) > 0, _shift(acc["r"], sha, classes, -1)).otherwise("").alias("l"), acc["l"].alias("r"))
+        return F.struct(_let(_bytes(sha), lambda h: _shift(acc["r"], h, classes, -1)).alias("l"), acc["l"].alias("r"))
 
     rounds = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(rounds, F.struct(left.alias("l"), right.alias("r")), back if undo else forward, lambda a: F.concat(a["l"], a["r"]))
@@ -238,6 +239,7 @@ def pseudonym(s: Column, key: str | None = None, undo: bool = False) -> Column:
     everyone = [DIGITS, LOWER, UPPER]
     return (
         F.when(at > 0, F.concat(feistel_text(F.substring(s, F.lit(1), at - 1), key, everyone, undo), F.substring(s, at, F.length(s))))
+        .when(s.rlike("[A-F]") & s.rlike("[a-f]"), feistel_text(s, key, [DIGITS, "ABCDEF", "abcdef"], undo))
         .when(s.rlike("[A-F]"), feistel_text(s, key, [DIGITS + "ABCDEF"], undo))
         .when(s.rlike("[a-f]"), feistel_text(s, key, [DIGITS + "abcdef"], undo))
         .when(_whole(s, "ip"), _ip(s, key, undo))

@@ -99,3 +99,32 @@ def test_clashing_columns_and_keys(spark):
         assert pii.pseudonymize(rows).first().text == pii.pseudonymize(rows, "mine").first().text != public
     finally:
         spark.conf.unset(pii.KEY_CONF)
+
+
+@pytest.mark.parametrize("n", [31, 32, 64, 128, 129, 130, 256, 4096])
+def test_secrets_of_any_length(spark, n):
+    """A run of hex of 32 digits or more is found whole, in either case or both; the plain version finds the same."""
+    rows = [f"key {('a1' * n)[:n]}.", f"key {('A1' * n)[:n]}.", f"key {('aB3' * n)[:n]}.", f"key {'1' * (n - 1)}f.", f"key {'1' * n}.", f"key {('a1' * n)[:n]}g."]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, text string")
+    got = {r.k: r for r in pii.pseudonymize(df, KEY).collect()}
+    any_ = re.compile(pii.ANY, re.ASCII)
+    for k, t in enumerate(rows):
+        assert got[k].n_found == sum(_valid(m[0]) for m in any_.finditer(t)) == (k < 4 and n >= 32)
+        assert len(got[k].text) == len(t) and (got[k].text == t) == (got[k].n_found == 0)
+    cases = [{c.isdigit() and "0" or c.isupper() and "A" or "a" for c in got[2].text[4:-1]}, {"0", "A", "a"}]
+    assert n < 32 or cases[0] == cases[1]
+    back = {r.k: r.text for r in pii.pseudonymize(spark.createDataFrame([(r.k, r.text) for r in got.values()], "k int, text string"), KEY, undo=True).collect()}
+    assert back == dict(enumerate(rows))
+
+
+def test_a_secret_of_many_digits(spark):
+    text = "0a" * 50_000
+    got = pii.pseudonymize(spark.createDataFrame([(text,)], "text string"), KEY).first()
+    assert got.n_found == 1 and len(got.text) == len(text) and sum(a == b for a, b in zip(got.text, text, strict=True)) < 20_000
+
+
+def test_cards_of_fifteen_digits_in_groups(spark):
+    values = ["378282246310005", "3782 822463 10005", "3782-822463-10005", "3782 822463 10006"]
+    got = {r.v: (r.t, r.n_found) for r in pii.pseudonymize(spark.createDataFrame([(v, v) for v in values], "v string, t string"), KEY, text_col="t").collect()}
+    assert [got[v][1] for v in values] == [1, 1, 1, 0] and got[values[3]][0] == values[3]
+    assert len({re.sub(r"\D", "", got[v][0]) for v in values[:3]}) == 1 and all(_luhn(re.sub(r"\D", "", got[v][0])) == 0 for v in values[:3])
