@@ -22,8 +22,14 @@ once it has sent a window of some document, larger documents lose theirs without
 sending it.  So the rows that meet at one anchor or window number a few for each
 task, however many documents hold the passage.  Marked rows go to their own text.
 Texts are shuffled once, by row (doc_id and text hash), never by text, so copies
-stay apart.  What is marked where depends on the order of a task's rows, so the
-input must give a retried task its rows in the same order, as a table does.
+stay apart.
+
+Retries.  What a task marks depends on the order of its rows, so a retried task
+must meet its rows in the same order, else a reducer could mix the marks of one
+attempt with the rows of another.  Anchors read ``docs`` itself: it must be a
+table (files are read in one order), or sorted within its partitions.  Windows
+read the other side of a join, whose order is that in which blocks are fetched:
+their rows are sorted first (``in_order``), by what tells rows apart.
 
 Edge cases: a null text has no words; texts shorter than a window lose nothing;
 repeated rows (same doc_id and text) are no smaller document than each other and
@@ -179,9 +185,15 @@ def anchors(texts: DataFrame, length: int, period: int) -> DataFrame:
     return texts.select("h1", "text").mapInArrow(run, "key long, known boolean, h1 long, pos int, more array<int>")
 
 
+def in_order(texts: DataFrame, h1: str, h2: str) -> DataFrame:
+    """``texts`` with each partition's rows in an order that only their content decides."""
+    return texts.sortWithinPartitions(col("doc_id").cast("long"), col(h1), col(h2))
+
+
 def windows(texts: DataFrame, length: int, period: int, h1: str, h2: str, spots: str) -> DataFrame:
     """(k1, k2, known, h1, h2, doc_id, pos, more) of windows that hold a shared anchor (column ``spots``: their positions).
 
+    Equal partitions give equal rows: each is sorted first.
     ``known``: smaller documents have the windows, and the key is the text; else the key is the window.
     """
     size = length - period + 1
@@ -211,7 +223,7 @@ def windows(texts: DataFrame, length: int, period: int, h1: str, h2: str, spots:
             one, first, more = _together(keys, known, row, at - w.first[row])
             yield pa.RecordBatch.from_arrays([*(pa.array(x[one]) for x in (*keys, known, *own)), first, more], ["k1", "k2", "known", "h1", "h2", "doc_id", "pos", "more"])
 
-    return map_arrow(texts, run, "k1 long, k2 long, known boolean, h1 long, h2 long, doc_id long, pos int, more array<int>")
+    return map_arrow(in_order(texts, h1, h2), run, "k1 long, k2 long, known boolean, h1 long, h2 long, doc_id long, pos int, more array<int>")
 
 
 def removals(docs: DataFrame, copy: str, cut: str, length: int = LENGTH, period: int = PERIOD) -> DataFrame:

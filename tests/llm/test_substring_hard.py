@@ -109,3 +109,28 @@ def test_long_text(spark):
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup_digests(docs).collect()}
     assert got == {1: (100_000, 0), 2: (300_000, 100_000)}
     assert vechash.Words(pa.array([None, ""])).count.tolist() == [0, 0]
+
+
+def test_marks_do_not_depend_on_the_order_of_rows(spark):
+    """Two attempts that meet a partition's rows in unlike orders give the same marks, so mixing their outputs loses nothing."""
+    ship(spark)
+    r = random.Random(4)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"x{k} {passage} y{k}") for k in range(40)] + [(k, passage) for k in range(40, 60)]
+    out = []
+    for _ in range(3):
+        r.shuffle(rows)
+        one = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+        held = one.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64("text").alias("h2"), F.sequence(F.lit(0), F.size(F.split("text", " ")) - 20).alias("spots"))
+        out.append(sorted(map(repr, substring.windows(held, 50, 31, "h1", "h2", "spots").collect())))
+    assert out[0] == out[1] == out[2] and sum("known=True" in x for x in out[0]) > 30
+
+
+def test_rows_of_a_join_are_sorted_before_they_are_marked(spark, tmp_path):
+    """In the plan a sort by (doc_id, hashes) stands right below the pass that marks windows."""
+    ship(spark)
+    spark.createDataFrame(_hot(30), "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    plan = substring.removals(spark.read.parquet(str(tmp_path / "t")), "copy", "cut")._jdf.queryExecution().executedPlan().toString()
+    lines = [re.sub(r"^[^A-Za-z]*(\(\d+\) )?", "", x) for x in plan.splitlines()]
+    marks = [k for k, x in enumerate(lines) if x.startswith("MapInArrow") and "k1#" in x]
+    assert marks and all(next(x for x in lines[k + 1 :] if not x.startswith("Project")).startswith("Sort [") for k in marks)
