@@ -1,12 +1,20 @@
 """Near duplicates at a Jaccard similarity of 0.8 or more over word shingles, all of them.
 
 Method.  Texts with the same lower-case words are one node.  A node's shingles
-are put in one order for all nodes (shingles that a sample shows in many texts
-last, else by hash); sets of similarity 0.8 share one of the first ``n // 5 + 1``
-of their ``n`` shingles, so nodes that meet at such a shingle are all the
-candidates.  The order of the sample changes the work, never the pairs.
-
-Nodes that meet at a shingle are a bucket.  Each has a bitmap of the parity of
+are put in one order for all nodes, rare ones first: by a table of ``COMMON``
+counters, to which a sample of the texts adds its shingles, then by hash.  The
+order changes the work, never the pairs.
+
+Let a set of ``n`` shingles be alike, at 0.8, to one of as many or more.  They
+share at least 8 n / 9 shingles (and 4 m / 5 of the larger one's ``m``), so the
+first shingle they share, in the order, is among the first ``n // 9 + 1`` of the
+smaller set and the first ``m // 5 + 1`` of the larger.  So nodes meet at their
+first ``n // 5 + 1`` shingles, and a pair is a candidate only where the smaller
+one's shingle is among its first ``n // 9 + 1``: it leads there.  Texts that share
+a form, but not eight ninths of their shingles, lead with their own rare ones and
+make no candidates, however many they are.
+
+Nodes that meet at a shingle are a bucket, if one leads.  Each has a bitmap of the parity of
 its shingles' hashes; two bitmaps differ in at most as many bits as the sets
 have unlike shingles, so a pair beyond (n + m) / 9 can't reach 0.8.  Of the
 other pairs of a bucket a spanning forest is verified on 128-bit hashes of all their shingles;
@@ -17,9 +25,15 @@ No task takes a whole bucket of any size.  A shingle's count and the signature o
 its nodes are partial aggregates, and a bucket is dealt into chunks of about
 ``CHUNK`` nodes.  Chunks are linked each by itself, then one head of each of a
 crowded bucket's components, dealt again, until it is one component (``LEVELS``
-times at most).  Nodes that aren't in the bucket's largest component then meet,
-in blocks of two chunks, all others of unlike components, so no pair is missed:
-the work on a crowded bucket grows with its size times what isn't in one group.
+times at most).  Nodes that aren't in the bucket's largest component (or those that
+lead, if they are fewer) then meet, in blocks of two chunks, all others of unlike
+components, so no pair is missed: the work on a crowded bucket grows with its size
+times what isn't in one group.
+
+Retries: a task that makes profiles skips nodes that it has met, so what it yields
+may depend on the order of its rows, but each of its nodes is always there, equal
+profiles are one later, and the rows go straight into a table, whose tasks commit
+whole.  Blocks are sorted before they are compared.
 
 Edge cases: a null text is the empty text; texts of fewer words than a shingle
 are alike only when equal; nodes are named by 60 bits of their words' SHA-256.
@@ -39,8 +53,8 @@ from .vechash import Words
 
 FOLD = np.frombuffer(LOWER, np.uint8)
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One text in so many is counted for the order; so many shingles, seen twice there, go last.
-SAMPLE, COMMON = 16, 10_000
+#: One text in so many is counted for the order, in so many counters (a fixed size, whatever the corpus).
+SAMPLE, COMMON = 16, 1 << 20
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Nodes of a bucket that one block holds; rounds in which heads of components are linked (both change the work, never the pairs).
 CHUNK, LEVELS = 512, 3
@@ -65,19 +79,26 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return row[new], h[new]
 
 
-def common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of shingles that a sample has in two texts or more, the most common at most ``COMMON``."""
+def counter_of(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h % np.uint64(counters)).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, size: int) -> np.ndarray:
+    """``COMMON`` counters: in how many texts of the sample the shingles of each are."""
+    counters = COMMON
 
     def run(batches):
+        total = np.zeros(counters, np.int64)
         for b in steps(batches):
-            h, n = np.unique(shingles(b.column("text"), size)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long, n long")
-    rows = some.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+            total += np.bincount(counter_of(shingles(b.column("text"), size)[1], counters), minlength=counters)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "counter long, n long")
+    got = some.groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(counters, np.int32)
+    out[got.column("counter").to_numpy()] = np.minimum(got.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -86,24 +107,24 @@ def bitmap(h: np.ndarray) -> bytes:
 
 
 def profiles(texts: DataFrame, size: int) -> DataFrame:
-    """(node, n, bits, first): a row or more for each node with a shingle; ``first`` are those that a partner must share one of."""
-    hot, counts = common_shingles(texts, size)
+    """(node, n, bits, first, lead): a row or more for each node with a shingle.
+
+    ``first`` are the shingles that a partner must share one of, ``lead`` how many of them a larger partner must.
+    """
+    counts = shingle_counts(texts, size)
 
     def run(batches):
         for b in steps(_unseen(batches)):
             row, h = shingles(b.column("text"), size)
-            rank = np.zeros(len(h), np.int64)
-            if len(hot):
-                k = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                rank = np.where(hot[k] == h, counts[k], 0)
-            h = h[np.lexsort((h, rank, row))]
+            h = h[np.lexsort((h, counts[counter_of(h, len(counts))], row))]
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             some = np.flatnonzero(np.diff(cuts))
             sets = [h[cuts[r] : cuts[r + 1]] for r in some]
             out = [b.column("node").take(pa.array(some)), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*out, pa.array([s[: len(s) // 5 + 1].view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "n", "bits", "first"])
+            out += [pa.array([s[: len(s) // 5 + 1].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) // 9 + 1 for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, ["node", "n", "bits", "first", "lead"])
 
-    return texts.mapInArrow(run, "node long, n long, bits binary, first array<long>")
+    return texts.mapInArrow(run, "node long, n long, bits binary, first array<long>, lead int")
 
 
 def _unseen(batches):
@@ -120,8 +141,8 @@ def _unseen(batches):
         yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
 
 
-def _like(n: np.ndarray, maps: list[bytes]):
-    """Yields (i, others): for each set those after it, by ``n``, that can reach 0.8."""
+def _like(n: np.ndarray, maps: list[bytes], leads: np.ndarray | None = None):
+    """Yields (i, others): for each set (that leads) those after it, by ``n``, that can reach 0.8."""
     width = np.array([len(x) for x in maps])
     table = {w: np.frombuffer(b"".join(x for x in maps if len(x) == w), np.uint64).reshape(-1, w // 8) for w in np.unique(width)}
     where = {w: np.flatnonzero(width == w) for w in table}
@@ -132,7 +153,7 @@ def _like(n: np.ndarray, maps: list[bytes]):
     place = np.empty(len(n), np.int64)
     for w, at in where.items():
         place[at] = np.arange(len(at))
-    for i in range(len(n)):
+    for i in range(len(n)) if leads is None else np.flatnonzero(leads).tolist():
         w = width[i]
         mine, found = table[w][place[i]], []
         for maps_, at, start in ((table[w], where[w], place[i] + 1), (table.get((w, 2)), where.get(2 * w), 0)):
@@ -144,12 +165,12 @@ def _like(n: np.ndarray, maps: list[bytes]):
             yield i, np.concatenate(found)
 
 
-def pairs_of(node: np.ndarray, n: np.ndarray, maps: list[bytes], label: np.ndarray, forest: bool, side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Pairs of a block with unlike labels (and sides, if any) that can reach 0.8: all, or a spanning forest of them."""
+def pairs_of(node: np.ndarray, n: np.ndarray, maps: list[bytes], label: np.ndarray, forest: bool, side: np.ndarray | None = None, leads: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of a block with unlike labels (and sides, if any), the smaller one leading, that can reach 0.8: all, or a spanning forest of them."""
     order = np.lexsort((node, n))
     node, n, label, maps, out = node[order], n[order], label[order].copy(), [maps[k] for k in order], []
     side = None if side is None else side[order]
-    for i, others in _like(n, maps):
+    for i, others in _like(n, maps, None if leads is None else leads[order]):
         others = others[label[others] != label[i]]
         if side is not None:
             others = others[side[others] != side[i]]
@@ -163,8 +184,8 @@ def pairs_of(node: np.ndarray, n: np.ndarray, maps: list[bytes], label: np.ndarr
 
 
 def candidates(blocks: DataFrame, forest: bool) -> DataFrame:
-    """(block, node, n, bits, label, perhaps side) -> (u, v), u < v, each pair once."""
-    sides = "side" in blocks.columns
+    """(block, node, n, bits, label, perhaps leads and side) -> (u, v), u < v, each pair once."""
+    more = [c for c in ("side", "leads") if c in blocks.columns]
 
     def run(batches):
         held = None
@@ -186,7 +207,7 @@ def candidates(blocks: DataFrame, forest: bool) -> DataFrame:
                     continue
                 part = now.slice(a, z - a)
                 node, n, label = (part.column(c).to_numpy() for c in ("node", "n", "label"))
-                out += pairs_of(node, n, part.column("bits").to_pylist(), label, forest, part.column("side").to_numpy() if sides else None)
+                out += pairs_of(node, n, part.column("bits").to_pylist(), label, forest, **{c: part.column(c).to_numpy() for c in more})
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in out], pa.int64()), pa.array([max(x) for x in out], pa.int64())], ["u", "v"])
 
     return blocks.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long").distinct()
@@ -226,17 +247,21 @@ def verified(pairs: DataFrame, held: DataFrame, size: int) -> DataFrame:
 
 
 def buckets_of(made: DataFrame) -> DataFrame:
-    """(bucket, size, node, n, bits) of the profiles: a row for each node of each set of nodes that meet at a shingle."""
-    met = made.select("node", F.explode("first").alias("h"))
-    often = met.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    """(bucket, size, node, n, bits, leads) of the profiles: a row for each node of each set of nodes that meet at a shingle where one leads.
+
+    Without a column ``lead`` all lead.
+    """
+    lead = F.col("lead") if "lead" in made.columns else F.size("first")
+    met = made.select("node", lead.alias("lead"), F.posexplode("first").alias("pos", "h")).select("h", "node", (F.col("pos") < F.col("lead")).alias("leads"))
+    often = met.groupBy("h").agg(F.count("*").alias("k"), F.max("leads").alias("some")).filter("k > 1 and some").select("h")
     shared = materialize(met.join(often, "h").distinct())
-    # Equal sets of nodes are one bucket, named by its least shingle.
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"mark{k}") for k in (0, 1)]
+    # Equal sets of nodes, with the same ones leading, are one bucket, named by its least shingle.
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"), F.col("leads"))).alias(f"mark{k}") for k in (0, 1)]
     sets = shared.groupBy("h").agg(F.count("*").alias("size"), *marks).filter("size > 1")
     named = sets.groupBy("size", "mark0", "mark1").agg(F.min("h").alias("h")).select("h", "size")
-    members = materialize(shared.join(named, "h").select(F.col("h").alias("bucket"), "size", "node"))
+    members = materialize(shared.join(named, "h").select(F.col("h").alias("bucket"), "size", "node", "leads"))
     known = made.select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    found = materialize(members.join(known, "node").select("bucket", "size", "node", "n", "bits"))
+    found = materialize(members.join(known, "node").select("bucket", "size", "node", "n", "bits", "leads"))
     discard(shared)
     discard(members)
     return found
@@ -251,36 +276,41 @@ def _chunk(node: Column, size: Column, round_: int) -> Column:
 
 
 def dealt(rows: DataFrame, round_: int) -> DataFrame:
-    """(bucket, size, node, n, bits, label) -> blocks of one chunk each."""
+    """(bucket, size, node, n, bits, leads, label) -> blocks of one chunk each."""
     block = F.xxhash64("bucket", _chunk(F.col("node"), F.col("size"), round_))
-    return rows.select(block.alias("block"), "node", "n", "bits", "label")
+    return rows.select(block.alias("block"), "node", "n", "bits", "label", "leads")
 
 
 def heads(named: DataFrame) -> DataFrame:
-    """One row of each component in each bucket that has several."""
-    least = named.groupBy("bucket", "label").agg(F.min(F.struct("node", "n", "bits")).alias("row"))
+    """One row of each component in each bucket that has several, one that leads if there is any."""
+    least = named.groupBy("bucket", "label").agg(F.min(F.struct((~F.col("leads")).alias("late"), "node", "n", "bits", "leads")).alias("row"))
     size = named.groupBy("bucket").agg(F.count_distinct("label").alias("size")).filter("size > 1")
-    return least.join(size, "bucket").select("bucket", "size", "row.node", "row.n", "row.bits", "label")
+    return least.join(size, "bucket").select("bucket", "size", "row.node", "row.n", "row.bits", "row.leads", "label")
 
 
 def opposed(named: DataFrame) -> DataFrame:
-    """Blocks in which the nodes outside a bucket's largest component (side 1) meet all its nodes (side 0), chunk by chunk."""
-    of_label = named.groupBy("bucket", "label").agg(F.count("*").alias("m"))
-    largest = of_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size")).filter("top.m < size")
-    rows = named.drop("size").join(largest.select("bucket", "size", F.col("top.label").alias("top"), (F.col("size") - F.col("top.m")).alias("rest")), "bucket")
+    """Blocks in which a bucket's nodes of side 1 meet all its nodes (side 0), chunk by chunk.
+
+    Side 1 are the nodes outside the largest component, or those that lead, whichever are fewer.
+    """
+    of_label = named.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.count_if("leads").alias("f"))
+    largest = of_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.sum("f").alias("f")).filter("top.m < size and f > 0")
+    outside = F.col("size") - F.col("top.m")
+    rows = named.drop("size").join(largest.select("bucket", "size", F.col("top.label").alias("top"), F.least(outside, "f").alias("rest"), (F.col("f") < outside).alias("few")), "bucket")
     rows = rows.withColumn("mine", _chunk(F.col("node"), F.col("size"), 0)).withColumn("theirs", _chunk(F.col("node"), F.col("rest"), 0))
 
     def each(size: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), _chunks(F.col(size)) - 1))
 
     def side(number: int, at: DataFrame) -> DataFrame:
-        return at.select(F.xxhash64("bucket", "mine", "theirs").alias("block"), "node", "n", "bits", "label", F.lit(number).alias("side"))
+        return at.select(F.xxhash64("bucket", "mine", "theirs").alias("block"), "node", "n", "bits", "label", "leads", F.lit(number).alias("side"))
 
-    return side(0, rows.withColumn("theirs", each("rest"))).union(side(1, rows.filter("label <> top").withColumn("mine", each("size"))))
+    ones = rows.filter(F.when(F.col("few"), F.col("leads")).otherwise(F.col("label") != F.col("top")))
+    return side(0, rows.withColumn("theirs", each("rest"))).union(side(1, ones.withColumn("mine", each("size"))))
 
 
 def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "node", "left").select("bucket", "size", "node", "n", "bits", F.coalesce("root", "node").alias("label"))
+    return buckets.join(roots, "node", "left").select("bucket", "size", "node", "n", "bits", "leads", F.coalesce("root", "node").alias("label"))
 
 
 def links(texts: DataFrame, size: int) -> DataFrame:

@@ -155,3 +155,51 @@ def test_one_row_of_each_component(spark):
         named = [x for x in got if x[0] is not None]
         assert len(got) == 6 and (1, a, 1) in named and (7, c, 7) in named
         assert sorted(t[:5].lower() for i, t, _ in named if i == 5) == [b[:5], d[:5]]
+
+
+def _forms(n, own, words=60, seed=6):
+    """Forms with a few own words each, spread so that no two are near duplicates."""
+    r = random.Random(seed)
+    out = []
+    for k in range(n):
+        w = [f"form{j}" for j in range(words)]
+        for j in range(own):
+            w[(j + 1) * words // (own + 1) + r.randrange(3)] = f"own{k}x{j}"
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_forms_make_no_candidates(spark, monkeypatch, n):
+    """Texts of one form that are no near duplicates (0.7) lead with their own shingles: no bucket, however many they are."""
+    ship(spark)
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(_forms(n, 2))], "node long, text string").repartition(4)
+    assert len(_grams(texts.first().text)) == 56
+    assert jaccard.buckets_of(jaccard.profiles(texts, 5)).count() == 0
+
+
+def test_forms_with_copies(spark):
+    """Near copies among forms are found, and the forms stay."""
+    ship(spark)
+    forms = _forms(60, 2)
+    rows = list(enumerate(forms + [t + " more" for t in forms[::3]] + _forms(20, 1, seed=9)))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA).repartition(3)
+    want = _least(rows)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want and 50 < len(want) < 70
+
+
+def test_the_first_shared_shingle_leads():
+    """For all sizes: of sets at 0.8 or more the first shared element, in any order, is in the smaller set's lead and the larger's prefix."""
+    r = random.Random(7)
+    for _ in range(3000):
+        n = r.randrange(1, 80)
+        m = r.randrange(n, n * 5 // 4 + 1)
+        least = -(-4 * (n + m) // 9)
+        if least > n:
+            continue
+        both = r.randrange(least, n + 1)
+        pool = r.sample(range(1000), n + m - both)
+        a, b = sorted(pool[:n]), sorted(pool[n - both :])
+        assert len(b) == m and 5 * both >= 4 * (n + m - both)
+        w = min(set(a) & set(b))
+        assert a.index(w) < n // 9 + 1 and b.index(w) < m // 5 + 1
