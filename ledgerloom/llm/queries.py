@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, pii, quality, simhash, spm, substring, token_counts, toxicity
+from . import conversations, filter_audit, licenses, media, oracles, packing, pii, pivots, quality, simhash, spm, substring, token_counts, toxicity
 from .common import table
 
 
@@ -61,9 +61,21 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup_digests(table(spark, sf_dir, "documents"), length=50, period=31)
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(table(spark, sf_dir, "embeddings"), asks=F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_top_k": oracles.TOP_K, "op12_filter_audit": oracles.FILTER_AUDIT, "op13_conversations": oracles.CONVERSATIONS}
