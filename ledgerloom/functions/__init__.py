@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
+from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def normalize(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, f"(?U)[\\s{EXTRA_SPACE}]+", " "))
 
 
+@cache
+def _folding() -> tuple[dict[str, str], dict[str, str]]:
+    """Unicode's case folding of every character that it changes: into one character, and into several."""
+    folded = {c: c.casefold() for c in map(chr, chain(range(0xD800), range(0xE000, 0x110000))) if c.casefold() != c}
+    return tuple({c: f for c, f in folded.items() if (len(f) > 1) == several} for several in (False, True))
+
+
+def casefold(s: Column) -> Column:
+    """Unicode's full case folding, by which file names are ordered: ``STRASSE`` and ``straße`` are alike, and so are σ and ς."""
+    one, several = _folding()
+    simple = F.translate(s, "".join(one), "".join(one.values()))
+    table = F.create_map(*map(F.lit, chain.from_iterable(several.items())))
+    full = F.array_join(F.transform(F.regexp_extract_all(simple, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(simple.rlike("[" + "".join(several) + "]"), full).otherwise(simple)
+
+
 def is_strict_date(s: Column) -> Column:
     """Month abbreviation as written, white space, a day number."""
     return s.rlike(STRICT_DATE)

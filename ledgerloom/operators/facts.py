@@ -33,10 +33,11 @@ def printed_balances(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     return printed_balances_in(page_words(words), tolerance)
 
 
-def printed_balances_in(pages: DataFrame, tolerance: float = 2.5) -> DataFrame:
-    """The same from ``layout.page_words``."""
+def printed_balances_in(pages: DataFrame, tolerance: float | Column = 2.5) -> DataFrame:
+    """The same from ``layout.page_words``; a tolerance of each page is its column ``tolerance``."""
     left = F.filter("ws", lambda w: center_x(w) < LEFT_PANEL)
-    lines = pages.select(*PAGE, left.alias("ws")).select(*PAGE, F.posexplode(lines_in(F.col("ws"), tolerance)).alias("line_no", "l"))
+    own = [c for c in ("tolerance",) if c in pages.columns]
+    lines = pages.select(*PAGE, *own, left.alias("ws")).select(*PAGE, F.posexplode(lines_in(F.col("ws"), tolerance)).alias("line_no", "l"))
     low = F.lower(normalize(line_text(F.col("l.words"))))
     amounts = F.filter(F.transform("l.words", lambda w: w["text"]), is_amount)
     named = lines.withColumn("low", low).filter(F.contains("low", F.lit(PREVIOUS)) | F.contains("low", F.lit(NEW)))
@@ -61,14 +62,25 @@ def _side_by_side(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["doc_id", "page_no"], "full_outer")
 
 
+def page_state(text: Column) -> Column:
+    """``COMPARED`` of a page whose words are those of its text (without images)."""
+    plain = normalize(text)
+    words = F.when(plain == "", 0).otherwise(F.regexp_count(plain, F.lit(" ")) + 1)
+    return F.struct(F.length(strip(text)).alias("text_characters"), words.cast("long").alias("positioned_words"), F.sha2(plain, 256).alias("text_hash"))
+
+
 def text_layer_preserved(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, status) from two page_stats tables.
+    """``text_layer_status`` of two page_stats tables."""
+    return text_layer_status(_side_by_side(before, after))
+
+
+def text_layer_status(both: DataFrame) -> DataFrame:
+    """(doc_id, status) of pages side by side: (doc_id, page_no, a, b, a_text_characters, ...), ``a`` and ``b`` null where a side lacks the page.
 
     Pages must be the same; a document without positioned words on a side is
     image-only there; then the first page that lost its text, words or wording
     decides.  Pages without words and characters before are skipped.
     """
-    both = _side_by_side(before, after)
     lone = F.col("a").isNull() | F.col("b").isNull()
     blank = (F.col("a_positioned_words") == 0) & (F.col("a_text_characters") == 0)
     lost = (F.col("b_positioned_words") == 0) | (F.col("b_text_characters") == 0)

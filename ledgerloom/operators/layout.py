@@ -3,10 +3,15 @@
 Words are shuffled once, by (doc_id, page_no), into one row a page.  Lines, the
 heading, the table region and its cells are then array functions on that row: a
 page is a bounded group, and nothing more is exchanged, joined or sorted.
+
+A dialect is a letter for all pages, or a column, so that pages of unlike profiles
+go through one plan; so may be a line tolerance.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +23,18 @@ PAGE = ["doc_id", "page_no"]
 HEADING_TOKENS = ("transaction", "posting", "activity", "description", "amount", "date")
 #: Dialect C's heading spans so many lines at most.
 MOST_LINES = 5
-SPAN = "array<struct<start:int,n:int,total:double>>"
+SPAN = "array<struct<start:int,n:int,total:double,rest:double>>"
+DIALECTS = "ABC"
+
+
+def by_dialect(dialect: str | Column, make: Callable[[str], Column]) -> Column:
+    """``make`` of the dialect, or of each row's own."""
+    if isinstance(dialect, str):
+        return make(dialect)
+    out = F.when(dialect == DIALECTS[0], make(DIALECTS[0]))
+    for d in DIALECTS[1:]:
+        out = out.when(dialect == d, make(d))
+    return out
 
 
 def center_x(w: Column) -> Column:
@@ -31,34 +47,43 @@ def page_words(words: DataFrame) -> DataFrame:
     return words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(w)).alias("ws"))
 
 
-def _spans(ws: Column, tolerance: float) -> Column:
-    """Where each greedy line starts, its words and the sum of their centres.
+def _mean(a: Column) -> Column:
+    """The compensated sum over the count."""
+    whole = a["total"] + a["rest"]
+    return F.when((a["rest"] != 0) & (F.abs(a["rest"]) < float("inf")), whole).otherwise(a["total"]) / F.greatest(a["n"], F.lit(1))
+
+
+def _spans(ws: Column, tolerance: float | Column) -> Column:
+    """Where each greedy line starts, its words and the sum of their centres (``total``, and ``rest``, what rounding lost).
 
     A word joins the line while it is within ``tolerance`` of the running mean of
-    the line's centres.  The fold carries numbers, never words, and grows its
-    array only where a line ends.
+    the line's centres.  The sum is compensated (Neumaier), as a sum of floats is
+    in current Python, so a gap of exactly the tolerance is decided alike.  The
+    fold carries numbers, never words, and grows its array only where a line ends.
     """
-    start = F.struct(F.array().cast(SPAN).alias("done"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("total"))
+    start = F.struct(F.array().cast(SPAN).alias("done"), F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("rest"))
 
     def line(a: Column) -> Column:
-        return F.array(F.struct(a["start"].alias("start"), a["n"].alias("n"), a["total"].alias("total")))
+        return F.array(F.struct(a["start"].alias("start"), a["n"].alias("n"), a["total"].alias("total"), a["rest"].alias("rest")))
 
     def step(a: Column, x: Column) -> Column:
-        new = (a["n"] > 0) & (F.abs(x["y"] - a["total"] / F.greatest(a["n"], F.lit(1))) > tolerance)
-        return F.when(
-            new, F.struct(F.concat(a["done"], line(a)).alias("done"), (a["i"] + 1).alias("i"), a["i"].alias("start"), F.lit(1).alias("n"), x["y"].alias("total"))
-        ).otherwise(F.struct(a["done"].alias("done"), (a["i"] + 1).alias("i"), a["start"].alias("start"), (a["n"] + 1).alias("n"), (a["total"] + x["y"]).alias("total")))
+        y, old = x["y"], a["total"]
+        new = (a["n"] > 0) & (F.abs(y - _mean(a)) > tolerance)
+        fresh = F.struct(F.concat(a["done"], line(a)).alias("done"), (a["i"] + 1).alias("i"), a["i"].alias("start"), F.lit(1).alias("n"), y.alias("total"), F.lit(0.0).alias("rest"))
+        lost = F.when(F.abs(old) >= F.abs(y), (old - (old + y)) + y).otherwise((y - (old + y)) + old)
+        more = F.struct(a["done"].alias("done"), (a["i"] + 1).alias("i"), a["start"].alias("start"), (a["n"] + 1).alias("n"), (old + y).alias("total"), (a["rest"] + lost).alias("rest"))
+        return F.when(new, fresh).otherwise(more)
 
     return F.aggregate(ws, start, step, lambda a: F.when(a["n"] > 0, F.concat(a["done"], line(a))).otherwise(a["done"]))
 
 
-def lines_in(ws: Column, tolerance: float) -> Column:
+def lines_in(ws: Column, tolerance: float | Column) -> Column:
     """The lines of sorted words: an array of (y, words), ``words`` by x0."""
 
     def by_x(w: Column) -> Column:
         return F.struct(*(w[c].alias(c) for c in ("x0", "y", "word_no", "x1", "y0", "y1", "text")))
 
-    return F.transform(_spans(ws, tolerance), lambda s: F.struct((s["total"] / s["n"]).alias("y"), F.array_sort(F.transform(F.slice(ws, s["start"] + 1, s["n"]), by_x)).alias("words")))
+    return F.transform(_spans(ws, tolerance), lambda s: F.struct(_mean(s).alias("y"), F.array_sort(F.transform(F.slice(ws, s["start"] + 1, s["n"]), by_x)).alias("words")))
 
 
 def lines_of(words: DataFrame, tolerance: float) -> DataFrame:
@@ -91,13 +116,27 @@ def _near(lines: Column, start: Column, size: Column) -> Column:
     return F.flatten(F.transform(F.slice(lines, start + 1, size), lambda x: x["words"]))
 
 
-def _with_windows(pages: DataFrame, dialect: str) -> DataFrame:
+def _heading_bits(t: Column) -> Column:
+    """A bit for each word of dialect C's heading that a line holds."""
+    tokens = F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1))
+    every_bit = let(tokens, lambda k: sum((F.when(F.array_contains(k, w), 1 << b).otherwise(0) for b, w in enumerate(HEADING_TOKENS)), F.lit(0)))
+    return F.when(t.rlike("|".join(HEADING_TOKENS)), every_bit).otherwise(0)
+
+
+def _with_windows(pages: DataFrame, dialect: str | Column) -> DataFrame:
     """``pages`` (with ``lines``) and ``windows``: (line_no, first, size) of the runs of lines whose text holds the headings, best first."""
-    low = F.transform("lines", lambda x: F.lower(line_text(x["words"])))
+    texts = pages.withColumn("low", F.transform("lines", lambda x: F.lower(line_text(x["words"]))))
+    if not isinstance(dialect, str) or dialect == "C":
+        masks = F.transform("low", _heading_bits)
+        texts = texts.withColumn("masks", masks if isinstance(dialect, str) else F.when(dialect == "C", masks))
+    return texts.withColumn("windows", by_dialect(dialect, _windows)).drop("low", "masks")
+
+
+def _windows(dialect: str) -> Column:
+    """The windows of a page with ``lines`` and their texts ``low`` (and ``masks`` in dialect C)."""
     n = F.size("lines")
     every = F.sequence(F.lit(0), n - 1)
     if dialect in "AB":
-        texts = pages.withColumn("low", low)
 
         def text(i: Column) -> Column:
             return F.coalesce(F.get("low", i), F.lit(""))
@@ -108,16 +147,8 @@ def _with_windows(pages: DataFrame, dialect: str) -> DataFrame:
         else:
             ok = F.filter(every, lambda i: _has(text(i), "transaction", "balance", "out", "in") & (F.regexp_count(text(i), F.lit("funds")) >= 2) & _has(F.concat_ws(" ", text(i), F.get("low", i + 1)), "trans.", "eff.", "date"))
             first, size = (lambda i: i), (lambda i: F.least(n - i, F.lit(2)))
-        found = F.transform(ok, lambda i: F.struct(i.alias("line_no"), first(i).alias("first"), size(i).alias("size")))
-        return texts.withColumn("windows", found).drop("low")
-
-    # A bit for each heading word that a line holds; a window holds the headings if its lines have all bits together.
-    def bits(t: Column) -> Column:
-        tokens = F.regexp_extract_all(t, F.lit("([a-z]+)"), F.lit(1))
-        every_bit = let(tokens, lambda k: sum((F.when(F.array_contains(k, w), 1 << b).otherwise(0) for b, w in enumerate(HEADING_TOKENS)), F.lit(0)))
-        return F.when(t.rlike("|".join(HEADING_TOKENS)), every_bit).otherwise(0)
-
-    masks = pages.withColumn("masks", F.transform(low, bits))
+        return F.transform(ok, lambda i: F.struct(i.alias("line_no"), first(i).alias("first"), size(i).alias("size")))
+    # A window holds the headings if its lines have all bits together.
     whole = (1 << len(HEADING_TOKENS)) - 1
     none = F.array().cast("array<struct<line_no:int,first:int,size:int>>")
 
@@ -129,7 +160,7 @@ def _with_windows(pages: DataFrame, dialect: str) -> DataFrame:
         return F.when(n >= size, F.transform(ok, lambda i: F.struct(i.alias("line_no"), i.alias("first"), F.lit(size).alias("size")))).otherwise(none)
 
     found = F.concat(*(run(size) for size in range(1, MOST_LINES + 1)))
-    return masks.withColumn("windows", F.when(together(F.col("masks")), found).otherwise(none)).drop("masks")
+    return F.when(together(F.col("masks")), found).otherwise(none)
 
 
 def _anchors(near: Column, dialect: str, margin: float) -> Column:
@@ -151,14 +182,14 @@ def _anchors(near: Column, dialect: str, margin: float) -> Column:
     return let(picked[-1]["x1"] + margin, under)
 
 
-def with_heading(pages: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:
+def with_heading(pages: DataFrame, dialect: str | Column, margin: float = 4.0) -> DataFrame:
     """The ``pages`` (with ``lines``) that have a heading, and ``head``: (cuts, right_edge, bottom).
 
     The smallest, then earliest window counts whose anchors are all there, in x
     order.  ``cuts`` are the columns' left edges; ``right_edge`` only in dialect C.
     """
     windows = _with_windows(pages, dialect)
-    tried = F.transform("windows", lambda c: let(_near(F.col("lines"), c["first"], c["size"]), lambda near: _anchors(near, dialect, margin)))
+    tried = F.transform("windows", lambda c: let(_near(F.col("lines"), c["first"], c["size"]), lambda near: by_dialect(dialect, lambda d: _anchors(near, d, margin))))
     whole = F.filter(tried, lambda h: F.forall(h["cuts"], lambda x: x.isNotNull()) & (h["cuts"] == F.array_sort(h["cuts"])))
     # An explosion of at most one, not a filter: that would be pushed down and evaluate everything below it twice.
     return windows.select(*(c for c in windows.columns if c != "windows"), F.explode(F.slice(whole, 1, 1)).alias("head"))

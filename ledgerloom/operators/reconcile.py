@@ -1,58 +1,104 @@
 """Accept or reject statements, and summaries of a batch.
 
 First hit wins: unreadable, no text at all, no table, totals or balances not
-printed, totals that don't match.  Sums are exact decimals.  A text counts
-without the Unicode white space at its ends.
+printed, a column to be summed that the profile doesn't name, totals that don't
+match.  Sums are exact decimals.  A text counts without the Unicode white space at
+its ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money_text, output_name, page_list, parse_amount, strip
 
+from .layout import by_dialect
+
 OK, FAILED = "Success", "Failed"
 MONEY = "decimal(18,2)"
+# What is summed in each dialect, and the printed name of each such column.
+SUMMED = {"A": {}, "B": {"funds_out": "Funds out", "funds_in": "Funds in"}, "C": {"amount": "Amount($)"}}
+SUMS = {"funds_out": "sum_out", "funds_in": "sum_in", "amount": "sum_amount"}
 
 
 def totals(rows: DataFrame, column: str, name: str) -> Column:
     return F.coalesce(F.sum(F.when(F.col(column) != "", parse_amount(F.col(column)))), F.lit(0)).cast(MONEY).alias(name)
 
 
-def statement_sums(rows: DataFrame, dialect: str) -> DataFrame:
-    """(doc_id, n_txn, source_pages, the dialect's exact sums)."""
-    sums = [totals(rows, "funds_out", "sum_out"), totals(rows, "funds_in", "sum_in")] if dialect == "B" else [totals(rows, "amount", "sum_amount")]
+def statement_sums(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_txn, source_pages, an exact sum of each column of money that ``rows`` has)."""
+    sums = [totals(rows, c, n) for c, n in SUMS.items() if c in rows.columns]
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_txn"), F.array_sort(F.collect_set("page_no")).alias("source_pages"), *sums)
 
 
-def statement_status(pages: DataFrame, rows: DataFrame, dialect: str, facts: DataFrame | None = None, display_name: str = "") -> DataFrame:
-    """A row per document of ``pages``: (doc_id, status, n_txn, source_pages, error), and the sums and facts.
+def unnamed(dialect: str, headers: Sequence[str] | Column | None) -> Column:
+    """The first column to be summed that ``headers`` lacks, by its printed name; null if none (or without headers)."""
+    out = F.lit(None).cast("string")
+    for name in reversed(SUMMED[dialect].values() if headers is not None else ()):
+        lacks = ~F.array_contains(headers, name) if isinstance(headers, Column) else F.lit(name not in headers)
+        out = F.when(lacks, name).otherwise(out)
+    return out
+
+
+def reconciles(dialect: str, sums: dict[str, Column]) -> Column:
+    """Whether the sums (by column) are those that the statement prints."""
+    if dialect == "B":
+        return (sums["funds_out"] == F.col("total_out")) & (sums["funds_in"] == F.col("total_in"))
+    return sums["amount"] == _change() if dialect == "C" else F.lit(True)
+
+
+def _change() -> Column:
+    return (F.col("new_balance") - F.col("previous_balance")).cast(MONEY)
+
+
+def _joined(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(p) if isinstance(p, str) else money_text(p) for p in parts))
+
+
+def _error(dialect: str, display_name: str | Column, headers: Sequence[str] | Column | None) -> Column:
+    """Why a statement isn't accepted; null if it is."""
+    none = F.coalesce("n_txn", F.lit(0)) == 0
+    name = F.lit(display_name) if isinstance(display_name, str) else display_name
+    table = F.lit("No readable transaction table was found; the transaction page may be image-only.") if dialect == "C" else F.concat(F.lit("No transaction table matching profile '"), name, F.lit("' was found."))
+    error = (
+        F.when(F.col("read_error").isNotNull(), F.col("read_error"))
+        .when(none & (F.coalesce("characters", F.lit(0)) == 0), "No readable text was found; the statement is image-only and needs OCR.")
+        .when(none, table)
+    )
+    if dialect == "A":
+        return error
+    lacks = unnamed(dialect, headers)
+    wrong = ~reconciles(dialect, {c: F.col(SUMS[c]) for c in SUMMED[dialect]})
+    if dialect == "B":
+        missing, text = F.col("total_out").isNull() | F.col("total_in").isNull(), "Statement totals were not found."
+        apart = _joined("Statement totals do not match. Extracted funds out: ", F.col("sum_out"), "; statement: ", F.col("total_out"), ". Extracted funds in: ", F.col("sum_in"), "; statement: ", F.col("total_in"), ".")
+    else:
+        missing, text = F.col("previous_balance").isNull() | F.col("new_balance").isNull(), "Statement balances were not found."
+        apart = _joined("Does not reconcile. Extracted: ", F.col("sum_amount"), "; expected change: ", _change(), ". Previous balance: ", F.col("previous_balance"), "; new balance: ", F.col("new_balance"), ".")
+    return error.when(missing, text).when(lacks.isNotNull(), F.concat(F.lit("Unexpected error: '"), lacks, F.lit("'"))).when(wrong, apart)
+
+
+def statement_status(
+    pages: DataFrame, rows: DataFrame, dialect: str | Column, facts: DataFrame | None = None, display_name: str | Column = "", headers: Sequence[str] | Column | None = None, profiles: DataFrame | None = None
+) -> DataFrame:
+    """A row per document of ``pages``: (doc_id, status, n_txn, source_pages, error).
 
     A failed statement counts no transactions and no pages.  ``pages`` may carry
     ``read_error``, the whole message (null where the document could be read).
+    ``headers``: the printed columns that the profile names (all, if not given).
+    ``profiles``, one row a ``doc_id.profile_id``, has what is a column here.
     """
     read_error = F.first("read_error", ignorenulls=True) if "read_error" in pages.columns else F.lit(None).cast("string")
     docs = pages.groupBy("doc_id").agg(F.sum(F.length(strip(F.col("page_text")))).alias("characters"), read_error.alias("read_error"))
-    all_ = docs.join(statement_sums(rows, dialect), "doc_id", "left")
+    all_ = docs.join(statement_sums(rows), "doc_id", "left")
     if facts is not None:
         all_ = all_.join(facts, "doc_id", "left")
-    none = F.coalesce("n_txn", F.lit(0)) == 0
-    error = (
-        F.when(F.col("read_error").isNotNull(), F.col("read_error"))
-        .when(none & (F.coalesce("characters", F.lit(0)) == 0), "No readable text was found; the statement is image-only and needs OCR.")
-        .when(none, "No readable transaction table was found; the transaction page may be image-only." if dialect == "C" else f"No transaction table matching profile '{display_name}' was found.")
-    )
-    if dialect == "B":
-        error = error.when(F.col("total_out").isNull() | F.col("total_in").isNull(), "Statement totals were not found.").when(
-            (F.col("sum_out") != F.col("total_out")) | (F.col("sum_in") != F.col("total_in")),
-            F.concat(F.lit("Statement totals do not match. Extracted funds out: "), money_text(F.col("sum_out")), F.lit("; statement: "), money_text(F.col("total_out")), F.lit(". Extracted funds in: "), money_text(F.col("sum_in")), F.lit("; statement: "), money_text(F.col("total_in")), F.lit(".")),
-        )
-    elif dialect == "C":
-        change = (F.col("new_balance") - F.col("previous_balance")).cast(MONEY)
-        error = error.when(F.col("previous_balance").isNull() | F.col("new_balance").isNull(), "Statement balances were not found.").when(
-            F.col("sum_amount") != change, F.concat(F.lit("Does not reconcile. Extracted: "), money_text(F.col("sum_amount")), F.lit("; expected change: "), money_text(change), F.lit("."))
-        )
+    if profiles is not None:
+        all_ = all_.join(F.broadcast(profiles), F.col("doc_id.profile_id") == F.col("profile_id"))
+    error = by_dialect(dialect, lambda d: _error(d, display_name, headers))
     good = F.col("error").isNull()
     return all_.withColumn("error", error).select(
         "doc_id",
@@ -63,21 +109,18 @@ def statement_status(pages: DataFrame, rows: DataFrame, dialect: str, facts: Dat
     )
 
 
-def accept(rows: DataFrame, dialect: str, facts: DataFrame | None = None, unreadable: DataFrame | None = None) -> DataFrame:
+def accept(rows: DataFrame, dialect: str | Column, facts: DataFrame | None = None, unreadable: DataFrame | None = None, headers: Sequence[str] | Column | None = None) -> DataFrame:
     """The transactions of statements that reconcile, by sums beside each row, so ``rows`` is evaluated once.
 
     The same statements as ``statement_status`` accepts; ``unreadable`` (doc_id) never are.
     """
     of = Window.partitionBy("doc_id")
     kept = rows
-    if dialect != "A":
-        named = ["funds_out", "funds_in"] if dialect == "B" else ["amount"]
+    if dialect != "A" if isinstance(dialect, str) else True:
+        named = [c for c in SUMS if c in rows.columns and (not isinstance(dialect, str) or c in SUMMED[dialect])]
         sums = {f"__{c}": F.coalesce(F.sum(F.when(F.col(c) != "", parse_amount(F.col(c)))).over(of), F.lit(0)).cast(MONEY) for c in named}
-        beside = rows.withColumns(sums).join(facts, "doc_id")
-        if dialect == "B":
-            right = (F.col("__funds_out") == F.col("total_out")) & (F.col("__funds_in") == F.col("total_in"))
-        else:
-            right = F.col("__amount") == (F.col("new_balance") - F.col("previous_balance")).cast(MONEY)
+        beside = rows.withColumns(sums).join(facts, "doc_id", "left")
+        right = by_dialect(dialect, lambda d: unnamed(d, headers).isNull() & reconciles(d, {c: F.col(f"__{c}") for c in SUMMED[d]}))
         kept = beside.filter(right).select(*rows.columns)
     return kept if unreadable is None else kept.join(unreadable, "doc_id", "left_anti")
 

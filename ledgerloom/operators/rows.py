@@ -1,6 +1,9 @@
 """From lines to transactions: classification, stops, gaps and stitching, as windows over (doc_id, page_no).
 
 Kinds: T transaction, C continuation-shaped, B balance forward, S skip, X stop, O other.
+
+A dialect is a letter for all rows, or the column ``dialect`` of the pages, which may
+also have their own ``tolerance`` and ``gap``; rows then have the columns of all dialects.
 """
 
 from __future__ import annotations
@@ -10,23 +13,34 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import export_amount, is_amount, is_lenient_date, is_strict_date, lenient_date, normalize, repair_activity
 
-from .layout import PAGE, cells_of, lines_in, page_words, region, with_heading
+from .layout import PAGE, by_dialect, cells_of, lines_in, page_words, region, with_heading
 
 COLUMNS = {
     "A": ["trans_date", "post_date", "description", "spend_categories", "amount"],
     "B": ["trans_date", "eff_date", "transaction", "funds_out", "funds_in", "balance"],
     "C": ["transaction_date", "posting_date", "activity_description", "amount"],
 }
+#: The columns of all dialects.
+ALL_COLUMNS = list(dict.fromkeys(c for d in COLUMNS.values() for c in d))
+#: What pages of several profiles may carry along.
+OWN = ("dialect", "tolerance", "gap")
+
 
+def own_columns(df: DataFrame) -> list[str]:
+    return [c for c in OWN if c in df.columns]
 
-def table_lines_in(pages: DataFrame, dialect: str, tolerance: float = 2.5) -> DataFrame:
-    """``layout.page_words`` -> (doc_id, page_no, line_no, y, cells) below each page's heading."""
-    head = F.col("head")
-    headed = with_heading(pages.withColumn("lines", lines_in(F.col("ws"), tolerance)), dialect).select(*PAGE, "head", region(F.col("ws"), head).alias("ws"))
-    lined = headed.select(*PAGE, "head", F.transform(lines_in(F.col("ws"), tolerance), lambda x, i: F.struct(i.alias("line_no"), x["y"].alias("y"), x["words"].alias("words"))).alias("lines"))
+
+def table_lines_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5) -> DataFrame:
+    """``layout.page_words`` -> (doc_id, page_no, line_no, y, cells) below each page's heading, and the pages' own columns."""
+    head, own = F.col("head"), own_columns(pages)
+    headed = with_heading(pages.withColumn("lines", lines_in(F.col("ws"), tolerance)), dialect).select(*PAGE, *own, "head", region(F.col("ws"), head).alias("ws"))
+    lined = headed.select(*PAGE, *own, "head", F.transform(lines_in(F.col("ws"), tolerance), lambda x, i: F.struct(i.alias("line_no"), x["y"].alias("y"), x["words"].alias("words"))).alias("lines"))
     below = F.filter("lines", lambda x: x["y"] > head["bottom"] + 1)
-    cells = F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), x["y"].alias("y"), cells_of(x["words"], head, len(COLUMNS[dialect]), dialect == "A").alias("cells")))
-    return lined.select(*PAGE, F.inline(cells))
+
+    def cells(x: Column) -> Column:
+        return by_dialect(dialect, lambda d: cells_of(x["words"], head, len(COLUMNS[d]), d == "A"))
+
+    return lined.select(*PAGE, *own, F.inline(F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), x["y"].alias("y"), cells(x).alias("cells")))))
 
 
 def table_lines(words: DataFrame, dialect: str, tolerance: float = 2.5, excluded: DataFrame | None = None) -> DataFrame:
@@ -38,10 +52,8 @@ def without(pages: DataFrame, excluded: DataFrame | None) -> DataFrame:
     return pages if excluded is None else pages.join(excluded, PAGE, "left_anti")
 
 
-def classify(lines: DataFrame, dialect: str) -> DataFrame:
-    """``kind`` of each line that isn't blank."""
-    c = [F.col("cells")[k] for k in range(len(COLUMNS[dialect]))]
-    low = F.col("low")
+def _kind(low: Column, dialect: str) -> Column:
+    c = [F.get("cells", F.lit(k)) for k in range(len(COLUMNS[dialect]))]
     none = F.lit(True)
     if dialect == "A":
         kind = (
@@ -69,43 +81,49 @@ def classify(lines: DataFrame, dialect: str) -> DataFrame:
             .when(is_lenient_date(c[0]) & is_lenient_date(c[1]) & (c[2] != "") & is_amount(c[3]), "T")
             .when(none & (c[2] != ""), "C")
         )
+    return kind.otherwise("O")
+
+
+def classify(lines: DataFrame, dialect: str | Column) -> DataFrame:
+    """``kind`` of each line that isn't blank."""
     texts = lines.withColumn("low", F.lower(normalize(F.array_join("cells", " "))))
-    return texts.filter(low != "").withColumn("kind", kind.otherwise("O")).drop("low")
+    return texts.filter("low <> ''").withColumn("kind", by_dialect(dialect, lambda d: _kind(F.col("low"), d))).drop("low")
+
 
+def attach(lines: DataFrame, dialect: str | Column, gap: float | Column = 18.0) -> DataFrame:
+    """Lines that belong to a transaction, with ``txn_no``, the line number of that transaction.
 
-def attach(lines: DataFrame, dialect: str, gap: float = 18.0) -> DataFrame:
-    """Lines that belong to a transaction, with ``txn_no``, the line number of that transaction."""
-    page = Window.partitionBy("doc_id", "page_no").orderBy("line_no")
+    A gap (more than ``gap`` below the last row or continuation) ends the page in
+    dialect A, at the first line that is neither a transaction nor skipped.  In B
+    and C it skips the line; what follows is measured from the same row (in B also
+    from a balance forward), so it fails too, up to the next row.
+    """
+    ends = F.lit(dialect == "A") if isinstance(dialect, str) else dialect == "A"
+    page = Window.partitionBy(*PAGE).orderBy("line_no")
     upto = page.rowsBetween(Window.unboundedPreceding, 0)
     before = page.rowsBetween(Window.unboundedPreceding, -1)
-    open_ = lines.withColumn("stop", F.max((F.col("kind") == "X").cast("int")).over(upto)).filter("stop = 0")
-    txn = F.last(F.when(F.col("kind") == "T", F.col("line_no")), ignorenulls=True)
-    if dialect == "A":
-        # A gap ends the page: the first line that isn't a transaction or skipped, too far below the last row.
-        first = open_.withColumn("txn_no", txn.over(upto))
-        last_y = F.last(F.when((F.col("kind") == "T") | ((F.col("kind") == "C") & F.col("txn_no").isNotNull()), F.col("y")), ignorenulls=True).over(before)
-        broken = (~F.col("kind").isin("T", "S")) & F.col("txn_no").isNotNull() & (F.col("y") - last_y > gap)
-        held = first.withColumn("broken", broken).withColumn("ended", F.max(F.coalesce("broken", F.lit(False)).cast("int")).over(upto)).filter("ended = 0")
-        return held.filter("kind in ('T', 'C') and txn_no is not null")
-    # A gap skips the line; what follows it is measured from the same row, so it fails too.
-    some = open_.filter("kind in ('T', 'B', 'C')").withColumn("txn_no", txn.over(upto)).withColumn("group", F.sum(F.col("kind").isin("T", "B").cast("int")).over(upto))
-    some = some.withColumn("far", (F.col("kind") == "C") & (F.col("y") - F.lag("y").over(page) > gap))
-    run = Window.partitionBy("doc_id", "page_no", "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return some.withColumn("lost", F.max(F.coalesce("far", F.lit(False)).cast("int")).over(run)).filter("lost = 0 and kind <> 'B' and txn_no is not null")
+    kind, y = F.col("kind"), F.col("y")
+    open_ = lines.withColumn("stop", F.max((kind == "X").cast("int")).over(upto)).filter("stop = 0").filter(ends | kind.isin("T", "B", "C"))
+    first = open_.withColumn("txn_no", F.last(F.when(kind == "T", F.col("line_no")), ignorenulls=True).over(upto))
+    some = F.col("txn_no").isNotNull()
+    last_y = F.last(F.when(~ends | (kind == "T") | ((kind == "C") & some), y), ignorenulls=True).over(before)
+    far = (y - last_y > gap) & F.when(ends, ~kind.isin("T", "S") & some).otherwise(kind == "C")
+    group = F.when(ends, 0).otherwise(F.sum(kind.isin("T", "B").cast("int")).over(upto))
+    run = Window.partitionBy(*PAGE, "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    held = first.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("group", group).withColumn("lost", F.max("far").over(run))
+    return held.filter("lost = 0 and kind in ('T', 'C') and txn_no is not null")
 
 
 def _valid(c: Column) -> Column:
     return F.when(is_amount(c), export_amount(c)).otherwise("")
 
 
-def stitch(attached: DataFrame, dialect: str) -> DataFrame:
-    """One row a transaction: (doc_id, page_no, line_no, the dialect's columns as text)."""
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "cells")))
-    rows = attached.groupBy("doc_id", "page_no", F.col("txn_no").alias("line_no")).agg(parts.alias("p"))
-    c = [F.col("p")[0]["cells"][k] for k in range(len(COLUMNS[dialect]))]
+def _texts(dialect: str) -> dict[str, Column]:
+    """The columns of a transaction whose lines are ``p``."""
+    c = [F.get(F.get("p", F.lit(0))["cells"], F.lit(k)) for k in range(len(COLUMNS[dialect]))]
 
     def text(k: int) -> Column:
-        return normalize(F.array_join(F.transform("p", lambda x: x["cells"][k]), " "))
+        return normalize(F.array_join(F.transform("p", lambda x: F.get(x["cells"], F.lit(k))), " "))
 
     if dialect == "A":
         out = [c[0], c[1], text(2), text(3), export_amount(c[4])]
@@ -113,10 +131,19 @@ def stitch(attached: DataFrame, dialect: str) -> DataFrame:
         out = [c[0], c[1], text(2), _valid(c[3]), _valid(c[4]), export_amount(c[5])]
     else:
         out = [lenient_date(c[0]), lenient_date(c[1]), repair_activity(text(2)), export_amount(c[3])]
-    return rows.select("doc_id", "page_no", "line_no", *(x.alias(n) for x, n in zip(out, COLUMNS[dialect], strict=True)))
+    return dict(zip(COLUMNS[dialect], out, strict=True))
+
+
+def stitch(attached: DataFrame, dialect: str | Column) -> DataFrame:
+    """One row a transaction: (doc_id, page_no, line_no, the dialect's columns as text; those of all where each row has its own)."""
+    parts, own = F.array_sort(F.collect_list(F.struct("line_no", "cells"))), own_columns(attached)
+    rows = attached.groupBy(*PAGE, *own, F.col("txn_no").alias("line_no")).agg(parts.alias("p"))
+    none = F.lit(None).cast("string")
+    names = COLUMNS[dialect] if isinstance(dialect, str) else ALL_COLUMNS
+    return rows.select(*PAGE, "line_no", *own, *(by_dialect(dialect, lambda d, n=n: _texts(d).get(n, none)).alias(n) for n in names))
 
 
-def transactions_in(pages: DataFrame, dialect: str, tolerance: float = 2.5, gap: float = 18.0, excluded: DataFrame | None = None) -> DataFrame:
+def transactions_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5, gap: float | Column = 18.0, excluded: DataFrame | None = None) -> DataFrame:
     """The transactions of ``layout.page_words``."""
     return stitch(attach(classify(table_lines_in(without(pages, excluded), dialect, tolerance), dialect), dialect, gap), dialect)
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import facts, layout, reconcile, rows
@@ -37,20 +36,66 @@ def process(words: DataFrame, pages: DataFrame, profile: Profile) -> Statements:
     held = layout.page_words(words)
     found = rows.transactions_in(held, d, profile.line_tolerance, profile.continuation_gap, out)
     printed = facts.printed_totals(pages) if d == "B" else facts.printed_balances_in(held, profile.line_tolerance) if d == "C" else None
-    status = reconcile.statement_status(pages, found, d, printed, profile.display_name)
-    unreadable = pages.filter("read_error is not null").select("doc_id").distinct() if "read_error" in pages.columns else None
-    return Statements(reconcile.accept(found, d, printed, unreadable), found, status)
+    status = reconcile.statement_status(pages, found, d, printed, profile.display_name, profile.required_headers)
+    return Statements(reconcile.accept(found, d, printed, _unreadable(pages), profile.required_headers), found, status)
+
+
+def _unreadable(pages: DataFrame) -> DataFrame | None:
+    return pages.filter("read_error is not null").select("doc_id").distinct() if "read_error" in pages.columns else None
+
+
+PROFILE_TABLE = "profile_id string, dialect string, tolerance double, gap double, phrases array<string>, headers array<string>, display_name string, profile_version int, institution string"
+
+
+def profile_table(spark: SparkSession, chosen: list[Profile]) -> DataFrame:
+    """Profiles as a table, one row each: configuration, so small enough to send to every task."""
+    made = [(p.profile_id, p.dialect, p.line_tolerance, p.continuation_gap, list(p.excluded_page_phrases), list(p.required_headers), p.display_name, p.profile_version, p.institution) for p in chosen]
+    return spark.createDataFrame(made, PROFILE_TABLE)
 
 
 def process_all(words: DataFrame, pages: DataFrame, chosen: list[Profile]) -> tuple[dict[str, Statements], DataFrame]:
     """Documents of several profiles at once: ``words`` and ``pages`` carry ``profile_id``.
 
+    One plan, whatever the number of profiles: words are read and shuffled once, and
+    each page goes by its own profile's dialect, tolerance, gap, phrases and headers,
+    which come as columns from a broadcast table.  Documents are told apart by
+    (profile_id, doc_id).
+
     Returns each profile's statements, and the statuses of all with profile_id,
     version and institution.  Documents of a profile that isn't given are left out.
     """
-    made = {p.profile_id: process(*(t.filter(F.col("profile_id") == p.profile_id).drop("profile_id") for t in (words, pages)), p) for p in chosen}
-    named = [made[p.profile_id].status.select(F.lit(p.profile_id).alias("profile_id"), F.lit(p.profile_version).alias("profile_version"), F.lit(p.institution).alias("institution"), "*") for p in chosen]
-    return made, reduce(DataFrame.unionByName, named)
+    known = profile_table(words.sparkSession, chosen)
+    own, dialect = F.col("doc_id.profile_id"), F.col("dialect")
+
+    def named(t: DataFrame) -> DataFrame:
+        kept = t.join(F.broadcast(known.select("profile_id")), "profile_id", "left_semi")
+        return kept.select(F.struct("profile_id", "doc_id").alias("doc_id"), *(c for c in t.columns if c not in ("profile_id", "doc_id")))
+
+    def with_profile(t: DataFrame, *names: str) -> DataFrame:
+        return t.join(F.broadcast(known.select("profile_id", *names)), own == F.col("profile_id")).drop("profile_id")
+
+    texts = named(pages)
+    low = F.lower("page_text")
+    phrased = with_profile(texts, "phrases", "dialect")
+    out = phrased.filter(F.forall("phrases", lambda p: F.contains(low, F.lower(p)))).select(*layout.PAGE)
+    held = with_profile(layout.page_words(named(words)), "dialect", "tolerance", "gap")
+    found = rows.transactions_in(held, dialect, F.col("tolerance"), F.col("gap"), out)
+    totals = facts.printed_totals(phrased.filter("dialect = 'B'"))
+    balances = facts.printed_balances_in(held.filter("dialect = 'C'"), F.col("tolerance"))
+    printed = totals.join(balances, "doc_id", "full_outer")
+    status = reconcile.statement_status(texts, found, dialect, printed, F.col("display_name"), F.col("headers"), known)
+    beside = with_profile(found.drop("dialect", "tolerance", "gap"), "dialect", "headers")
+    accepted = reconcile.accept(beside, dialect, printed, _unreadable(texts), F.col("headers"))
+
+    def of(t: DataFrame, p: Profile, *names: str) -> DataFrame:
+        return t.filter(own == p.profile_id).select(F.col("doc_id.doc_id").alias("doc_id"), *names)
+
+    made = {}
+    for p in chosen:
+        columns = ["page_no", "line_no", *rows.COLUMNS[p.dialect]]
+        made[p.profile_id] = Statements(of(accepted, p, *columns), of(found, p, *columns), of(status, p, *(c for c in status.columns if c != "doc_id")))
+    statuses = with_profile(status, "profile_version", "institution").select(own.alias("profile_id"), "profile_version", "institution", F.col("doc_id.doc_id").alias("doc_id"), *(c for c in status.columns if c != "doc_id"))
+    return made, statuses
 
 
 def printed_columns(profile: Profile) -> list[Column]:

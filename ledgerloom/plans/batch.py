@@ -2,7 +2,8 @@
 
 Every file becomes rows of ``pages``; one plan extracts them all, and a file that
 fails is a row of the summary.  Each document's rows are written by one task, as
-a file of its own; the driver only moves files to their names.
+a file of its own, and put in place by tasks too (``sources.named_csv``); the driver
+makes no call for a document.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import output_name
+from ledgerloom.functions import casefold, output_name
 from ledgerloom.operators import reconcile
 from ledgerloom.plans import Statements, export, printed_columns, process
-from ledgerloom.sources import files, profiles
+from ledgerloom.sources import files, named_csv, profiles
 from ledgerloom.sources.profiles import Profile
 from ledgerloom.sources.storage import Store, materialize, ship
 
@@ -41,10 +42,10 @@ class Batch:
 
 
 def select_profile(profile: Profile | None = None, profile_path: str | None = None, *, config_path: str | None = None, default_path: str | None = None) -> Profile:
-    """A loaded profile or a path, not both; without either the default.  Faults of a profile are processing errors."""
+    """A loaded profile or a path, not both; without either the default (the package's own, if none is named).  Faults of a profile are processing errors."""
     if profile is not None and (profile_path is not None or config_path is not None):
         raise ProcessingError("Pass a loaded profile or a profile path, not both.")
-    path = profile_path or config_path or default_path
+    path = profile_path or config_path or default_path or profiles.DEFAULT
     try:
         chosen = profile or profiles.load(str(path))
         _ = chosen.dialect  # an unknown parser is refused before any file is read
@@ -60,19 +61,12 @@ def _statements(found: DataFrame, root: str, profile: Profile, read: Reader) ->
     return pages, process(files.words_of(pages), kept, profile)
 
 
-def _save(spark: SparkSession, made: Statements, status: DataFrame, profile: Profile, to: Store) -> None:
-    """One CSV a document, moved to ``output_csv`` in the order of the files: of equal names the last stays."""
-    work = f"{to.root}/.rows"
-    order = ["doc_id", "page_no", "line_no"]
-    rows = made.transactions.withColumn("key", F.sha2("doc_id", 256)).repartition("key").sortWithinPartitions("key", *order)
-    try:
-        rows.select(*printed_columns(profile), "key").write.mode("overwrite").options(**files.CSV_OPTIONS).partitionBy("key").csv(work)
-        for r in status.filter(F.col("status") == reconcile.OK).select(F.sha2("doc_id", 256).alias("key"), "output_csv").toLocalIterator():
-            part = next(n for n in to.names(f"{work}/key={r.key}") if n.endswith(".csv"))
-            to.make_folder(posixpath.dirname(r.output_csv))
-            to.replace(f"{work}/key={r.key}/{part}", r.output_csv)
-    finally:
-        to.remove(work)
+def _save(made: Statements, target: Column, profile: Profile, to: Store) -> int:
+    """One CSV a document, at ``target``; of equal names the last in the order of the files stays."""
+    place = F.concat_ws("\u0000", casefold(F.col("doc_id")), "doc_id")
+    rows = made.transactions.select(target.alias("target"), place.alias("place"), F.array(*printed_columns(profile)).alias("cells"), "page_no", "line_no")
+    dealt = rows.repartition("target", "place").sortWithinPartitions("target", "place", "page_no", "line_no")
+    return named_csv.save(dealt, to.root, list(profile.required_headers))
 
 
 def process_folder(spark: SparkSession, profile: Profile, input_folder: str | None = None, output_folder: str | None = None, read: Reader = files.decode, root: str = ".", now: datetime | None = None) -> Batch:
@@ -90,9 +84,10 @@ def process_folder(spark: SparkSession, profile: Profile, input_folder: str | No
     to.make_folder(to.root)
     _, made = _statements(found, source.root, profile, read)
     folder = F.regexp_replace("doc_id", r"[^/]*$", "") if profile.preserve_subfolders else F.lit("")
-    target = F.when(F.col("status") == reconcile.OK, F.concat(F.lit(to.root + "/"), folder, output_name(F.col("doc_id")))).otherwise("")
-    status = materialize(made.status.withColumn("output_csv", target)).orderBy(F.lower("doc_id"), "doc_id")
-    _save(spark, made, status, profile, to)
+    target = F.concat(F.lit(to.root + "/"), folder, output_name(F.col("doc_id")))
+    written = F.when(F.col("status") == reconcile.OK, target).otherwise("")
+    status = materialize(made.status.withColumn("output_csv", written)).orderBy(casefold(F.col("doc_id")), "doc_id")
+    _save(made, target, profile, to)
     summary = f"{to.root}/batch_processing_summary_{(now or datetime.now()):%Y%m%d_%H%M%S}.csv"
     report = reconcile.batch_summary(status, profile.profile_id, profile.profile_version, profile.institution, F.col("output_csv")).toDF(*SUMMARY)
     files.write_named(report, summary, to)

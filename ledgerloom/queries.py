@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import functions as fn
-from ledgerloom.operators import facts, layout, reconcile, rows
-from ledgerloom.plans import process, process_all
+from ledgerloom import layout_queries
+from ledgerloom.operators import compare, facts, layout, reconcile, rows
+from ledgerloom.plans import PRINTED, process, process_all
 from ledgerloom.sources import profiles, synthetic
 from ledgerloom.sources.storage import materialize
 
@@ -34,7 +35,7 @@ def _pages(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
 
 
 def synthetic_profile(dialect: str) -> profiles.Profile:
-    return profiles.Profile(f"synthetic_{dialect.lower()}_v1", f"Synthetic {dialect}", 1, "Synthetic", "statement", PARSER[dialect], "input", "output", "*.pdf", ("Amount($)",), tuple(synthetic.EXCLUDED))
+    return profiles.Profile(f"synthetic_{dialect.lower()}_v1", f"Synthetic {dialect}", 1, "Synthetic", "statement", PARSER[dialect], "input", "output", "*.pdf", tuple(PRINTED[dialect]), tuple(synthetic.EXCLUDED))
 
 
 def _processed(spark: SparkSession, sf_dir: str, dialect: str):
@@ -73,15 +74,27 @@ def page_text_stats(spark, sf_dir):
     return stats.select(F.col("page_no").alias("doc_id"), F.col("text_characters").cast("long").alias("characters"), F.col("positioned_words").alias("words"), "images", F.col("text_hash").alias("hash"))
 
 
+def _changed(text, no):
+    """The text that a page has in the copy; null where it is the same."""
+    return F.when(no % 53 == 2, "\n ").when(no % 89 == 3, F.replace(text, F.lit("e"), F.lit("E"))).when(no % 71 == 4, F.concat(text, F.lit(" more")))
+
+
 def _page_pair(spark, sf_dir):
     """Statistics of documents as pages, and of a copy with some pages dropped, emptied or changed."""
     pages = _document_pages(spark, sf_dir)
-    text, no = F.col("page_text"), F.col("page_no")
-    changed = F.when(no % 53 == 2, "\n ").when(no % 89 == 3, F.replace(text, F.lit("e"), F.lit("E"))).when(no % 71 == 4, F.concat(text, F.lit(" more"))).otherwise(text)
-    after = pages.filter("page_no % 97 <> 5").withColumn("page_text", changed)
+    after = pages.filter("page_no % 97 <> 5").withColumn("page_text", F.coalesce(_changed(F.col("page_text"), F.col("page_no")), "page_text"))
     return (facts.page_stats(p, _document_words(p)) for p in (pages, after))
 
 
+def _pages_side_by_side(spark, sf_dir):
+    """The same pages and copies, each pair from one row of one scan; what is the same is counted once."""
+    pages = _document_pages(spark, sf_dir)
+    new = _changed(F.col("page_text"), F.col("page_no"))
+    both = pages.select("doc_id", "page_no", F.lit(True).alias("a"), F.when(F.col("page_no") % 97 != 5, True).alias("b"), facts.page_state(F.col("page_text")).alias("old"), F.when(new.isNotNull(), facts.page_state(new)).alias("new"))
+    kept = both.withColumn("new", F.when(F.col("b"), F.coalesce("new", "old")))
+    return kept.select("doc_id", "page_no", "a", "b", *(F.col(f"{s}.{c}").alias(f"{p}_{c}") for s, p in (("old", "a"), ("new", "b")) for c in ("text_characters", "positioned_words", "text_hash")))
+
+
 def page_exclusion(spark, sf_dir):
     return _table(spark, sf_dir, "documents").filter(fn.contains_all(F.col("text"), ["Rights Reserved", "the"])).select("doc_id")
 
@@ -185,17 +198,6 @@ SELECT doc_id, page_no, CAST(w + 9 + CASE WHEN o_custkey % 50 = 8 AND page_no =
 )
 
 
-def cells(spark, sf_dir, dialect):
-    """Cells of the lines that look like transactions, one text a line."""
-    lines = rows.classify(rows.table_lines(_words(spark, sf_dir, dialect), dialect), dialect).filter("kind = 'T' and y < 420")
-    return lines.select("doc_id", "page_no", F.array_join("cells", "|").alias("cells"))
-
-
-def _cells_sql(cells_: str, kinds: str) -> str:
-    raw = "CASE k WHEN 9 THEN '$' || plain WHEN 10 THEN plain || '**' WHEN 11 THEN '-' || plain ELSE plain END"
-    return BASE + f"SELECT doc_id, page_no, {cells_.format(raw=raw)} AS cells FROM b WHERE NOT dropped AND o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2) AND k NOT IN ({kinds})"
-
-
 def cells_lines(spark, sf_dir, dialect):
     """Cells of every line below the heading, whatever its kind."""
     lines = rows.table_lines(_words(spark, sf_dir, dialect), dialect)
@@ -241,7 +243,7 @@ def _status_sql(d: str) -> str:
     if d == "B":
         more = f"""WHEN total_out IS NULL OR total_in IS NULL THEN 'Statement totals were not found.' WHEN so <> total_out OR si <> total_in THEN 'Statement totals do not match. Extracted funds out: ' || {m("so")} || '; statement: ' || {m("total_out")} || '. Extracted funds in: ' || {m("si")} || '; statement: ' || {m("total_in")} || '.'"""
     if d == "C":
-        more = f"""WHEN ck % 50 = 10 THEN 'Statement balances were not found.' WHEN sv <> change THEN 'Does not reconcile. Extracted: ' || {m("sv")} || '; expected change: ' || {m("change")} || '.'"""
+        more = f"""WHEN ck % 50 = 10 THEN 'Statement balances were not found.' WHEN sv <> change THEN 'Does not reconcile. Extracted: ' || {m("sv")} || '; expected change: ' || {m("change")} || '. Previous balance: ' || {m("1000")} || '; new balance: ' || {m("1000 + change")} || '.'"""
     return (
         BASE
         + TOTALS
@@ -272,7 +274,7 @@ def display_totals(spark, sf_dir):
 
 
 def text_layer_preserved(spark, sf_dir):
-    return facts.text_layer_preserved(*_page_pair(spark, sf_dir))
+    return facts.text_layer_status(_pages_side_by_side(spark, sf_dir))
 
 
 def page_totals(spark, sf_dir):
@@ -289,17 +291,6 @@ PAGE_TOTALS = PAIR + """SELECT doc_id, count(*) AS pages_before, count(*) FILTER
  CAST(sum(w) AS BIGINT) AS words_before, CAST(coalesce(sum(w2) FILTER (WHERE NOT lone), 0) AS BIGINT) AS words_after, CAST(sum(images) AS BIGINT) AS images_before, CAST(coalesce(sum(images) FILTER (WHERE NOT lone), 0) AS BIGINT) AS images_after FROM q GROUP BY 1"""
 
 
-def masked_layout(spark, sf_dir):
-    """Lines per masked text, over all pages of dialect A."""
-    return facts.masked_layout(_words(spark, sf_dir, "A")).groupBy("masked").agg(F.count("*").alias("n")).filter("masked in ('CONT ###', 'Total for', 'Trans Post')")
-
-
-MASKED = BASE + """SELECT masked, count(*) AS n FROM (
- SELECT 'CONT ###' AS masked FROM b WHERE NOT dropped AND o_custkey % 50 <> 9 AND k IN (4, 5, 6) AND o_orderkey % 1000 >= 100
- UNION ALL SELECT 'Total for' FROM (SELECT DISTINCT doc_id, page_no FROM b WHERE o_custkey % 50 <> 9)
- UNION ALL SELECT 'Trans Post' FROM (SELECT DISTINCT doc_id, page_no FROM b WHERE o_custkey % 50 <> 9 AND NOT (o_custkey % 50 = 8 AND page_no = 2))) GROUP BY 1"""
-
-
 def masked_layout_lines(spark, sf_dir):
     """Every masked text of the pages of dialect A, with its lines."""
     return facts.masked_layout(_words(spark, sf_dir, "A")).groupBy("masked").agg(F.count("*").alias("n"))
@@ -373,6 +364,94 @@ def duplicate_profiles(spark, sf_dir):
 VIOLATIONS = """SELECT 'p' || (n_nationkey % 20) AS profile_id, concat_ws(',', CASE WHEN n_nationkey % 3 < 1 THEN 'profile_version' END, CASE WHEN n_nationkey % 5 = 0 AND n_nationkey % 2 = 1 THEN 'preserve_subfolders' END,
  CASE WHEN n_nationkey % 6 = 0 THEN 'line_tolerance' END, CASE WHEN n_nationkey % 4 = 1 THEN 'display_name' END, CASE WHEN n_nationkey % 7 = 0 THEN 'required_headers' END, CASE WHEN n_nationkey % 11 = 0 THEN 'excluded_page_phrases' END) AS violations FROM nation"""
 
+# Texts that a profile's fields can hold, as they stand in JSON; the first of each is right.
+PROFILE_FIELDS = {
+    "profile_version": ["1", "0", "-1", "true", "false", "1.0", '"1"', "null", "[1]", "7", ""], "recursive": ["true", "", "null", '"yes"', "false", "1"], "preserve_subfolders": ["true", "", "null", '"no"', "false", "0"],
+    "line_tolerance": ["2.5", "", "null", '"2.5"', '" 3 "', '"nan"', '"1_0"', '"x"', "0", "-1", '"-0.5"', "true", "false", "[2]", '"inf"', '"-inf"', "1e-3", '""'], "continuation_gap": ["18", "", "null", '"1e2"', '"1e"', "-0.0", '"."', "{}", '"+.5"'],
+    "profile_id": ['"p"', '""', '" "', "5", "null", "true", ""], "display_name": ['"N"', '" x "', "[]"], "institution": ['"I"', '" "'], "document_type": ['"d"', ""], "parser": ['"p"', "1"], "input_folder": ['"i"', "null"],
+    "output_folder": ['"o"', "{}"], "file_pattern": ['"*.pdf"', '""'], "required_headers": ['["a", "b"]', "[]", '["a", ""]', '"a"', "null", '["a", 5]', '[" "]', ""], "excluded_page_phrases": ['["x"]', "[null]", '[["x"]]', "{}"],
+}
+# Other texts than an object, by c_custkey % 101.
+NOT_PROFILES = {3: "not JSON", 7: "[1]", 11: '"text"', 13: "null", 17: "", 19: "{", 23: "5"}
+
+
+def _profile_json() -> str:
+    """An SQL expression, the same in both engines: the JSON text that a customer's number deals; most fields are right."""
+    parts = []
+    for j, (name, texts) in enumerate(PROFILE_FIELDS.items()):
+        pick = f"CAST(floor(c_custkey / {3 * j + 1}) AS BIGINT) % {6 * len(texts)}"
+        parts.append(f"CASE {pick} " + " ".join(f"WHEN {k} THEN " + ("''" if not t else f"', \"{name}\": {t}'") for k, t in enumerate(texts) if k) + f" ELSE ', \"{name}\": {texts[0]}' END")
+    whole = "'{\"k\": 0' || " + " || ".join(parts) + " || '}'"
+    return "CASE c_custkey % 101 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in NOT_PROFILES.items()) + f" ELSE {whole} END"
+
+
+def profile_first_error(spark, sf_dir):
+    """The first fault of profiles as JSON texts, made from customers; null where there is none."""
+    made = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_profile_json()).alias("json"))
+    return made.select("c_custkey", profiles.first_error(F.col("json")).alias("error"))
+
+
+def _first_error_sql() -> str:
+    """The same rules on DuckDB's JSON types."""
+    def kind(f: str) -> str:
+        return f"json_type(j, '$.{f}')"
+
+    def text(f: str) -> str:
+        return f"json_extract_string(j, '$.{f}')"
+
+    number = rf"'^\s*({profiles.NUMBER}|{profiles.NAMED_NUMBER.replace('(?i)', '(?i:')}))\s*$'"
+    rules = [(f"NOT coalesce(CASE WHEN {kind('profile_version')} IN ('UBIGINT', 'BIGINT') THEN TRY_CAST({text('profile_version')} AS DOUBLE) >= 1 WHEN {kind('profile_version')} = 'BOOLEAN' THEN {text('profile_version')} = 'true' END, false)", profiles.BAD_VERSION)]
+    rules += [(f"{kind(f)} IS NOT NULL AND {kind(f)} <> 'BOOLEAN'", profiles.BAD_FLAG.format(f)) for f in profiles.FLAGS]
+    rules += [(f"{text('preserve_subfolders')} = 'true' AND coalesce({text('recursive')}, 'false') <> 'true'", profiles.BAD_SUBFOLDERS)]
+    rules += [(f"{kind(f)} IS NOT NULL AND NOT ({kind(f)} IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') OR ({kind(f)} = 'VARCHAR' AND regexp_matches({text(f)}, {number})))", profiles.BAD_NUMBER.format(f)) for f in profiles.NUMBERS]
+    rules += [(f"CASE {kind(f)} WHEN 'BOOLEAN' THEN {text(f)} = 'false' ELSE NOT isnan(TRY_CAST(replace(trim({text(f)}), '_', '') AS DOUBLE)) AND TRY_CAST(replace(trim({text(f)}), '_', '') AS DOUBLE) <= 0 END", profiles.NOT_POSITIVE.format(f)) for f in profiles.NUMBERS]
+    rules += [(f"coalesce({kind(f)}, '') <> 'VARCHAR' OR trim({text(f)}) = ''", profiles.BAD_TEXT.format(f)) for f in PROFILE_FIELDS if f in profiles.TEXTS]
+    for f in profiles.LISTS:
+        items = f"json_extract(j, '$.{f}[*]')"
+        rules.append((f"coalesce({kind(f)}, '') <> 'ARRAY' OR len({items}) = 0 OR len(list_filter({items}, lambda x: json_type(x) <> 'VARCHAR' OR trim(json_extract_string(x, '$')) = '')) > 0", profiles.BAD_LIST.format(f)))
+    when = " ".join(f"WHEN {c} THEN '{t.replace(chr(39), chr(39) * 2)}'" for c, t in rules)
+    return f"""WITH t AS (SELECT c_custkey, {_profile_json()} AS json FROM customer), v AS (SELECT *, CASE WHEN json_valid(json) THEN CAST(json AS JSON) END AS j FROM t)
+SELECT c_custkey, CASE WHEN j IS NULL THEN '{profiles.NOT_JSON.replace(chr(39), chr(39) * 2)}' WHEN json_type(j) <> 'OBJECT' THEN '{profiles.NOT_AN_OBJECT}' {when} END AS error FROM v"""
+
+
+def _golden(spark, sf_dir, drop: int, change: int, late: int):
+    """Orders as golden rows, and as actual ones, of which some are dropped, changed or a day late; ``late`` orders the rows."""
+    k = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    golden = synthetic.read_orders(spark, sf_dir).select("o_custkey", "o_orderkey", price.cast("string").alias("price"), day.alias("day"))
+    changed = F.when(k % change == 3, (F.col("price").cast("decimal(18,2)") + 1).cast("decimal(18,2)").cast("string")).otherwise(F.col("price"))
+    actual = golden.filter(k % drop != 1).withColumns({"price": changed, "day": F.when(k % late == 5, F.date_add("day", 1)).otherwise(F.col("day"))})
+    return actual, golden
+
+
+def golden_compare(spark, sf_dir):
+    """Each customer's orders against golden ones, in order: moved, changed, missing."""
+    sides = (compare.numbered_by(t, ["o_custkey"], "day", "o_orderkey").drop("day") for t in _golden(spark, sf_dir, 53, 101, 61))
+    return compare.differences(*sides, by=["o_custkey"])
+
+
+def ordered_compare(spark, sf_dir):
+    """All orders against golden ones in one order, numbered without a window over the table."""
+    actual, golden = _golden(spark, sf_dir, 1 << 40, 101, 211)
+    return compare.differences(*(compare.numbered(t, "day", "o_orderkey").drop("day") for t in (actual, golden)))
+
+
+def _golden_sql(drop: int, change: int, late: int, by: bool) -> str:
+    place = f"CAST(row_number() OVER ({'PARTITION BY o_custkey ' if by else ''}ORDER BY day, o_orderkey) - 1 AS BIGINT)"
+    group, using = ("o_custkey, ", "o_custkey, place") if by else ("", "place")
+    names = ["o_orderkey", "price"] if by else ["o_custkey", "o_orderkey", "price"]
+    apart = " OR ".join(f"a.{c} IS DISTINCT FROM e.{c}" for c in names)
+    text = lambda s: f"CASE WHEN {s}.o_orderkey IS NOT NULL THEN CAST(to_json([{', '.join(f'CAST({s}.{c} AS VARCHAR)' for c in names)}]) AS VARCHAR) END"
+    differing = ", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM e.{c} THEN '{c}' END" for c in names)
+    same = "m.expected = d.actual" + (" AND m.o_custkey = d.o_custkey" if by else "")
+    return f"""WITH g AS (SELECT o_custkey, o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS price, CAST(o_orderdate AS DATE) AS day FROM orders),
+x AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % {change} = 3 THEN CAST(CAST(CAST(price AS DECIMAL(18,2)) + 1 AS DECIMAL(18,2)) AS VARCHAR) ELSE price END AS price, CASE WHEN o_orderkey % {late} = 5 THEN CAST(day + INTERVAL 1 DAY AS DATE) ELSE day END AS day FROM g WHERE o_orderkey % {drop} <> 1),
+a AS (SELECT *, {place} AS place FROM x), e AS (SELECT *, {place} AS place FROM g),
+d AS (SELECT {using}, CASE WHEN a.o_orderkey IS NOT NULL AND e.o_orderkey IS NOT NULL THEN concat_ws(',', {differing}) ELSE '' END AS columns, {text("a")} AS actual, {text("e")} AS expected FROM a FULL JOIN e USING ({using}) WHERE {apart})
+SELECT {group}place, CASE WHEN expected IS NULL THEN 'extra' WHEN actual IS NULL THEN 'missing' WHEN EXISTS (SELECT 1 FROM d m WHERE {same}) THEN 'moved' ELSE 'changed' END AS status, columns, actual, expected FROM d"""
+
+
 _DOC = "FROM documents"
 _NORMAL = r"trim(regexp_replace(text, '[\s\x0b\x1c-\x1f]+', ' ', 'g'))"
 _BY = [("transactions", transactions, TRANSACTIONS), ("header", header, {"A": _header_sql("50,100,150,300,420", "CAST(NULL AS INTEGER)"), "B": _header_sql("50,100,150,300,380,460", "CAST(NULL AS INTEGER)"), "C": _header_sql("50,100,150,300", "349")})]
@@ -385,6 +464,7 @@ _CELLS_LINES = {
     "C": _cells_lines_sql("{raw}", "|", ["TD|MESSAGE CENTRE||", "Jan 1|Jan 1|JUNK|9.99"]),
 }
 _BY += [("cells_lines", cells_lines, _CELLS_LINES)]
+_BY += layout_queries.BY_DIALECT
 _BY += [("status", status, {d: _status_sql(d) + "SELECT doc_id, status, n_txn, pages, error FROM st" for d in "ABC"})]
 _BY += [("reconciled", reconciled, {d: _status_sql(d) + ", ok AS (SELECT doc_id FROM st WHERE status = 'Success') SELECT x.* FROM (" + TRANSACTIONS[d].removeprefix(BASE) + ") x JOIN ok USING (doc_id)" for d in "ABC"})]
 
@@ -402,9 +482,9 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "amount_parse": (amount_parse, STRINGS + "SELECT o_orderkey, CAST(CASE WHEN j = 1 THEN -v ELSE v END AS DECIMAL(18,2)) AS amount FROM t WHERE j NOT IN (3, 4, 5)"),
     "amount_export": (amount_export, STRINGS + "SELECT o_orderkey, regexp_replace(replace(amount_text, '$', ''), '\\*+$', '') AS amount_text FROM t"),
     "line_grouping": (line_grouping, LINE_GROUPING),
-    "cells_left_edge": (partial(cells, dialect="A"), _cells_sql("dated || '|' || dated || '|ORD ' || o_orderkey || '|CAT' || (o_orderkey % 7) || '|' || {raw}", "1, 8")),
-    "cells_center": (partial(cells, dialect="B"), _cells_sql("dated || '|' || dated || '|ORD ' || o_orderkey || '|' || CASE WHEN o_orderkey % 2 = 1 THEN {raw} ELSE '' END || '|' || CASE WHEN o_orderkey % 2 = 0 THEN {raw} ELSE '' END || '|' || {raw}", "1, 8, 12")),
-    "cells_center_right_cut": (partial(cells, dialect="C"), _cells_sql("CASE WHEN k = 1 THEN replace(dated, ' ', '') ELSE dated END || '|' || dated || '|ORD ' || o_orderkey || '|' || {raw}", "8")),
+    "cells_left_edge": (partial(cells_lines, dialect="A"), _CELLS_LINES["A"]),
+    "cells_center": (partial(cells_lines, dialect="B"), _CELLS_LINES["B"]),
+    "cells_center_right_cut": (partial(cells_lines, dialect="C"), _CELLS_LINES["C"]),
     "printed_totals": (printed_totals, BASE + TOTALS + "SELECT doc_id, total_out, total_in FROM facts"),
     "printed_balances": (printed_balances, BASE + TOTALS + "SELECT doc_id, CAST(1000 AS DECIMAL(18,2)) AS previous_balance, CAST(1000 + change AS DECIMAL(18,2)) AS new_balance FROM facts WHERE ck % 50 NOT IN (9, 10)"),
     "batch_summary": (batch_summary, _status_sql("B") + "SELECT 'synthetic_b_v1' AS profile_id, 1 AS profile_version, 'Synthetic' AS institution, doc_id || '.pdf' AS pdf_file, status, n_txn AS transactions, pages, CASE WHEN status = 'Success' THEN doc_id || '_transactions.csv' ELSE '' END AS output_csv, error FROM st"),
@@ -415,9 +495,12 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "line_drift": (line_drift, LINE_DRIFT),
     "masked_region": (masked_region, MASKED_REGION),
     "status_all": (status_all, " UNION ALL ".join(f"SELECT 'synthetic_{d.lower()}_v1' AS profile_id, * FROM ({_status_sql(d)}SELECT doc_id, status, n_txn, pages, error FROM st)" for d in "ABC")),
-    "masked_layout": (masked_layout, MASKED),
+    "masked_layout": (masked_layout_lines, MASKED_LINES),
     "masked_layout_lines": (masked_layout_lines, MASKED_LINES),
     "profile_violations": (profile_violations, VIOLATIONS),
+    "profile_first_error": (profile_first_error, _first_error_sql()),
+    "golden_compare": (golden_compare, _golden_sql(53, 101, 61, True)),
+    "ordered_compare": (ordered_compare, _golden_sql(1 << 40, 101, 211, False)),
     "duplicate_profiles": (duplicate_profiles, "SELECT 'p' || (n_nationkey % 20) AS profile_id, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1"),
 }
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import casefold
+
 from .storage import Store
 
 CSV_OPTIONS = {"header": "true", "lineSep": "\n", "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -23,7 +25,8 @@ def find(spark: SparkSession, folder: str, pattern: str = "*.pdf", recursive: bo
 
 
 def ordered(files: DataFrame) -> DataFrame:
-    return files.orderBy(F.lower("path"))
+    """By the case-folded path."""
+    return files.orderBy(casefold(F.col("path")), "path")
 
 
 def relative_folder(path: str, root: str):
@@ -97,5 +100,5 @@ def write_named(rows: DataFrame, path: str, to: Store) -> None:
 
 
 def compare(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rows that only one side has, with ``side``; nothing for equal bags."""
+    """Rows that only one side has, with ``side``; nothing for equal bags (``operators.compare`` heeds the order)."""
     return actual.exceptAll(expected).withColumn("side", F.lit("actual")).unionByName(expected.exceptAll(actual).withColumn("side", F.lit("expected")))

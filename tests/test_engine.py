@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import random
+import re
 from collections import Counter
+from dataclasses import replace
+from functools import reduce
 
 import duckdb
 import pytest
@@ -14,7 +17,7 @@ import __spark_entry__ as entry_module
 from ledgerloom import functions as fn
 from ledgerloom import queries as own
 from ledgerloom.operators import facts, layout, rows
-from ledgerloom.plans import export, process
+from ledgerloom.plans import export, process, process_all
 from ledgerloom.sources import files, profiles
 
 WORDS = "doc_id string, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, text string"
@@ -87,7 +90,7 @@ def test_dialect_c_statement(spark):
     shown = export(out.transactions, profile)
     assert shown.columns == ["Posting date", "Unknown", "Amount($)"] and [tuple(r) for r in shown.collect()] == [("Sep 3", None, "68.00"), ("Sep 5", None, "-350.00")]
     missing = process(page.filter("y0 < 120 or y0 > 160"), pages, profile)
-    assert "Does not reconcile. Extracted: $68.00; expected change: $-282.00." in [r.error for r in missing.status.collect()]
+    assert "Does not reconcile. Extracted: $68.00; expected change: $-282.00. Previous balance: $100.00; new balance: $-182.00." in [r.error for r in missing.status.collect()]
     assert missing.transactions.count() == 0
     assert facts.printed_balances(page).first()[1:] == (100, -182)
 
@@ -142,7 +145,7 @@ def test_files(spark, tmp_path):
 
 def _compare(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "documents", "nation"):
+    for t in ("orders", "documents", "nation", "customer"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = own.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -161,3 +164,69 @@ def test_query_equals_sql(spark, name):
 def test_registry(spark):
     assert set(own.oracle_sql()) == set(own.queries()) and set(own.queries()) <= set(entry_module.queries())
     assert entry_module.entry(spark).count() > 0
+
+
+def test_many_profiles_in_one_plan(spark, tmp_path):
+    """Six profiles, two a dialect with unlike tolerances, gaps and phrases: each as if run alone; words are read and shuffled once."""
+    base = {p.dialect: p for p in map(own.synthetic_profile, "ABC")}
+    chosen = [*base.values(), *(replace(p, profile_id=f"other_{d}", display_name=f"Other {d}", line_tolerance=0.4, continuation_gap=12.0, excluded_page_phrases=("rows 8",)) for d, p in base.items())]
+    for name, make in (("words", own._words), ("pages", own._pages)):
+        parts = [make(spark, SF, p.dialect).filter("crc32(doc_id) % 3 <> 0").withColumn("profile_id", F.lit(p.profile_id)) for p in [*chosen, replace(base["A"], profile_id="unknown")]]
+        reduce(lambda a, b: a.unionByName(b), parts).write.parquet(str(tmp_path / name))
+    words, pages = (spark.read.parquet(str(tmp_path / n)) for n in ("words", "pages"))
+    made, status = process_all(words, pages, chosen)
+    shown = status.select("profile_id", "doc_id", "status", "n_txn", "source_pages", "error")
+    got = Counter(tuple(map(str, r)) for r in shown.collect())
+    plan = shown._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert len(re.findall(r"FileScan parquet [^\n]*/words", plan)) == 1 and "ReusedExchange" in plan, plan
+    want, kept = Counter(), 0
+    for p in chosen:
+        alone = process(*(t.filter(F.col("profile_id") == p.profile_id).drop("profile_id") for t in (words, pages)), p)
+        want.update((p.profile_id, *map(str, r)) for r in alone.status.select("doc_id", "status", "n_txn", "source_pages", "error").collect())
+        rows_ = Counter(map(str, alone.transactions.collect()))
+        assert Counter(map(str, made[p.profile_id].transactions.collect())) == rows_ and made[p.profile_id].transactions.columns == alone.transactions.columns
+        kept += len(rows_)
+    assert got == want and kept > 100 and len({r[2:] for r in got}) > 10
+
+
+def test_a_column_that_the_profile_does_not_name(spark):
+    """Statements whose sums need it fail, after the checks that come before; dialect A sums nothing."""
+    for d, cut, text in (("B", ("Balance", "Funds in"), "Unexpected error: 'Funds out'"), ("B", ("Funds out",), "Unexpected error: 'Funds in'"), ("C", ("Posting date",), "Unexpected error: 'Amount($)'"), ("A", ("Description",), None)):
+        words, pages = own._words(spark, SF, d), own._pages(spark, SF, d)
+        whole = {r.doc_id: (r.status, r.error) for r in process(words, pages, own.synthetic_profile(d)).status.collect()}
+        made = process(words, pages, replace(own.synthetic_profile(d), required_headers=cut))
+        got = {r.doc_id: (r.status, r.error) for r in made.status.collect()}
+        early = [e for _, e in whole.values() if e and ("not found" in e or "No " in e)]
+        assert early and all(got[k] == (v if text is None or v[1] in early else ("Failed", text)) for k, v in whole.items())
+        assert (made.transactions.count() == 0) == (text is not None)
+
+
+def test_sums_of_centres_are_compensated(spark):
+    """Lines of decimal coordinates at gaps of just the tolerance are those that Python's sum() gives."""
+    r = random.Random(2)
+    words, want = [], []
+    for page in range(400):
+        ys = [round(r.uniform(90, 110), 2)]
+        for _ in range(r.randrange(3, 40)):
+            ys.append(round(ys[-1] + r.choice([0, 0.01, 0.1, 0.3, 1.25, 2.5, 2.51]), 2))
+        lines: list[list[float]] = []
+        for y in sorted(ys):
+            if lines and abs(y - sum(lines[-1]) / len(lines[-1])) <= 2.5:
+                lines[-1].append(y)
+            else:
+                lines.append([y])
+            exact = sum(lines[-1]) / len(lines[-1])
+            if r.random() < 0.3:  # the next word at just the tolerance from the running mean
+                ys_next = exact + 2.5
+                lines.append([ys_next]) if abs(ys_next - exact) > 2.5 else lines[-1].append(ys_next)
+        flat = [y for line in lines for y in line]
+        words += [("d", page, k, float(k), y, float(k), y, "w") for k, y in enumerate(flat)]
+        again: list[list[float]] = []
+        for y in sorted(flat):
+            if again and abs(y - sum(again[-1]) / len(again[-1])) <= 2.5:
+                again[-1].append(y)
+            else:
+                again.append([y])
+        want += [(page, n, sum(line) / len(line), len(line)) for n, line in enumerate(again)]
+    got = layout.lines_of(spark.createDataFrame(words, WORDS), 2.5).select("page_no", "line_no", "y", F.size("words"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
