@@ -17,9 +17,14 @@ make no candidates, however many they are.
 Nodes that meet at a shingle are a bucket, if one leads.  Each has a bitmap of the parity of
 its shingles' hashes; two bitmaps differ in at most as many bits as the sets
 have unlike shingles, so a pair beyond (n + m) / 9 can't reach 0.8.  Of the
-other pairs of a bucket a spanning forest is verified on 128-bit hashes of all their shingles;
-then, where a link failed, every pair left between different components.  A
-group of many copies so yields about as many rows as it has members.
+other pairs of a bucket a spanning forest is supposed to be links, through all the
+rounds below; then all of them are verified at once, on 128-bit hashes of all
+their shingles.  Where a link of a supposed component failed, every pair that is
+left between verified components in the buckets of its nodes is verified too.  A
+group of many copies so yields about as many rows as it has members.  The texts of
+nodes that have a pair go into a table bucketed by node, so verifying moves one text
+a pair.  Up to ``SENT`` such nodes are sent to the tasks that read the texts; beyond,
+texts are shuffled once, to meet them.
 
 No task takes a whole bucket of any size.  A shingle's count and the signature of
 its nodes are partial aggregates, and a bucket is dealt into chunks of about
@@ -41,11 +46,15 @@ are alike only when equal; nodes are named by 60 bits of their words' SHA-256.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.storage import scratch_path
+
 from .common import col, discard, fresh, materialize, steps
 from .components import components
 from .simhash import LOWER
@@ -58,6 +67,8 @@ SAMPLE, COMMON = 16, 1 << 20
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Nodes of a bucket that one block holds; rounds in which heads of components are linked (both change the work, never the pairs).
 CHUNK, LEVELS = 512, 3
+#: Nodes (of 8 bytes) that are broadcast at most; more are joined by a shuffle.
+SENT = 1 << 20
 #: Nodes that a task remembers, to make the profile of a repeated text once.
 SEEN = 1 << 16
 
@@ -313,41 +324,77 @@ def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return buckets.join(roots, "node", "left").select("bucket", "size", "node", "n", "bits", "leads", F.coalesce("root", "node").alias("label"))
 
 
-def links(texts: DataFrame, size: int) -> DataFrame:
-    """(node, text) -> (u, v): links whose components are those of all pairs at 0.8."""
-    made = materialize(profiles(texts, size))
-    buckets = buckets_of(made)
-    discard(made)
-    held = materialize(texts.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+class ByNode:
+    """One text of each node that is in ``pairs``, in a table bucketed by node, so that joins on nodes don't move the texts again."""
+
+    def __init__(self, texts: DataFrame, pairs: DataFrame):
+        self.spark, self.path, self.name = texts.sparkSession, scratch_path(texts.sparkSession), f"ledgerloom_{uuid.uuid4().hex}"
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        few = nodes.limit(SENT + 1).count() <= SENT
+        some = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+        some.groupBy("node").agg(F.min("text").alias("text")).write.bucketBy(parts, "node").sortBy("node").format("parquet").option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+        self.rows.scratch_path = self.path
+        discard(nodes)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        discard(self.rows)
 
-    def tried(pairs: DataFrame) -> DataFrame:
-        found = materialize(pairs)
-        checked = materialize(verified(found, held, size))
-        discard(found)
-        return checked
 
-    def roots() -> DataFrame:
-        return materialize(components(found.filter("ok").select("u", "v")).withColumnRenamed("u", "node"))
+def _roots(pairs: DataFrame) -> DataFrame:
+    return materialize(components(pairs.select("u", "v")).withColumnRenamed("u", "node"))
 
-    found = tried(candidates(dealt(buckets.withColumn("label", F.col("node")), 0), forest=True))
+
+def supposed(buckets: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest, or more, of the pairs of each bucket that can reach 0.8; a few tables of pairs."""
+    found = materialize(candidates(dealt(buckets.withColumn("label", F.col("node")), 0), forest=True))
     crowded = materialize(buckets.filter(F.col("size") > CHUNK))
     if not crowded.isEmpty():
         for level in range(1, LEVELS + 1):
-            one_each = materialize(heads(_labelled(crowded, roots())))
+            roots = _roots(found)
+            one_each = materialize(heads(_labelled(crowded, roots)))
+            discard(roots)
             if one_each.isEmpty():
                 break
-            found = found.union(tried(candidates(dealt(one_each, level), forest=True)))
+            found = found.union(materialize(candidates(dealt(one_each, level), forest=True)))
             discard(one_each)
-        found = found.union(tried(candidates(opposed(_labelled(crowded, roots())), forest=True)))
+        roots = _roots(found)
+        found = found.union(materialize(candidates(opposed(_labelled(crowded, roots)), forest=True)))
+        discard(roots)
     discard(crowded)
-    good, bad = found.filter("ok").select("u", "v"), found.filter("not ok").select("u", "v")
-    if bad.isEmpty():
-        return good
-    # Only a bucket that holds both ends of a failed link can hide a pair behind it.
-    ends = bad.select(F.col("u").alias("node")).union(bad.select(F.col("v").alias("node"))).distinct()
-    open_ = buckets.join(buckets.join(ends, "node", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-    rest = candidates(opposed(_labelled(open_, roots())), forest=False).join(bad, ["u", "v"], "left_anti")
-    return good.union(tried(rest).filter("ok").select("u", "v"))
+    return found.distinct()
+
+
+def links(texts: DataFrame, size: int) -> DataFrame:
+    """(node, text) -> (u, v): links whose components are those of all pairs at 0.8."""
+    made = materialize(profiles(texts, size))
+    buckets = buckets_of(made)
+    discard(made)
+    found = materialize(supposed(buckets))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        held = ByNode(texts, pairs)
+        out = materialize(verified(pairs, held.rows, size))
+        held.drop()
+        return out
+
+    checked = tried(found)
+    good, bad = checked.filter("ok").select("u", "v"), checked.filter("not ok").select("u", "v")
+    if not bad.isEmpty():
+        # A pair can be hidden behind a failed link only if both its nodes are in that link's supposed component.
+        roots, true = _roots(found), _roots(good)
+        doubtful = roots.join(bad.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+        nodes = roots.join(doubtful, "root", "left_semi").select("node")
+        open_ = buckets.join(buckets.join(nodes, "node", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
+        rest = materialize(candidates(opposed(_labelled(open_, true)), forest=False).join(bad, ["u", "v"], "left_anti"))
+        good = good.union(tried(rest).filter("ok").select("u", "v"))
+        for t in (roots, true, rest):
+            discard(t)
+    discard(found)
+    discard(buckets)
+    return good
 
 
 def components_of(docs: DataFrame, size: int = 5) -> DataFrame:
@@ -362,13 +409,13 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     Rows without a doc_id can't be named and stay as they are.
     """
     names = docs.columns
-    mine, all_, key, kn, kw = (fresh(names, c) for c in ("node", "whole", "kept_id", "kept_node", "kept_whole"))
+    all_, key, kw = (fresh(names, c) for c in ("whole", "kept_id", "kept_whole"))
     node, whole = node_of(col("text")), F.xxhash64(*map(col, names))
     ids = docs.filter(col("doc_id").isNotNull()).select(node.alias("node"), F.struct(col("doc_id").cast("long").alias("doc_id"), node.alias("node"), whole.alias("whole")).alias("row"))
     least = ids.groupBy("node").agg(F.min("row").alias("row"))
     named = least.join(components_of(docs, size), "node", "left")
-    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.node").alias(kn), F.col("row.whole").alias(kw))
-    rows = docs.filter(col("doc_id").isNotNull()).select(*map(col, names), node.alias(mine), whole.alias(all_))
-    found = rows.join(kept, (col("doc_id").cast("long") == F.col(key)) & (F.col(mine) == F.col(kn)) & (F.col(all_) == F.col(kw)), "left_semi")
+    kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.whole").alias(kw))
+    rows = docs.filter(col("doc_id").isNotNull()).select(*map(col, names), whole.alias(all_))
+    found = rows.join(kept, (col("doc_id").cast("long") == F.col(key)) & (F.col(all_) == F.col(kw)), "left_semi")
     # Rows that are equal in all columns are still here together.
-    return found.dropDuplicates(["doc_id", mine, all_]).select(*map(col, names)).unionByName(docs.filter(col("doc_id").isNull()))
+    return found.dropDuplicates(["doc_id", all_]).select(*map(col, names)).unionByName(docs.filter(col("doc_id").isNull()))
