@@ -6,8 +6,8 @@ automaton over word tokens; a text is accepted where its words pass through all
 mandatory wording exactly.  Automata start only at words that can begin them.
 
 Whole licenses and notices are accepted with all their mandatory wording only;
-references name a license in a few words.  ``gpl-3.0`` marks a reference to
-version 3 of the GNU General Public License or of its lesser form.
+references name a license, and its version, in a few words.  The General Public
+License, its lesser and its Affero form are three licenses.
 
 Edge cases: null and empty texts have no words, no places and score 0; places
 may overlap and repeat, each counts; repeated rows are scanned each; only the
@@ -29,11 +29,18 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+# The licenses of the GNU project, by label: name and version.
+GNU = {
+    "gpl-2.0": ("general public license", "2"), "gpl-3.0": ("general public license", "3"), "lgpl-2.1": ("lesser general public license", "2 1"), "lgpl-3.0": ("lesser general public license", "3"),
+    "agpl-3.0": ("affero general public license", "3"),
+}
 # References to licenses and their labels.
 REFERENCES = {
     "mit": ["released under <<o>>the terms of<</o>> the mit license", "licensed under <<o>>the terms of<</o>> the mit license"],
     "apache-2.0": ["apache license version 2 0", "apache license 2 0"],
-    "gpl-3.0": ["gnu <<o>>lesser<</o>> general public license <<o>>as published by the free software foundation<</o>> <<o>>either<</o>> version 3"],
+    **{label: [f"gnu {name} <<o>>as published by the free software foundation<</o>> <<o>>either<</o>> version {version}"] for label, (name, version) in GNU.items()},
+    "mpl-2.0": ["mozilla public license <<o>>version<</o>> <<o>>v<</o>> 2 0"],
+    "cc-by-sa-4.0": ["cc by sa 4 0", *(f"creative commons attribution {alike} 4 0 <<o>>international<</o>> <<o>>public<</o>> license" for alike in ("sharealike", "share alike"))],
     "cc-by-nc-4.0": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 <<o>>international<</o>> <<o>>public<</o>> license"],
     "cc-by-4.0": ["cc by 4 0", "creative commons attribution 4 0 <<o>>international<</o>> <<o>>public<</o>> license"],
     "copyright": ["copyright <<o>>c<</o>> <<any:6>> all rights reserved"],
@@ -100,12 +107,17 @@ License. You may obtain a copy of the License at <<o>>http<</o>> <<o>>https<</o>
 applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
 WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
 governing permissions and limitations under the License."""
-GPL_NOTICE = """
-This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
-details."""
+GNU_NOTICE = """
+This {noun} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by
+the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This {noun}
+is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+MPL_NOTICE = """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at <<o>>http<</o>> <<o>>https<</o>>://mozilla.org/MPL/2.0/"""
+CC_BY_SA_NOTICE = """
+This work is licensed under <<o>>a<</o>> <<o>>the<</o>> Creative Commons Attribution-ShareAlike 4.0 International License.
+To view a copy of this license, visit <<o>>http<</o>> <<o>>https<</o>>://creativecommons.org/licenses/by-sa/4.0/"""
 WHOLE = {
     "mit": MIT + MIT_WARRANTY,
     "isc": ISC,
@@ -114,7 +126,9 @@ WHOLE = {
     "zlib": ZLIB,
     "unlicense": UNLICENSE + MIT_WARRANTY,
     "apache-2.0-notice": APACHE_NOTICE,
-    "gpl-3.0-or-later-notice": GPL_NOTICE,
+    **{f"{label}-or-later-notice": GNU_NOTICE.format(noun="library" if label == "lgpl-2.1" else "program", name=name, version=version) for label, (name, version) in GNU.items()},
+    "mpl-2.0-notice": MPL_NOTICE,
+    "cc-by-sa-4.0-notice": CC_BY_SA_NOTICE,
 }
 MARKUP = re.compile(r"<<o>>|<</o>>|<<any:\d+>>|[a-z0-9]+")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from ledgerloom.llm import licenses
 from ledgerloom.llm.common import ship
@@ -74,3 +76,62 @@ def test_long_texts():
     text = ("this software is provided permission is hereby granted all rights reserved " * 20_000).encode()
     n, base, first, last, *_ = licenses.scan(text)
     assert (n, base, first, last) == (11 * 20_000, 20_000, 8, 11 * 20_000 - 3)
+
+
+def _ends(parts, words, at, k=0, used=0):
+    """All places where a template can end, tried part by part."""
+    if k == len(parts):
+        return {at}
+    part, found = parts[k], set()
+    if part == "<<o>>":
+        depth, z = 1, k + 1
+        while depth:
+            depth += (parts[z] == "<<o>>") - (parts[z] == "<</o>>")
+            z += 1
+        return _ends(parts, words, at, k + 1) | _ends(parts, words, at, z)
+    if part == "<</o>>":
+        return _ends(parts, words, at, k + 1)
+    if part.startswith("<<any"):
+        if used:
+            found |= _ends(parts, words, at, k + 1)
+        if used < int(part[6:-2]) and at < len(words):
+            found |= _ends(parts, words, at + 1, k, used + 1)
+        return found
+    return _ends(parts, words, at + 1, k + 1) if at < len(words) and words[at] == part else set()
+
+
+def _brute(text):
+    """(labels, score) by trying every template at every word."""
+    words = [w.encode().decode(errors="replace") for w in WORD.findall(_lower(text))]
+    made = [(p, label) for p, label in licenses.BASE.items()] + [(t, label) for label, ts in licenses.REFERENCES.items() for t in ts] + list((t, label) for label, t in licenses.WHOLE.items())
+    labels, inside = set(), set()
+    for template, label in made:
+        parts = licenses.MARKUP.findall(template.lower())
+        starts = {parts[0]} if not parts[0].startswith("<<") else set(words)
+        for k, w in enumerate(words):
+            if w in starts and (ends := _ends(parts, words, k)) and max(ends) > k:
+                labels.add(label)
+                inside.update(range(k, max(ends)))
+    return ",".join(sorted(labels)), len(inside) / len(words) if words else 0.0
+
+
+def test_labels_and_scores_equal_brute_force():
+    """Documents with a license line, whole wordings, references in pieces and out of order."""
+    r = random.Random(8)
+    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if re.search("licen[sc]e|reserved|cc.by", t or "", re.I)]
+    refs = [_plain(t) for ts in licenses.REFERENCES.values() for t in ts]
+    wholes = [_plain(t) for t in licenses.WHOLE.values()]
+    made = [" ".join(r.choice([*refs, "gnu", "version 3", "the mit license", "cc by", "all rights reserved", "x", "copyright"]) for _ in range(8)) for _ in range(150)]
+    made += [w + " and " + r.choice(refs) for w in wholes] + [w[: len(w) // 2] + r.choice(wholes) for w in wholes]
+    seen = set()
+    for text in docs[:150] + made:
+        *_, labels, score = licenses.scan(text.encode())
+        assert (labels, round(score, 12)) == (_brute(text)[0], round(_brute(text)[1], 12)), text[:200]
+        seen |= set(labels.split(","))
+    assert seen >= set(licenses.WHOLE) | set(licenses.REFERENCES) | set(licenses.BASE.values())
+
+
+def test_gnu_licenses_are_told_apart():
+    for name, version, label in (("General", "3", "gpl-3.0"), ("General", "2", "gpl-2.0"), ("Lesser General", "3", "lgpl-3.0"), ("Lesser General", "2.1", "lgpl-2.1"), ("Affero General", "3", "agpl-3.0")):
+        assert _labels(f"GNU {name} Public License, version {version}") == {"gpl", label}
+    assert _labels("GNU Lesser General Public License version 2") == {"gpl"} and _labels("Creative Commons Attribution-ShareAlike 4.0 International License") == {"cc-by-sa-4.0"}
