@@ -6,7 +6,7 @@ directions; attention pools its states into one logit.  All windows of ``WINDOW`
 words at a stride of half a window, the last one reaching to the text's end, are
 scored; a document's logit is its highest window's, calibrated to a probability.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows.  Labels are of documents, so
+Training takes at most ``TRAIN_ROWS`` labelled rows, all their windows.  Labels are of documents, so
 each round trains on the windows the network itself finds likeliest, after a
 first round on random ones (multiple-instance learning).
 
@@ -35,8 +35,7 @@ WINDOW = 24
 STRIDE = WINDOW // 2
 WORD_BUCKETS, CHAR_BUCKETS, DIM, HIDDEN = 1 << 14, 1 << 15, 8, 8
 THRESHOLD = 0.7
-#: Training looks at so many windows of a sampled text at most, and takes so many steps at least.  Scoring has no such bound.
-TRAIN_WINDOWS = 24
+#: Training takes so many steps at least.
 STEPS = 300
 #: A word is a run of letters; bytes of other alphabets count as letters.
 SPACE = np.ones(256, bool)
@@ -260,8 +259,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 6, seed: int = 11) ->
         held[:] = False
     x, net = Inputs(pa.array(texts)), Network(seed)
     row, first, size = x.windows()
-    order = np.lexsort((rng.random(len(row)), row))
-    own = np.sort(order[(np.arange(len(order)) - np.searchsorted(row[order], row[order]) < TRAIN_WINDOWS) & ~held[row[order]]])
+    own = np.flatnonzero(~held[row])
     doc = np.repeat(np.arange(len(y)), x.count)
     keep = ~held[doc]
     word = x.word[keep]
