@@ -3,12 +3,15 @@
 Method.  A 64-bit fingerprint is mapped to the bit counts (0 to 2) of its 32
 two-bit segments.  Changing one bit changes one count by one, so the Manhattan
 distance of two count vectors is at most the fingerprints' Hamming distance.
-The grid: each half of the vector, 16 counts, is a cell.  If the distance of two
-vectors is at most 3, the cells of one half are at most 1 apart, so a range join
-that meets each cell with those one step away meets every pair.  A step changes
-the parity of a cell's sum, so only fingerprints in even cells visit their
-neighbours, and a pair meets once in a half; the first half in which it does
-counts.  What meets must be within the Manhattan bound in the whole vector, and
+The grid: each half of the vector, 16 counts, is a cell.  If two fingerprints
+differ in at most 3 bits, they differ in at most one bit of some half, so that
+half's cells are at most 1 apart, and a range join that meets each cell with those
+one step away meets every pair.  A step changes the parity of a cell's sum, so only
+fingerprints in even cells visit their neighbours.  The bit that makes the step lies
+in one of the half's two blocks of 16 bits, so the other block is the same in both
+fingerprints and is part of the key: unlike fingerprints that share all counts
+rarely meet.  A pair counts in the first half in which it differs by one bit at
+most, once.  What meets must be within the Manhattan bound in the whole vector, and
 then within the exact Hamming distance, so only true links leave the join.
 
 Documents with equal fingerprints are one node, whatever their number; only
@@ -86,20 +89,27 @@ def _half(counts: Column, k: int) -> Column:
     return F.shiftrightunsigned(counts, 32 * k).bitwiseAND(_long(0xFFFFFFFF))
 
 
-def grid_cells(fp: Column) -> tuple[Column, Column]:
-    """(the cell of each half, the cells one step from the even ones); a cell is its half's number and its 16 packed counts."""
-    counts, home, near = segment_counts(fp), [], []
+def grid_cells(fp: Column) -> tuple[Column, Column, Column]:
+    """Keys (cell, block) of a fingerprint: where it is met by visitors, where by its like, and where it visits itself.
+
+    A cell is its half's number and its 16 packed counts; a block is its number (0 or 1) and its 16 bits.
+    """
+    counts, met, home, near = segment_counts(fp), [], [], []
     for k in (0, 1):
         cell = _half(counts, k)
         key = cell.bitwiseOR(_long(k << 32))
+        blocks = [F.shiftrightunsigned(fp, 32 * k + 16 * j).bitwiseAND(_long(0xFFFF)).bitwiseOR(_long(j << 16)) for j in (0, 1)]
+
+        def at(place: Column, block: int, blocks=blocks) -> Column:
+            return F.struct(place.alias("cell"), blocks[block].alias("block"))
+
         even = F.bit_count(fp.bitwiseAND(_long(0xFFFFFFFF << (32 * k)))) % 2 == 0
-        steps_ = []
         for s in range(16):
             count = F.shiftrightunsigned(cell, 2 * s).bitwiseAND(_long(3))
-            steps_ += [F.when(even & (count < 2), key + (1 << 2 * s)), F.when(even & (count > 0), key - (1 << 2 * s))]
-        home.append(key)
-        near.append(F.array(*steps_))
-    return F.array(*home), F.array_compact(F.concat(*near))
+            near += [F.when(even & (count < 2), at(key + (1 << 2 * s), 1 - s // 8)), F.when(even & (count > 0), at(key - (1 << 2 * s), 1 - s // 8))]
+        met += [at(key, 0), at(key, 1)]
+        home.append(at(key, 0))
+    return F.array(*met), F.array(*home), F.array_compact(F.array(*near))
 
 
 def _manhattan(a: Column, b: Column) -> Column:
@@ -116,19 +126,20 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Distinct ``fp`` values -> (u, v), u < v as signed longs: every pair within ``max_bits`` (at most 3), once."""
     if max_bits > MAX_BITS:
         raise ValueError(f"cells one step apart meet every pair only up to {MAX_BITS} bits")
-    home, near = grid_cells(F.col("fp"))
-    a = fps.select(F.col("fp").alias("a"), F.explode(home).alias("cell"))
-    stays = F.transform(home, lambda c: F.struct(c.alias("cell"), F.lit(False).alias("visits")))
-    goes = F.transform(near, lambda c: F.struct(c.alias("cell"), F.lit(True).alias("visits")))
-    b = fps.select(F.col("fp").alias("b"), F.explode(F.concat(stays, goes)).alias("k")).select("b", F.col("k.cell").alias("at"), "k.visits")
-    ca, cb = segment_counts(F.col("a")), segment_counts(F.col("b"))
-    met_before = (F.col("cell") >= _long(1 << 32)) & (_manhattan(_half(ca, 0), _half(cb, 0)) <= 1)
+    met, home, near = grid_cells(F.col("fp"))
+    a = fps.select(F.col("fp").alias("a"), F.explode(met).alias("k")).select("a", "k.cell", "k.block")
+    stays = F.transform(home, lambda c: F.struct(c["cell"].alias("cell"), c["block"].alias("block"), F.lit(False).alias("visits")))
+    goes = F.transform(near, lambda c: F.struct(c["cell"].alias("cell"), c["block"].alias("block"), F.lit(True).alias("visits")))
+    b = fps.select(F.col("fp").alias("b"), F.explode(F.concat(stays, goes)).alias("k")).select("b", F.col("k.cell").alias("at"), F.col("k.block").alias("same"), "k.visits")
+    ca, cb, unlike = segment_counts(F.col("a")), segment_counts(F.col("b")), F.col("a").bitwiseXOR(F.col("b"))
+    first, second = (F.bit_count(_half(unlike, k)) <= 1 for k in (0, 1))
     on = (
         (F.col("cell") == F.col("at"))
+        & (F.col("block") == F.col("same"))
         & (F.col("visits") | (F.col("a") < F.col("b")))
         & (_manhattan(ca, cb) <= max_bits)
-        & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        & ~met_before
+        & (F.bit_count(unlike) <= max_bits)
+        & F.when(F.col("cell") < _long(1 << 32), first).otherwise(second & ~first)
     )
     return a.join(b, on).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
