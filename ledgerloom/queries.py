@@ -7,6 +7,7 @@ what the synthetic pages must yield.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom import functions as fn
 from ledgerloom import layout_queries
 from ledgerloom.operators import compare, facts, layout, reconcile, rows
-from ledgerloom.plans import PRINTED, process, process_all
+from ledgerloom.plans import PRINTED, printed_columns, process, process_all
 from ledgerloom.sources import profiles, synthetic
 from ledgerloom.sources.storage import materialize
 
@@ -235,21 +236,25 @@ def status(spark, sf_dir, dialect):
     return _processed(spark, sf_dir, dialect).status.select("doc_id", "status", "n_txn", fn.page_list(F.col("source_pages")).alias("pages"), F.coalesce("error", F.lit("")).alias("error"))
 
 
-def _status_sql(d: str) -> str:
+def _status_sql(d: str, first_page: int = 1, unnamed: str = "") -> str:
+    """first_page: pages before it are images; unnamed: the column to be summed that the profile lacks."""
     money = "'$' || format('{{:,.2f}}', CAST({} AS DOUBLE))"
     m = lambda x: money.format(x)
     table = "No readable transaction table was found; the transaction page may be image-only." if d == "C" else f"No transaction table matching profile 'Synthetic {d}' was found."
     more = ""
     if d == "B":
-        more = f"""WHEN total_out IS NULL OR total_in IS NULL THEN 'Statement totals were not found.' WHEN so <> total_out OR si <> total_in THEN 'Statement totals do not match. Extracted funds out: ' || {m("so")} || '; statement: ' || {m("total_out")} || '. Extracted funds in: ' || {m("si")} || '; statement: ' || {m("total_in")} || '.'"""
+        lacks = f"WHEN true THEN 'Unexpected error: ''{unnamed}'''" if unnamed else ""
+        more = f"""WHEN total_out IS NULL OR total_in IS NULL THEN 'Statement totals were not found.' {lacks} WHEN so <> total_out OR si <> total_in THEN 'Statement totals do not match. Extracted funds out: ' || {m("so")} || '; statement: ' || {m("total_out")} || '. Extracted funds in: ' || {m("si")} || '; statement: ' || {m("total_in")} || '.'"""
     if d == "C":
         more = f"""WHEN ck % 50 = 10 THEN 'Statement balances were not found.' WHEN sv <> change THEN 'Does not reconcile. Extracted: ' || {m("sv")} || '; expected change: ' || {m("change")} || '. Previous balance: ' || {m("1000")} || '; new balance: ' || {m("1000 + change")} || '.'"""
+    seen = f"(SELECT * FROM {TRANSACTION_TABLE[d]} WHERE page_no >= {first_page})"
+    blank = f"ck % 50 = 9 OR (SELECT max(page_no) FROM b WHERE b.doc_id = f.doc_id) < {first_page}"
     return (
         BASE
         + TOTALS
-        + f""", t AS (SELECT doc_id, count(*) AS n, coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 1), 0) AS so, coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 0), 0) AS si, sum(value) AS sv FROM {TRANSACTION_TABLE[d]} GROUP BY 1),
-pg AS (SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), ', ' ORDER BY page_no) AS pages FROM (SELECT DISTINCT doc_id, page_no FROM {TRANSACTION_TABLE[d]}) GROUP BY 1),
-e AS (SELECT f.doc_id, n, pages, CASE WHEN n IS NULL AND ck % 50 = 9 THEN 'No readable text was found; the statement is image-only and needs OCR.' WHEN n IS NULL THEN '{table.replace("'", "''")}' {more} ELSE '' END AS error FROM facts f LEFT JOIN t USING (doc_id) LEFT JOIN pg USING (doc_id)),
+        + f""", t AS (SELECT doc_id, count(*) AS n, coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 1), 0) AS so, coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 0), 0) AS si, sum(value) AS sv FROM {seen} GROUP BY 1),
+pg AS (SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), ', ' ORDER BY page_no) AS pages FROM (SELECT DISTINCT doc_id, page_no FROM {seen}) GROUP BY 1),
+e AS (SELECT f.doc_id, n, pages, CASE WHEN n IS NULL AND ({blank}) THEN 'No readable text was found; the statement is image-only and needs OCR.' WHEN n IS NULL THEN '{table.replace("'", "''")}' {more} ELSE '' END AS error FROM facts f LEFT JOIN t USING (doc_id) LEFT JOIN pg USING (doc_id)),
 st AS (SELECT doc_id, CASE WHEN error = '' THEN 'Success' ELSE 'Failed' END AS status, CASE WHEN error = '' THEN n ELSE 0 END AS n_txn, CASE WHEN error = '' THEN pages ELSE '' END AS pages, error FROM e)
 """
     )
@@ -260,6 +265,33 @@ def reconciled(spark, sf_dir, dialect):
     return _processed(spark, sf_dir, dialect).transactions.drop("line_no")
 
 
+def export_rows(spark, sf_dir):
+    """Accepted rows as exported under a profile that names other columns, in another order, and one that isn't there."""
+    p = replace(synthetic_profile("C"), required_headers=("Amount($)", "Reference", "Transaction date", "Activity description"))
+    made = process(_words(spark, sf_dir, "C"), materialize(_pages(spark, sf_dir, "C")), p)
+    return made.transactions.select("doc_id", "page_no", *(c.alias(n) for c, n in zip(printed_columns(p), ("amount", "reference", "transaction_date", "activity_description"), strict=True)))
+
+
+def status_unnamed(spark, sf_dir):
+    """Statements of dialect B under a profile that doesn't name a column to be summed."""
+    p = replace(synthetic_profile("B"), required_headers=tuple(h for h in PRINTED["B"] if h != "Funds in"))
+    found = process(_words(spark, sf_dir, "B"), materialize(_pages(spark, sf_dir, "B")), p).status
+    return found.select("doc_id", "status", "n_txn", fn.page_list(F.col("source_pages")).alias("pages"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def image_only_first_page(spark, sf_dir):
+    """Statements of dialect B whose first page is an image: no words, no text."""
+    pages = _pages(spark, sf_dir, "B").withColumn("page_text", F.when(F.col("page_no") == 1, "").otherwise(F.col("page_text")))
+    found = process(_words(spark, sf_dir, "B").filter("page_no > 1"), materialize(pages), synthetic_profile("B")).status
+    return found.select("doc_id", "status", "n_txn", fn.page_list(F.col("source_pages")).alias("pages"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def casefold_names(spark, sf_dir):
+    """Beginnings of documents as file names, case-folded, numbered in the order of such names."""
+    names = _table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 60).alias("name")).filter("name <> ''").withColumn("folded", fn.casefold(F.col("name")))
+    return compare.numbered(names.select("doc_id", "folded"), "folded", "doc_id")
+
+
 def batch_summary(spark, sf_dir):
     p = synthetic_profile("B")
     return reconcile.batch_summary(_processed(spark, sf_dir, "B").status, p.profile_id, p.profile_version, p.institution)
@@ -490,6 +522,10 @@ PLAIN: dict[str, tuple[Callable, str]] = {
     "batch_summary": (batch_summary, _status_sql("B") + "SELECT 'synthetic_b_v1' AS profile_id, 1 AS profile_version, 'Synthetic' AS institution, doc_id || '.pdf' AS pdf_file, status, n_txn AS transactions, pages, CASE WHEN status = 'Success' THEN doc_id || '_transactions.csv' ELSE '' END AS output_csv, error FROM st"),
     "batch_counts": (batch_counts, _status_sql("B") + "SELECT count(*) FILTER (WHERE status = 'Success') AS successful, count(*) FILTER (WHERE status = 'Failed') AS failed, CAST(sum(n_txn) AS BIGINT) AS transactions FROM st"),
     "display_totals": (display_totals, _status_sql("B") + "SELECT CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 1), 0) AS DECIMAL(18,2)) AS total_funds_out, CAST(coalesce(sum(value) FILTER (WHERE o_orderkey % 2 = 0), 0) AS DECIMAL(18,2)) AS total_funds_in FROM tb JOIN (SELECT doc_id FROM st WHERE status = 'Success') USING (doc_id)"),
+    "export_rows": (export_rows, _status_sql("C") + "SELECT x.doc_id, x.page_no, x.amount, CAST(NULL AS VARCHAR) AS reference, x.transaction_date, x.activity_description FROM (" + TRANSACTIONS["C"].removeprefix(BASE) + ") x JOIN st USING (doc_id) WHERE st.status = 'Success'"),
+    "status_unnamed": (status_unnamed, _status_sql("B", unnamed="Funds in") + "SELECT doc_id, status, n_txn, pages, error FROM st"),
+    "image_only_first_page": (image_only_first_page, _status_sql("B", first_page=2) + "SELECT doc_id, status, n_txn, pages, error FROM st"),
+    "casefold_names": (casefold_names, "WITH f AS (SELECT doc_id, replace(replace(lower(substr(text, 1, 60)), 'ß', 'ss'), 'ς', 'σ') AS folded FROM documents WHERE text <> '') SELECT doc_id, folded, CAST(row_number() OVER (ORDER BY folded, doc_id) - 1 AS BIGINT) AS place FROM f"),
     "text_layer_preserved": (text_layer_preserved, TEXT_LAYER),
     "page_totals": (page_totals, PAGE_TOTALS),
     "line_drift": (line_drift, LINE_DRIFT),

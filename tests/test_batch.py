@@ -19,24 +19,24 @@ PROFILE = {
     "profile_id": "p", "display_name": "P", "profile_version": 3, "institution": "I", "document_type": "s", "parser": "td_visa_credit_card", "input_folder": "in", "output_folder": "out", "file_pattern": "*.pdf",
     "required_headers": ["Transaction date", "Posting date", "Activity description", "Amount($)"], "excluded_page_phrases": ["never", "seen"],
 }
-# The coordinates of the published dialect C page (x0, y0, x1, y1, text).
+# The coordinates, dates and amounts of the published dialect C page (x0, y0, x1, y1, text); names are invented.
 PAGE = [
     (49.13, 176.13, 92.39, 184.12, "TRANSACTION"), (97.48, 176.13, 123.20, 184.12, "POSTING"), (362.01, 178.35, 392.44, 188.89, "Previous"), (395.67, 178.35, 423.53, 188.89, "Balance"),
     (49.28, 183.10, 64.89, 191.09, "DATE"), (97.48, 183.10, 113.09, 191.09, "DATE"), (140.40, 183.10, 167.97, 191.09, "ACTIVITY"), (170.44, 183.10, 210.12, 191.09, "DESCRIPTION"), (309.76, 182.86, 345.12, 190.85, "AMOUNT($)"),
     (140.71, 193.09, 180.58, 203.69, "PREVIOUS"), (183.47, 193.09, 231.67, 203.69, "STATEMENT"), (234.47, 193.09, 272.51, 203.69, "BALANCE"), (301.99, 192.74, 345.71, 203.48, "$12,849.30"),
-    (47.59, 212.41, 60.83, 222.28, "SEP"), (63.26, 212.41, 66.96, 222.28, "3"), (95.53, 212.41, 114.81, 222.28, "SEP4"), (140.85, 213.25, 176.96, 222.05, "MANULIFE"), (178.95, 213.25, 216.10, 222.05, "FfNANCIAL"),
-    (218.46, 213.25, 254.01, 222.05, "OAKVILLE"), (323.11, 212.54, 344.74, 222.55, "$68.00"), (361.31, 212.35, 407.99, 224.85, "RIGHT-PANEL"),
-    (47.58, 231.53, 60.77, 241.54, "SEP"), (63.81, 231.53, 71.08, 241.54, "14"), (95.54, 231.53, 108.73, 241.54, "SEP"), (111.77, 231.53, 119.04, 241.54, "16"), (140.57, 232.48, 156.48, 241.28, "CIBC"),
-    (158.97, 232.48, 192.03, 241.28, "TORONTO"), (316.40, 231.29, 344.71, 241.30, "-$350.00"), (361.64, 235.52, 393.19, 246.12, "Balance"),
-    (47.58, 250.53, 60.83, 260.54, "SEP"), (63.82, 250.53, 70.83, 260.54, "16"), (95.54, 250.53, 108.79, 260.54, "SEP"), (111.78, 250.64, 118.79, 260.51, "18"), (140.57, 251.48, 156.48, 260.28, "CIBC"),
-    (158.97, 251.48, 192.03, 260.28, "TORONTO"), (316.40, 250.53, 344.71, 260.54, "-$300.00"), (361.74, 250.35, 407.59, 261.71, "PAYMENT"),
+    (47.59, 212.41, 60.83, 222.28, "SEP"), (63.26, 212.41, 66.96, 222.28, "3"), (95.53, 212.41, 114.81, 222.28, "SEP4"), (140.85, 213.25, 176.96, 222.05, "BRIMVALE"), (178.95, 213.25, 216.10, 222.05, "FfNANCIAL"),
+    (218.46, 213.25, 254.01, 222.05, "QUAYHILL"), (323.11, 212.54, 344.74, 222.55, "$68.00"), (361.31, 212.35, 407.99, 224.85, "RIGHT-PANEL"),
+    (47.58, 231.53, 60.77, 241.54, "SEP"), (63.81, 231.53, 71.08, 241.54, "14"), (95.54, 231.53, 108.73, 241.54, "SEP"), (111.77, 231.53, 119.04, 241.54, "16"), (140.57, 232.48, 156.48, 241.28, "ZENB"),
+    (158.97, 232.48, 192.03, 241.28, "MARLOWE"), (316.40, 231.29, 344.71, 241.30, "-$350.00"), (361.64, 235.52, 393.19, 246.12, "Balance"),
+    (47.58, 250.53, 60.83, 260.54, "SEP"), (63.82, 250.53, 70.83, 260.54, "16"), (95.54, 250.53, 108.79, 260.54, "SEP"), (111.78, 250.64, 118.79, 260.51, "18"), (140.57, 251.48, 156.48, 260.28, "ZENB"),
+    (158.97, 251.48, 192.03, 260.28, "MARLOWE"), (316.40, 250.53, 344.71, 260.54, "-$300.00"), (361.74, 250.35, 407.59, 261.71, "PAYMENT"),
     (47.58, 269.52, 60.83, 279.53, "SEP"), (63.82, 269.52, 70.83, 279.53, "19"), (95.54, 269.52, 108.79, 279.53, "SEP"), (111.77, 269.52, 119.04, 279.53, "19"), (140.37, 270.47, 165.09, 279.27, "RETAIL"),
     (167.15, 270.47, 199.97, 279.27, "INTEREST"), (319.26, 269.52, 344.49, 279.53, "$287.93"), (362.01, 275.11, 393.91, 285.65, "Payment"),
     (140.58, 288.15, 169.21, 299.86, "TOTAL"), (172.54, 288.15, 193.63, 299.86, "NEW"), (196.59, 288.15, 239.59, 299.86, "BALANCE"), (301.03, 288.66, 344.51, 299.40, "$12,555.23"),
 ]
 TEXT = "PREVIOUS STATEMENT BALANCE $12,849.30\nTOTAL NEW BALANCE $12,555.23\n"
 ROWS = [
-    ("Sep 3", "Sep 4", "MANULIFE FINANCIAL OAKVILLE", "68.00"), ("Sep 14", "Sep 16", "CIBC TORONTO", "-350.00"), ("Sep 16", "Sep 18", "CIBC TORONTO", "-300.00"), ("Sep 19", "Sep 19", "RETAIL INTEREST", "287.93"),
+    ("Sep 3", "Sep 4", "BRIMVALE FINANCIAL QUAYHILL", "68.00"), ("Sep 14", "Sep 16", "ZENB MARLOWE", "-350.00"), ("Sep 16", "Sep 18", "ZENB MARLOWE", "-300.00"), ("Sep 19", "Sep 19", "RETAIL INTEREST", "287.93"),
 ]
 
 
@@ -151,9 +151,9 @@ def test_folder_to_files(spark, tmp_path):
 def test_equal_names_without_subfolders(spark, tmp_path):
     """Without subfolders the last file of a name, in path order, stays; statements are never merged."""
     _put(tmp_path / "in", "a/b.pdf", [[TEXT, PAGE, 0]])
-    _put(tmp_path / "in", "z/b.pdf", [[TEXT, [(*w[:4], w[4].replace("OAKVILLE", "LAST")) for w in PAGE], 0]])
+    _put(tmp_path / "in", "z/b.pdf", [[TEXT, [(*w[:4], w[4].replace("QUAYHILL", "LAST")) for w in PAGE], 0]])
     done = batch.process_folder(spark, profiles.parse({**PROFILE, "recursive": True}), str(tmp_path / "in"), str(tmp_path / "out"), _read)
-    assert [r.n_txn for r in done.status.collect()] == [4, 4] and "MANULIFE FINANCIAL LAST" in (tmp_path / "out/b_transactions.csv").read_text()
+    assert [r.n_txn for r in done.status.collect()] == [4, 4] and "BRIMVALE FINANCIAL LAST" in (tmp_path / "out/b_transactions.csv").read_text()
 
 
 def test_errors_before_any_file(spark, tmp_path):
