@@ -47,10 +47,11 @@ are alike only when equal; nodes are named by 60 bits of their words' SHA-256.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.sources.storage import scratch_path
@@ -67,6 +68,7 @@ SAMPLE, COMMON = 16, 1 << 20
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Nodes of a bucket that one block holds; rounds in which heads of components are linked (both change the work, never the pairs).
 CHUNK, LEVELS = 512, 3
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 #: Nodes (of 8 bytes) that are broadcast at most; more are joined by a shuffle.
 SENT = 1 << 20
 #: Nodes that a task remembers, to make the profile of a repeated text once.
@@ -367,8 +369,24 @@ def supposed(buckets: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run in here hand rows to Python workers a few at a time, since rows hold whole texts, or two."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def links(texts: DataFrame, size: int) -> DataFrame:
-    """(node, text) -> (u, v): links whose components are those of all pairs at 0.8."""
+    """(node, text) -> (u, v): links whose components are those of all pairs at 0.8; all its jobs run in here."""
+    with small_batches(texts.sparkSession):
+        return _links(texts, size)
+
+
+def _links(texts: DataFrame, size: int) -> DataFrame:
     made = materialize(profiles(texts, size))
     buckets = buckets_of(made)
     discard(made)
