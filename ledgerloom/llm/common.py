@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.storage import discard, materialize, scratch_dir, ship
 
-__all__ = ["binary", "col", "discard", "fresh", "id_text", "map_arrow", "materialize", "offsets_of", "scratch_dir", "ship", "steps", "table", "texts_of"]
+__all__ = ["apart", "binary", "col", "discard", "fresh", "id_text", "map_arrow", "materialize", "offsets_of", "scratch_dir", "ship", "steps", "table", "texts_of"]
 
 #: Bytes of text that one step of a Python worker takes at a time (one row may be larger).
 STEP_BYTES = 1 << 20
@@ -27,6 +27,16 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled, whatever its size is thought to be.
+
+    For tables that grow with the corpus.  Spark supposes their size from packed
+    files, and doesn't count what an explosion adds, so it may send them whole
+    through the driver.
+    """
+    return df.hint("merge")
+
+
 def fresh(taken: list[str], name: str) -> str:
     """``name``, lengthened until none of the taken names is like it."""
     low = {t.lower() for t in taken}

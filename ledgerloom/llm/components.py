@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import apart, discard, materialize
 
 
 def _rounds(edges: DataFrame, small: bool) -> DataFrame:
@@ -18,12 +18,12 @@ def _rounds(edges: DataFrame, small: bool) -> DataFrame:
     if small:
         near = edges.select("u", "v")
         least = near.groupBy("u").agg(F.min("v").alias("m"))
-        joined = near.join(least, "u")
+        joined = near.join(apart(least), "u")
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
         near = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = near.join(apart(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return out.filter("u <> v").distinct()
 
 

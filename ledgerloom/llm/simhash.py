@@ -17,7 +17,7 @@ then within the exact Hamming distance, so only true links leave the join.
 Documents with equal fingerprints are one node, whatever their number; only
 distinct fingerprints are joined, and only their links are walked.  A cell that
 many different fingerprints fill is a key of a plain join of two shuffles, which
-adaptive execution splits.
+adaptive execution splits.  Nothing that grows with the corpus is broadcast.
 
 Edge cases: a null text is the empty text; no words give fingerprint 0, which
 links like any other; rows that repeat a doc_id are each fingerprinted; a null
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, materialize, steps
+from .common import apart, col, fresh, materialize, steps
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -141,16 +141,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         & (F.bit_count(unlike) <= max_bits)
         & F.when(F.col("cell") < _long(1 << 32), first).otherwise(second & ~first)
     )
-    return a.join(b, on).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return a.join(apart(b), on).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def components_of(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``fps`` (doc_id, fp, ...) with ``component_id``; the fingerprints must be a table."""
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(nodes.select("fp"), max_bits))
-    named = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = nodes.join(apart(roots.withColumnRenamed("u", "fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp")
+    return fps.join(apart(named.select("fp", "root").join(apart(ids), "root").select("fp", "component_id")), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,5 +174,5 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = MAX_BITS) -> Dat
     least = found.groupBy("doc_id").agg(F.min("row").alias(w)).select(F.col("doc_id").alias(k), w)
     named = docs.filter(col("doc_id").isNotNull()).select(*map(col, names), whole.alias(h))
     same = (col("doc_id").cast("long") == F.col(k)) & (F.col(h) == F.col(w))
-    one = named.join(least, same, "left_semi").dropDuplicates(["doc_id", h]).select(*map(col, names))
+    one = named.join(apart(least), same, "left_semi").dropDuplicates(["doc_id", h]).select(*map(col, names))
     return one.unionByName(docs.filter(col("doc_id").isNull()))

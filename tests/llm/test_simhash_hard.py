@@ -6,7 +6,7 @@ import random
 from collections import Counter
 
 import pytest
-from ledgerloom.llm import simhash
+from ledgerloom.llm import components, simhash
 from ledgerloom.llm.common import ship
 from pyspark.sql import functions as F
 
@@ -59,3 +59,19 @@ def test_keep_one_of_repeated_ids(spark):
         assert got.columns == docs.columns
         assert Counter((r.doc_id, (r.text or "")[:2]) for r in got.collect()) == {(3, b[:2]): 1, (7, a[:2]): 1, (None, a[:2]): 1, (9, ""): 1}
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_nothing_is_sent_through_the_driver(spark, tmp_path, monkeypatch):
+    """A small file of fingerprints, which explosions make 26 times as many rows: no join of the grid, the rounds or the names is broadcast."""
+    rounds, plain, before = [], components._rounds, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(components, "_rounds", lambda *a, **k: rounds.append(plain(*a, **k)) or rounds[-1])
+    spark.range(3000).selectExpr("id AS doc_id", "id * 2 AS fp").write.parquet(str(tmp_path / "fps"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        fps = spark.read.parquet(str(tmp_path / "fps"))
+        found = [simhash.links(fps.select("fp")), simhash.components_of(fps)]
+        assert found[1].select("component_id").distinct().count() == 1
+        plans = [t._jdf.queryExecution().executedPlan().toString() for t in [*found, *rounds[:2]]]
+        assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans), plans
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
