@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, strip, text_hash
 
-from .layout import PAGE, center_x, heading_start, line_text, lines_in, lines_of, page_words
+from .layout import PAGE, center_x, line_text, lines_in, lines_of, page_words, with_start
 
 # Wording of printed totals and balances.
 TOTAL_OUT = r"(?i)total(?U:\s)+funds(?U:\s)+out(?U:\s)+([0-9,]+\.[0-9]{2})"
@@ -116,14 +116,19 @@ def masked_table(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
     """(doc_id, page_no, line_no, y, masked, words): dialect C's lines from the heading to the first stop phrase, both in it.
 
     Digits are hidden in the line and in each word; pages without a heading give
-    none, pages without a stop run to their end.
+    none, pages without a stop run to their end.  All of it is array functions of a
+    page's row, so words move once.
     """
-    lines = lines_of(words, tolerance)
-    table = lines.join(heading_start(lines, "C"), PAGE).filter("line_no >= start")
-    low = F.lower(line_text(F.col("words")))
-    stop = low.contains(TABLE_ENDS[0]) | low.contains(TABLE_ENDS[1])
-    before = Window.partitionBy(*PAGE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = table.withColumn("ended", F.coalesce(F.max(stop.cast("int")).over(before), F.lit(0))).filter("ended = 0")
+    pages = with_start(page_words(words).select(*PAGE, lines_in(F.col("ws"), tolerance).alias("lines")), "C")
+    tail = pages.select(*PAGE, "start", F.slice("lines", F.col("start") + 1, F.size("lines") - F.col("start")).alias("lines"))
+
+    def stops(x: Column) -> Column:
+        low = F.lower(line_text(x["words"]))
+        return low.contains(TABLE_ENDS[0]) | low.contains(TABLE_ENDS[1])
+
+    # Up to the first stop, itself included; all, if there is none.
+    ended = tail.withColumn("n", F.array_position(F.transform("lines", stops), True))
+    open_ = ended.select(*PAGE, "start", F.posexplode(F.slice("lines", 1, F.when(F.col("n") > 0, F.col("n")).otherwise(F.size("lines")).cast("int"))).alias("at", "l")).select(*PAGE, (F.col("start") + F.col("at")).alias("line_no"), "l.y", "l.words")
 
     def hide(text: Column) -> Column:
         return F.regexp_replace(text, r"(?U)\d", "#")

@@ -199,10 +199,11 @@ def _by_page(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("line_no", "y", "words"))).alias("lines"))
 
 
-def heading_start(lines: DataFrame, dialect: str) -> DataFrame:
-    """(doc_id, page_no, start): the first line of the smallest, then earliest window that holds the headings."""
-    found = _with_windows(_by_page(lines), dialect).filter(F.size("windows") > 0)
-    return found.select(*PAGE, F.get("lines", F.get("windows", F.lit(0))["line_no"])["line_no"].alias("start"))
+def with_start(pages: DataFrame, dialect: str) -> DataFrame:
+    """The ``pages`` (with ``lines``) whose lines hold the headings, and ``start``, the number of the line where they begin."""
+    windows = _with_windows(pages, dialect)
+    # An explosion of at most one, as in with_heading.
+    return windows.select(*pages.columns, F.explode(F.slice("windows", 1, 1)).alias("w")).select(*pages.columns, F.col("w.line_no").alias("start"))
 
 
 def headers(lines: DataFrame, dialect: str, margin: float = 4.0) -> DataFrame:

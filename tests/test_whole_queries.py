@@ -42,3 +42,12 @@ def test_cells_of_every_kind_are_compared(spark, dialect):
     kinds = {r.kind for r in lines.select("kind").distinct().collect()}
     assert {"T", "C", "X"} <= kinds and ("B" in kinds) == (dialect == "b") and len(got) == lines.count()
     assert any("JUNK" in r.cells for r in got) and any("CONT" in r.cells for r in got)
+
+
+def test_masked_table_moves_words_once(spark, tmp_path):
+    """Lines, heading and end are found on a page's row: one shuffle, no join, no window."""
+    own._words(spark, SF, "C").write.parquet(str(tmp_path / "words"))
+    made = facts.masked_table(spark.read.parquet(str(tmp_path / "words")))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan, plan
+    assert made.count() > 1000
