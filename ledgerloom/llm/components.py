@@ -2,12 +2,13 @@
 
 Each step keeps one row per edge; a star's centre is never gathered: its least
 neighbour comes from a partial aggregate and returns by a join, which adaptive
-execution can split.  Each round is written to the shared folder.
+execution can split.  Each round is written to the shared folder, and counted
+as it is written, so that a round is one job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import apart, discard, materialize
@@ -27,25 +28,29 @@ def _rounds(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and the sum of their hashes."""
+    seen = Observation()
+    found = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")))
+    return found, (seen.get["n"], seen.get["mark"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u long, v long) links in any direction -> (u, root): each linked node with the least node that it reaches.
 
     Nodes without a link aren't in the result.  Null ends are dropped; no edges
     give no rows.
     """
-    now = materialize(
+    now, state = _written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.col("u").isNull().alias("a"), F.col("v").isNull().alias("b"))
         .filter("not a and not b and u <> v")
         .select("u", "v")
         .distinct()
     )
     seen = None
-    while True:
-        n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if n == 0 or (n, mark) == seen:
-            break
-        seen, before = (n, mark), now
-        now = materialize(_rounds(_rounds(before, small=False), small=True))
+    while state[0] and state != seen:
+        seen, before = state, now
+        now, state = _written(_rounds(_rounds(before, small=False), small=True))
         discard(before)
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
     return now.select("u", F.col("v").alias("root")).union(roots)

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.storage import scratch_path
 
-from .common import col, discard, fresh, materialize, steps
+from .common import apart, col, discard, fresh, materialize, steps
 from .components import components
 from .simhash import LOWER
 from .vechash import Words
@@ -256,7 +256,7 @@ def verified(pairs: DataFrame, held: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(5 * both >= 4 * either)], ["u", "v", "ok"])
 
     one, two = (held.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long, ok boolean")
+    return pairs.join(apart(one), "u").join(apart(two), "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long, ok boolean")
 
 
 def buckets_of(made: DataFrame) -> DataFrame:
@@ -267,14 +267,14 @@ def buckets_of(made: DataFrame) -> DataFrame:
     lead = F.col("lead") if "lead" in made.columns else F.size("first")
     met = made.select("node", lead.alias("lead"), F.posexplode("first").alias("pos", "h")).select("h", "node", (F.col("pos") < F.col("lead")).alias("leads"))
     often = met.groupBy("h").agg(F.count("*").alias("k"), F.max("leads").alias("some")).filter("k > 1 and some").select("h")
-    shared = materialize(met.join(often, "h").distinct())
+    shared = materialize(met.join(apart(often), "h").distinct())
     # Equal sets of nodes, with the same ones leading, are one bucket, named by its least shingle.
     marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"), F.col("leads"))).alias(f"mark{k}") for k in (0, 1)]
     sets = shared.groupBy("h").agg(F.count("*").alias("size"), *marks).filter("size > 1")
     named = sets.groupBy("size", "mark0", "mark1").agg(F.min("h").alias("h")).select("h", "size")
-    members = materialize(shared.join(named, "h").select(F.col("h").alias("bucket"), "size", "node", "leads"))
-    known = made.select("node", "n", "bits").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    found = materialize(members.join(known, "node").select("bucket", "size", "node", "n", "bits", "leads"))
+    members = materialize(shared.join(apart(named), "h").select(F.col("h").alias("bucket"), "size", "node", "leads"))
+    known = made.select("node", "n", "bits").join(apart(members.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    found = materialize(members.join(apart(known), "node").select("bucket", "size", "node", "n", "bits", "leads"))
     discard(shared)
     discard(members)
     return found
@@ -298,7 +298,7 @@ def heads(named: DataFrame) -> DataFrame:
     """One row of each component in each bucket that has several, one that leads if there is any."""
     least = named.groupBy("bucket", "label").agg(F.min(F.struct((~F.col("leads")).alias("late"), "node", "n", "bits", "leads")).alias("row"))
     size = named.groupBy("bucket").agg(F.count_distinct("label").alias("size")).filter("size > 1")
-    return least.join(size, "bucket").select("bucket", "size", "row.node", "row.n", "row.bits", "row.leads", "label")
+    return least.join(apart(size), "bucket").select("bucket", "size", "row.node", "row.n", "row.bits", "row.leads", "label")
 
 
 def opposed(named: DataFrame) -> DataFrame:
@@ -309,7 +309,7 @@ def opposed(named: DataFrame) -> DataFrame:
     of_label = named.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.count_if("leads").alias("f"))
     largest = of_label.groupBy("bucket").agg(F.max(F.struct("m", "label")).alias("top"), F.sum("m").alias("size"), F.sum("f").alias("f")).filter("top.m < size and f > 0")
     outside = F.col("size") - F.col("top.m")
-    rows = named.drop("size").join(largest.select("bucket", "size", F.col("top.label").alias("top"), F.least(outside, "f").alias("rest"), (F.col("f") < outside).alias("few")), "bucket")
+    rows = named.drop("size").join(apart(largest.select("bucket", "size", F.col("top.label").alias("top"), F.least(outside, "f").alias("rest"), (F.col("f") < outside).alias("few"))), "bucket")
     rows = rows.withColumn("mine", _chunk(F.col("node"), F.col("size"), 0)).withColumn("theirs", _chunk(F.col("node"), F.col("rest"), 0))
 
     def each(size: str) -> Column:
@@ -323,7 +323,7 @@ def opposed(named: DataFrame) -> DataFrame:
 
 
 def _labelled(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    return buckets.join(roots, "node", "left").select("bucket", "size", "node", "n", "bits", "leads", F.coalesce("root", "node").alias("label"))
+    return buckets.join(apart(roots), "node", "left").select("bucket", "size", "node", "n", "bits", "leads", F.coalesce("root", "node").alias("label"))
 
 
 class ByNode:
@@ -334,7 +334,7 @@ class ByNode:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         nodes = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct())
         few = nodes.limit(SENT + 1).count() <= SENT
-        some = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+        some = texts.join(F.broadcast(nodes) if few else apart(nodes), "node", "left_semi")
         some.groupBy("node").agg(F.min("text").alias("text")).write.bucketBy(parts, "node").sortBy("node").format("parquet").option("path", self.path).saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
         self.rows.scratch_path = self.path
@@ -403,10 +403,10 @@ def _links(texts: DataFrame, size: int) -> DataFrame:
     if not bad.isEmpty():
         # A pair can be hidden behind a failed link only if both its nodes are in that link's supposed component.
         roots, true = _roots(found), _roots(good)
-        doubtful = roots.join(bad.select(F.col("u").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
-        nodes = roots.join(doubtful, "root", "left_semi").select("node")
-        open_ = buckets.join(buckets.join(nodes, "node", "left_semi").select("bucket").distinct(), "bucket", "left_semi")
-        rest = materialize(candidates(opposed(_labelled(open_, true)), forest=False).join(bad, ["u", "v"], "left_anti"))
+        doubtful = roots.join(apart(bad.select(F.col("u").alias("node")).distinct()), "node", "left_semi").select("root").distinct()
+        nodes = roots.join(apart(doubtful), "root", "left_semi").select("node")
+        open_ = buckets.join(apart(buckets.join(apart(nodes), "node", "left_semi").select("bucket").distinct()), "bucket", "left_semi")
+        rest = materialize(candidates(opposed(_labelled(open_, true)), forest=False).join(apart(bad), ["u", "v"], "left_anti"))
         good = good.union(tried(rest).filter("ok").select("u", "v"))
         for t in (roots, true, rest):
             discard(t)
@@ -431,9 +431,9 @@ def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     node, whole = node_of(col("text")), F.xxhash64(*map(col, names))
     ids = docs.filter(col("doc_id").isNotNull()).select(node.alias("node"), F.struct(col("doc_id").cast("long").alias("doc_id"), node.alias("node"), whole.alias("whole")).alias("row"))
     least = ids.groupBy("node").agg(F.min("row").alias("row"))
-    named = least.join(components_of(docs, size), "node", "left")
+    named = least.join(apart(components_of(docs, size)), "node", "left")
     kept = named.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select(F.col("row.doc_id").alias(key), F.col("row.whole").alias(kw))
     rows = docs.filter(col("doc_id").isNotNull()).select(*map(col, names), whole.alias(all_))
-    found = rows.join(kept, (col("doc_id").cast("long") == F.col(key)) & (F.col(all_) == F.col(kw)), "left_semi")
+    found = rows.join(apart(kept), (col("doc_id").cast("long") == F.col(key)) & (F.col(all_) == F.col(kw)), "left_semi")
     # Rows that are equal in all columns are still here together.
     return found.dropDuplicates(["doc_id", all_]).select(*map(col, names)).unionByName(docs.filter(col("doc_id").isNull()))

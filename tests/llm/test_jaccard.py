@@ -203,3 +203,20 @@ def test_the_first_shared_shingle_leads():
         assert len(b) == m and 5 * both >= 4 * (n + m - both)
         w = min(set(a) & set(b))
         assert a.index(w) < n // 9 + 1 and b.index(w) < m // 5 + 1
+
+
+def test_joins_of_buckets_are_shuffled(spark, tmp_path):
+    """Small files of buckets and roots: what grows with the corpus isn't sent through the driver."""
+    rows = spark.range(2000).selectExpr("id % 50 AS bucket", "40L AS size", "id AS node", "9L AS n", "cast('' AS binary) AS bits", "id % 3 = 0 AS leads", "id % 7 AS label")
+    rows.write.parquet(str(tmp_path / "rows"))
+    spark.range(2000).selectExpr("id AS node", "id % 7 AS root").write.parquet(str(tmp_path / "roots"))
+    named, roots = spark.read.parquet(str(tmp_path / "rows")), spark.read.parquet(str(tmp_path / "roots"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        made = [jaccard.heads(named), jaccard.opposed(named), jaccard._labelled(named.drop("label"), roots)]
+        assert all(t.count() for t in made)
+        plans = [t._jdf.queryExecution().executedPlan().toString() for t in made]
+        assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans), plans
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
