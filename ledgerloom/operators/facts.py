@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, strip, text_hash
 
-from .layout import PAGE, center_x, line_text, lines_in, lines_of, page_words, with_start
+from .layout import PAGE, center_x, doc_key, line_text, lines_in, lines_of, page_key, page_words, with_start
 
 # Wording of printed totals and balances.
 TOTAL_OUT = r"(?i)total(?U:\s)+funds(?U:\s)+out(?U:\s)+([0-9,]+\.[0-9]{2})"
@@ -24,8 +24,8 @@ def excluded_pages(pages: DataFrame, phrases: list[str]) -> DataFrame:
 
 def printed_totals(pages: DataFrame) -> DataFrame:
     """(doc_id, total_out, total_in): the first hit of a page; the last page with a hit wins."""
-    hit = pages.select("doc_id", "page_no", *(parse_amount(F.regexp_extract("page_text", p, 1)).alias(n) for p, n in ((TOTAL_OUT, "o"), (TOTAL_IN, "i"))))
-    return hit.groupBy("doc_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("page_no"))).alias(n) for c, n in (("o", "total_out"), ("i", "total_in"))))
+    hit = pages.select(*page_key(pages), *(parse_amount(F.regexp_extract("page_text", p, 1)).alias(n) for p, n in ((TOTAL_OUT, "o"), (TOTAL_IN, "i"))))
+    return hit.groupBy(*doc_key(hit)).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("page_no"))).alias(n) for c, n in (("o", "total_out"), ("i", "total_in"))))
 
 
 def printed_balances(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
@@ -35,15 +35,17 @@ def printed_balances(words: DataFrame, tolerance: float = 2.5) -> DataFrame:
 
 def printed_balances_in(pages: DataFrame, tolerance: float | Column = 2.5) -> DataFrame:
     """The same from ``layout.page_words``; a tolerance of each page is its column ``tolerance``."""
+    # This leaves out marks, too, but not the words of marked pages.
     left = F.filter("ws", lambda w: center_x(w) < LEFT_PANEL)
     own = [c for c in ("tolerance",) if c in pages.columns]
-    lines = pages.select(*PAGE, *own, left.alias("ws")).select(*PAGE, F.posexplode(lines_in(F.col("ws"), tolerance)).alias("line_no", "l"))
+    key = page_key(pages)
+    lines = pages.select(*key, *own, left.alias("ws")).select(*key, F.posexplode(lines_in(F.col("ws"), tolerance)).alias("line_no", "l"))
     low = F.lower(normalize(line_text(F.col("l.words"))))
     amounts = F.filter(F.transform("l.words", lambda w: w["text"]), is_amount)
     named = lines.withColumn("low", low).filter(F.contains("low", F.lit(PREVIOUS)) | F.contains("low", F.lit(NEW)))
-    found = named.select("doc_id", F.struct("page_no", "line_no").alias("at"), F.contains("low", F.lit(PREVIOUS)).alias("previous"), parse_amount(F.try_element_at(amounts, F.lit(-1))).alias("v")).filter("v is not null")
+    found = named.select(*doc_key(pages), F.struct("page_no", "line_no").alias("at"), F.contains("low", F.lit(PREVIOUS)).alias("previous"), parse_amount(F.try_element_at(amounts, F.lit(-1))).alias("v")).filter("v is not null")
     previous = F.col("previous")
-    return found.groupBy("doc_id").agg(*(F.max_by("v", F.when(k, F.col("at"))).alias(n) for k, n in ((previous, "previous_balance"), (~previous, "new_balance"))))
+    return found.groupBy(*doc_key(found)).agg(*(F.max_by("v", F.when(k, F.col("at"))).alias(n) for k, n in ((previous, "previous_balance"), (~previous, "new_balance"))))
 
 
 def page_stats(pages: DataFrame, words: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ heading, the table region and its cells are then array functions on that row: a
 page is a bounded group, and nothing more is exchanged, joined or sorted.
 
 A dialect is a letter for all pages, or a column, so that pages of unlike profiles
-go through one plan; so may be a line tolerance.
+go through one plan; so may be a line tolerance.  Such pages also have ``profile_id``,
+and a document is then told by both: plain columns, not a struct of them, so that
+words that lie by doc_id already aren't shuffled again.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from ledgerloom.functions import let, normalize
 
 GLYPH = "Ý"
 PAGE = ["doc_id", "page_no"]
+PROFILE = "profile_id"
 # The words of dialect C's heading.
 HEADING_TOKENS = ("transaction", "posting", "activity", "description", "amount", "date")
 #: Dialect C's heading spans so many lines at most.
@@ -37,14 +40,41 @@ def by_dialect(dialect: str | Column, make: Callable[[str], Column]) -> Column:
     return out
 
 
+def doc_key(df: DataFrame) -> list[str]:
+    """The columns that tell a document: doc_id, before it profile_id where ``df`` has it."""
+    return [PROFILE, "doc_id"] if PROFILE in df.columns else ["doc_id"]
+
+
+def page_key(df: DataFrame) -> list[str]:
+    return [*doc_key(df), "page_no"]
+
+
 def center_x(w: Column) -> Column:
     return (w["x0"] + w["x1"]) / 2
 
 
-def page_words(words: DataFrame) -> DataFrame:
-    """(doc_id, page_no, ws): a page's words by (y centre, x0, word_no)."""
+WORD = {"y": "double", "x0": "double", "word_no": "int", "x1": "double", "y0": "double", "y1": "double", "text": "string"}
+
+
+def page_words(words: DataFrame, key: list[str] = PAGE, excluded: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_no, ws), or another key: a page's words by (y centre, x0, word_no).
+
+    A page in ``excluded`` (its keys) has a mark, an entry of nulls, before its words.
+    It comes with them, so that no join moves or sorts the pages a second time.
+    """
     w = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("y"), F.col("x0"), F.col("word_no").cast("int").alias("word_no"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("text"))
-    return words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(w)).alias("ws"))
+    entries = words.select(*key, w.alias("w"))
+    if excluded is not None:
+        mark = F.struct(*(F.lit(None).cast(t).alias(c) for c, t in WORD.items()))
+        marks = excluded.dropna(subset=key).select(*(F.col(c).cast(words.schema[c].dataType) for c in key), mark.alias("w"))
+        entries = entries.unionByName(marks)
+    return entries.groupBy(*key).agg(F.array_sort(F.collect_list("w")).alias("ws"))
+
+
+def unmarked(pages: DataFrame) -> DataFrame:
+    """The pages that aren't excluded."""
+    first = F.get("ws", F.lit(0))
+    return pages.filter(~F.coalesce(first["y"].isNull() & first["word_no"].isNull() & first["text"].isNull(), F.lit(False)))
 
 
 def _mean(a: Column) -> Column:

@@ -3,7 +3,8 @@
 First hit wins: unreadable, no text at all, no table, totals or balances not
 printed, a column to be summed that the profile doesn't name, totals that don't
 match.  Sums are exact decimals.  A text counts without the Unicode white space at
-its ends.
+its ends.  Tables with ``profile_id`` hold documents of several profiles, told by it
+and doc_id.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money_text, output_name, page_list, parse_amount, strip
 
-from .layout import by_dialect
+from .layout import PROFILE, by_dialect, doc_key
 
 OK, FAILED = "Success", "Failed"
 MONEY = "decimal(18,2)"
@@ -31,7 +32,7 @@ def totals(rows: DataFrame, column: str, name: str) -> Column:
 def statement_sums(rows: DataFrame) -> DataFrame:
     """(doc_id, n_txn, source_pages, an exact sum of each column of money that ``rows`` has)."""
     sums = [totals(rows, c, n) for c, n in SUMS.items() if c in rows.columns]
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_txn"), F.array_sort(F.collect_set("page_no")).alias("source_pages"), *sums)
+    return rows.groupBy(*doc_key(rows)).agg(F.count("*").alias("n_txn"), F.array_sort(F.collect_set("page_no")).alias("source_pages"), *sums)
 
 
 def unnamed(dialect: str, headers: Sequence[str] | Column | None) -> Column:
@@ -81,6 +82,19 @@ def _error(dialect: str, display_name: str | Column, headers: Sequence[str] | Co
     return error.when(missing, text).when(lacks.isNotNull(), F.concat(F.lit("Unexpected error: '"), lacks, F.lit("'"))).when(wrong, apart)
 
 
+def _beside(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """A join of what is known of the same documents.
+
+    Two keys are joined as a struct, which is never null: else Spark filters nulls on
+    one side, and words, needed on both, are no longer read and shuffled once.
+    """
+    key = doc_key(left)
+    if len(key) == 1:
+        return left.join(right, key, how)
+    one = F.struct(*key)
+    return left.withColumn("__key", one).join(right.select(one.alias("__key"), *(c for c in right.columns if c not in key)), "__key", how).drop("__key")
+
+
 def statement_status(
     pages: DataFrame, rows: DataFrame, dialect: str | Column, facts: DataFrame | None = None, display_name: str | Column = "", headers: Sequence[str] | Column | None = None, profiles: DataFrame | None = None
 ) -> DataFrame:
@@ -89,19 +103,20 @@ def statement_status(
     A failed statement counts no transactions and no pages.  ``pages`` may carry
     ``read_error``, the whole message (null where the document could be read).
     ``headers``: the printed columns that the profile names (all, if not given).
-    ``profiles``, one row a ``doc_id.profile_id``, has what is a column here.
+    ``profiles``, one row a ``profile_id``, has what is a column here.
     """
     read_error = F.first("read_error", ignorenulls=True) if "read_error" in pages.columns else F.lit(None).cast("string")
-    docs = pages.groupBy("doc_id").agg(F.sum(F.length(strip(F.col("page_text")))).alias("characters"), read_error.alias("read_error"))
-    all_ = docs.join(statement_sums(rows), "doc_id", "left")
+    key = doc_key(pages)
+    docs = pages.groupBy(*key).agg(F.sum(F.length(strip(F.col("page_text")))).alias("characters"), read_error.alias("read_error"))
+    all_ = _beside(docs, statement_sums(rows))
     if facts is not None:
-        all_ = all_.join(facts, "doc_id", "left")
+        all_ = _beside(all_, facts)
     if profiles is not None:
-        all_ = all_.join(F.broadcast(profiles), F.col("doc_id.profile_id") == F.col("profile_id"))
+        all_ = all_.join(F.broadcast(profiles), PROFILE)
     error = by_dialect(dialect, lambda d: _error(d, display_name, headers))
     good = F.col("error").isNull()
     return all_.withColumn("error", error).select(
-        "doc_id",
+        *key,
         F.when(good, OK).otherwise(FAILED).alias("status"),
         F.when(good, F.col("n_txn")).otherwise(0).cast("long").alias("n_txn"),
         F.when(good, F.col("source_pages")).otherwise(F.array().cast("array<int>")).alias("source_pages"),
@@ -114,15 +129,15 @@ def accept(rows: DataFrame, dialect: str | Column, facts: DataFrame | None = Non
 
     The same statements as ``statement_status`` accepts; ``unreadable`` (doc_id) never are.
     """
-    of = Window.partitionBy("doc_id")
+    of = Window.partitionBy(*doc_key(rows))
     kept = rows
     if dialect != "A" if isinstance(dialect, str) else True:
         named = [c for c in SUMS if c in rows.columns and (not isinstance(dialect, str) or c in SUMMED[dialect])]
         sums = {f"__{c}": F.coalesce(F.sum(F.when(F.col(c) != "", parse_amount(F.col(c)))).over(of), F.lit(0)).cast(MONEY) for c in named}
-        beside = rows.withColumns(sums).join(facts, "doc_id", "left")
+        beside = _beside(rows.withColumns(sums), facts)
         right = by_dialect(dialect, lambda d: unnamed(d, headers).isNull() & reconciles(d, {c: F.col(f"__{c}") for c in SUMMED[d]}))
         kept = beside.filter(right).select(*rows.columns)
-    return kept if unreadable is None else kept.join(unreadable, "doc_id", "left_anti")
+    return kept if unreadable is None else _beside(kept, unreadable, "left_anti")
 
 
 def accepted(rows: DataFrame, statuses: DataFrame) -> DataFrame:

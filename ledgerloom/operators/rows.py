@@ -1,9 +1,10 @@
-"""From lines to transactions: classification, stops, gaps and stitching, as windows over (doc_id, page_no).
+"""From lines to transactions: classification, stops, gaps and stitching, as windows over a page.
 
 Kinds: T transaction, C continuation-shaped, B balance forward, S skip, X stop, O other.
 
 A dialect is a letter for all rows, or the column ``dialect`` of the pages, which may
 also have their own ``tolerance`` and ``gap``; rows then have the columns of all dialects.
+Pages with ``profile_id`` are told by it and (doc_id, page_no), and their rows have it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import export_amount, is_amount, is_lenient_date, is_strict_date, lenient_date, normalize, repair_activity
 
-from .layout import PAGE, by_dialect, cells_of, lines_in, page_words, region, with_heading
+from .layout import PAGE, by_dialect, cells_of, lines_in, page_key, page_words, region, unmarked, with_heading
 
 COLUMNS = {
     "A": ["trans_date", "post_date", "description", "spend_categories", "amount"],
@@ -32,24 +33,20 @@ def own_columns(df: DataFrame) -> list[str]:
 
 def table_lines_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5) -> DataFrame:
     """``layout.page_words`` -> (doc_id, page_no, line_no, y, cells) below each page's heading, and the pages' own columns."""
-    head, own = F.col("head"), own_columns(pages)
-    headed = with_heading(pages.withColumn("lines", lines_in(F.col("ws"), tolerance)), dialect).select(*PAGE, *own, "head", region(F.col("ws"), head).alias("ws"))
-    lined = headed.select(*PAGE, *own, "head", F.transform(lines_in(F.col("ws"), tolerance), lambda x, i: F.struct(i.alias("line_no"), x["y"].alias("y"), x["words"].alias("words"))).alias("lines"))
+    head, own, key = F.col("head"), own_columns(pages), page_key(pages)
+    headed = with_heading(pages.withColumn("lines", lines_in(F.col("ws"), tolerance)), dialect).select(*key, *own, "head", region(F.col("ws"), head).alias("ws"))
+    lined = headed.select(*key, *own, "head", F.transform(lines_in(F.col("ws"), tolerance), lambda x, i: F.struct(i.alias("line_no"), x["y"].alias("y"), x["words"].alias("words"))).alias("lines"))
     below = F.filter("lines", lambda x: x["y"] > head["bottom"] + 1)
 
     def cells(x: Column) -> Column:
         return by_dialect(dialect, lambda d: cells_of(x["words"], head, len(COLUMNS[d]), d == "A"))
 
-    return lined.select(*PAGE, *own, F.inline(F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), x["y"].alias("y"), cells(x).alias("cells")))))
+    return lined.select(*key, *own, F.inline(F.transform(below, lambda x: F.struct(x["line_no"].alias("line_no"), x["y"].alias("y"), cells(x).alias("cells")))))
 
 
 def table_lines(words: DataFrame, dialect: str, tolerance: float = 2.5, excluded: DataFrame | None = None) -> DataFrame:
     """(doc_id, page_no, line_no, y, cells) below each page's heading; pages in ``excluded`` (doc_id, page_no) give none."""
-    return table_lines_in(without(page_words(words), excluded), dialect, tolerance)
-
-
-def without(pages: DataFrame, excluded: DataFrame | None) -> DataFrame:
-    return pages if excluded is None else pages.join(excluded, PAGE, "left_anti")
+    return table_lines_in(unmarked(page_words(words, PAGE, excluded)), dialect, tolerance)
 
 
 def _kind(low: Column, dialect: str) -> Column:
@@ -99,7 +96,8 @@ def attach(lines: DataFrame, dialect: str | Column, gap: float | Column = 18.0)
     from a balance forward), so it fails too, up to the next row.
     """
     ends = F.lit(dialect == "A") if isinstance(dialect, str) else dialect == "A"
-    page = Window.partitionBy(*PAGE).orderBy("line_no")
+    key = page_key(lines)
+    page = Window.partitionBy(*key).orderBy("line_no")
     upto = page.rowsBetween(Window.unboundedPreceding, 0)
     before = page.rowsBetween(Window.unboundedPreceding, -1)
     kind, y = F.col("kind"), F.col("y")
@@ -109,7 +107,7 @@ def attach(lines: DataFrame, dialect: str | Column, gap: float | Column = 18.0)
     last_y = F.last(F.when(~ends | (kind == "T") | ((kind == "C") & some), y), ignorenulls=True).over(before)
     far = (y - last_y > gap) & F.when(ends, ~kind.isin("T", "S") & some).otherwise(kind == "C")
     group = F.when(ends, 0).otherwise(F.sum(kind.isin("T", "B").cast("int")).over(upto))
-    run = Window.partitionBy(*PAGE, "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(*key, "group").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     held = first.withColumn("far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("group", group).withColumn("lost", F.max("far").over(run))
     return held.filter("lost = 0 and kind in ('T', 'C') and txn_no is not null")
 
@@ -137,16 +135,17 @@ def _texts(dialect: str) -> dict[str, Column]:
 def stitch(attached: DataFrame, dialect: str | Column) -> DataFrame:
     """One row a transaction: (doc_id, page_no, line_no, the dialect's columns as text; those of all where each row has its own)."""
     parts, own = F.array_sort(F.collect_list(F.struct("line_no", "cells"))), own_columns(attached)
-    rows = attached.groupBy(*PAGE, *own, F.col("txn_no").alias("line_no")).agg(parts.alias("p"))
+    key = page_key(attached)
+    rows = attached.groupBy(*key, *own, F.col("txn_no").alias("line_no")).agg(parts.alias("p"))
     none = F.lit(None).cast("string")
     names = COLUMNS[dialect] if isinstance(dialect, str) else ALL_COLUMNS
-    return rows.select(*PAGE, "line_no", *own, *(by_dialect(dialect, lambda d, n=n: _texts(d).get(n, none)).alias(n) for n in names))
+    return rows.select(*key, "line_no", *own, *(by_dialect(dialect, lambda d, n=n: _texts(d).get(n, none)).alias(n) for n in names))
 
 
-def transactions_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5, gap: float | Column = 18.0, excluded: DataFrame | None = None) -> DataFrame:
-    """The transactions of ``layout.page_words``."""
-    return stitch(attach(classify(table_lines_in(without(pages, excluded), dialect, tolerance), dialect), dialect, gap), dialect)
+def transactions_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5, gap: float | Column = 18.0) -> DataFrame:
+    """The transactions of ``layout.page_words``; pages that are marked there give none."""
+    return stitch(attach(classify(table_lines_in(unmarked(pages), dialect, tolerance), dialect), dialect, gap), dialect)
 
 
 def transactions(words: DataFrame, dialect: str, tolerance: float = 2.5, gap: float = 18.0, excluded: DataFrame | None = None) -> DataFrame:
-    return transactions_in(page_words(words), dialect, tolerance, gap, excluded)
+    return transactions_in(page_words(words, PAGE, excluded), dialect, tolerance, gap)

@@ -31,17 +31,17 @@ def process(words: DataFrame, pages: DataFrame, profile: Profile) -> Statements:
     Words are read and shuffled once for rows and balances; accepted rows come
     from the same pass as their sums.
     """
-    d = profile.dialect
+    d, pages = profile.dialect, pages.drop(layout.PROFILE)  # of one profile, so told by doc_id alone
     out = facts.excluded_pages(pages, list(profile.excluded_page_phrases))
-    held = layout.page_words(words)
-    found = rows.transactions_in(held, d, profile.line_tolerance, profile.continuation_gap, out)
+    held = layout.page_words(words, layout.PAGE, out)
+    found = rows.transactions_in(held, d, profile.line_tolerance, profile.continuation_gap)
     printed = facts.printed_totals(pages) if d == "B" else facts.printed_balances_in(held, profile.line_tolerance) if d == "C" else None
     status = reconcile.statement_status(pages, found, d, printed, profile.display_name, profile.required_headers)
     return Statements(reconcile.accept(found, d, printed, _unreadable(pages), profile.required_headers), found, status)
 
 
 def _unreadable(pages: DataFrame) -> DataFrame | None:
-    return pages.filter("read_error is not null").select("doc_id").distinct() if "read_error" in pages.columns else None
+    return pages.filter("read_error is not null").select(*layout.doc_key(pages)).distinct() if "read_error" in pages.columns else None
 
 
 PROFILE_TABLE = "profile_id string, dialect string, tolerance double, gap double, phrases array<string>, headers array<string>, display_name string, profile_version int, institution string"
@@ -59,42 +59,43 @@ def process_all(words: DataFrame, pages: DataFrame, chosen: list[Profile]) -> tu
     One plan, whatever the number of profiles: words are read and shuffled once, and
     each page goes by its own profile's dialect, tolerance, gap, phrases and headers,
     which come as columns from a broadcast table.  Documents are told apart by
-    (profile_id, doc_id).
+    (profile_id, doc_id).  Where words and
+    pages lie by doc_id already, in as many partitions, no word is shuffled.
 
     Returns each profile's statements, and the statuses of all with profile_id,
     version and institution.  Documents of a profile that isn't given are left out.
     """
     known = profile_table(words.sparkSession, chosen)
-    own, dialect = F.col("doc_id.profile_id"), F.col("dialect")
+    own, dialect = F.col(layout.PROFILE), F.col("dialect")
 
     def named(t: DataFrame) -> DataFrame:
-        kept = t.join(F.broadcast(known.select("profile_id")), "profile_id", "left_semi")
-        return kept.select(F.struct("profile_id", "doc_id").alias("doc_id"), *(c for c in t.columns if c not in ("profile_id", "doc_id")))
+        return t.join(F.broadcast(known.select(layout.PROFILE)), layout.PROFILE, "left_semi")
 
     def with_profile(t: DataFrame, *names: str) -> DataFrame:
-        return t.join(F.broadcast(known.select("profile_id", *names)), own == F.col("profile_id")).drop("profile_id")
+        return t.join(F.broadcast(known.select(layout.PROFILE, *names)), layout.PROFILE)
 
     texts = named(pages)
     low = F.lower("page_text")
     phrased = with_profile(texts, "phrases", "dialect")
-    out = phrased.filter(F.forall("phrases", lambda p: F.contains(low, F.lower(p)))).select(*layout.PAGE)
-    held = with_profile(layout.page_words(named(words)), "dialect", "tolerance", "gap")
-    found = rows.transactions_in(held, dialect, F.col("tolerance"), F.col("gap"), out)
+    out = phrased.filter(F.forall("phrases", lambda p: F.contains(low, F.lower(p)))).select(*layout.page_key(texts))
+    held = with_profile(layout.page_words(named(words), layout.page_key(words), out), "dialect", "tolerance", "gap")
+    found = rows.transactions_in(held, dialect, F.col("tolerance"), F.col("gap"))
     totals = facts.printed_totals(phrased.filter("dialect = 'B'"))
     balances = facts.printed_balances_in(held.filter("dialect = 'C'"), F.col("tolerance"))
-    printed = totals.join(balances, "doc_id", "full_outer")
+    printed = totals.unionByName(balances, allowMissingColumns=True)  # a document has one of them at most, by its dialect
     status = reconcile.statement_status(texts, found, dialect, printed, F.col("display_name"), F.col("headers"), known)
     beside = with_profile(found.drop("dialect", "tolerance", "gap"), "dialect", "headers")
     accepted = reconcile.accept(beside, dialect, printed, _unreadable(texts), F.col("headers"))
 
     def of(t: DataFrame, p: Profile, *names: str) -> DataFrame:
-        return t.filter(own == p.profile_id).select(F.col("doc_id.doc_id").alias("doc_id"), *names)
+        return t.filter(own == p.profile_id).select("doc_id", *names)
 
+    facts_ = [c for c in status.columns if c not in layout.doc_key(status)]
     made = {}
     for p in chosen:
         columns = ["page_no", "line_no", *rows.COLUMNS[p.dialect]]
-        made[p.profile_id] = Statements(of(accepted, p, *columns), of(found, p, *columns), of(status, p, *(c for c in status.columns if c != "doc_id")))
-    statuses = with_profile(status, "profile_version", "institution").select(own.alias("profile_id"), "profile_version", "institution", F.col("doc_id.doc_id").alias("doc_id"), *(c for c in status.columns if c != "doc_id"))
+        made[p.profile_id] = Statements(of(accepted, p, *columns), of(found, p, *columns), of(status, p, *facts_))
+    statuses = with_profile(status, "profile_version", "institution").select(layout.PROFILE, "profile_version", "institution", "doc_id", *facts_)
     return made, statuses
 
 

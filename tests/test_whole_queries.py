@@ -51,3 +51,25 @@ def test_masked_table_moves_words_once(spark, tmp_path):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan, plan
     assert made.count() > 1000
+
+
+def test_words_that_lie_by_document_are_not_shuffled(spark):
+    """Orders are shuffled by document before their words are made; then no exchange moves words or pages, and no join finds the excluded ones."""
+    for name in ("status_all", "status_c", "transactions_b"):
+        plan = own.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(doc_id" in plan and "LeftAnti" not in plan, name
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "page_no" in x.split("hashpartitioning(")[1].split(")")[0]], name
+
+
+def test_marks_of_excluded_pages(spark):
+    """A page without words, one with words, a null document and keys of another type; balances count on excluded pages, too."""
+    line = [(0, "PREVIOUS"), (1, "STATEMENT"), (2, "BALANCE"), (3, "$5.00")]
+    made = [(d, p, k, 10.0 * k, 10.0, 10.0 * k + 5, 18.0, t) for d, p in (("a", 1), ("a", 2), (None, 1)) for k, t in line]
+    words = spark.createDataFrame(made, "doc_id string, page_no int, word_no int, x0 double, y0 double, x1 double, y1 double, text string")
+    out = spark.createDataFrame([("a", 2), ("a", 7), (None, 1)], "doc_id string, page_no long")
+    held = layout.page_words(words, layout.PAGE, out)
+    assert held.schema["page_no"].dataType == words.schema["page_no"].dataType
+    left = {(r.doc_id, r.page_no): [w.word_no for w in r.ws] for r in layout.unmarked(held).collect()}
+    assert left == {("a", 1): [0, 1, 2, 3], (None, 1): [0, 1, 2, 3]}
+    both = [{tuple(r) for r in facts.printed_balances_in(t).collect()} for t in (held, layout.page_words(words))]
+    assert both[0] == both[1] and ("a", 5, None) in both[0]
