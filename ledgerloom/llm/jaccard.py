@@ -1,7 +1,13 @@
 """Near duplicates at a Jaccard similarity of 0.8 or more over word shingles, all of them.
 
-Method.  Texts with the same lower-case words are one node.  A node's shingles
-are put in one order for all nodes, rare ones first: by a table of ``COMMON``
+Method.  Texts with the same lower-case words are one node.  SimHash comes first
+(``simhash``: fingerprints, the grid of segment counts, at most 3 bits): nodes of one
+fingerprint, and each fingerprint with the least that it links to, are verified on
+all their shingles, and what holds is a link.  64 bits can't tell a similarity of 0.8,
+so the rest is found by a prefix filter, which is complete by itself and skips only pairs that
+the links so far already join.
+
+A node's shingles are put in one order for all nodes, rare ones first: by a table of ``COMMON``
 counters, to which a sample of the texts adds its shingles, then by hash.  The
 order changes the work, never the pairs.
 
@@ -57,6 +63,7 @@ from pyspark.sql import functions as F
 from ledgerloom.sources.storage import scratch_path
 
 from .common import apart, col, discard, fresh, materialize, steps
+from . import simhash
 from .components import components
 from .simhash import LOWER
 from .vechash import Words
@@ -253,7 +260,7 @@ def verified(pairs: DataFrame, held: DataFrame, size: int) -> DataFrame:
             again[1:] &= side[1:] == side[:-1]
             either = np.bincount(row[~like], minlength=b.num_rows)
             both = np.bincount(row[like & ~again], minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(5 * both >= 4 * either)], ["u", "v", "ok"])
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array((either > 0) & (5 * both >= 4 * either))], ["u", "v", "ok"])
 
     one, two = (held.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in "uv")
     return pairs.join(apart(one), "u").join(apart(two), "v").select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long, ok boolean")
@@ -349,9 +356,29 @@ def _roots(pairs: DataFrame) -> DataFrame:
     return materialize(components(pairs.select("u", "v")).withColumnRenamed("u", "node"))
 
 
-def supposed(buckets: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, or more, of the pairs of each bucket that can reach 0.8; a few tables of pairs."""
-    found = materialize(candidates(dealt(buckets.withColumn("label", F.col("node")), 0), forest=True))
+def like_fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
+    """(node, text) -> (u, v), u < v: nodes whose SimHash fingerprints link, to be verified.
+
+    A node goes with the least of its fingerprint, and that one with the least of the
+    least fingerprint that links to its own: no more pairs than twice the nodes, however crowded.
+    """
+    fps = materialize(simhash.fingerprints(texts, shingle, id_col="node").distinct())
+    least = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    ends = F.array(*(F.struct(F.col(a).alias("fp"), F.col(b).alias("other")) for a, b in ("uv", "vu")))
+    linked = simhash.links(least.select("fp")).select(F.explode(ends).alias("e")).groupBy("e.fp").agg(F.min("e.other").alias("other"))
+    same = fps.join(apart(least), "fp").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    near = linked.join(apart(least.withColumnRenamed("node", "a")), "fp").join(apart(least.select(F.col("fp").alias("other"), F.col("node").alias("b"))), "other").select("a", "b")
+    found = materialize(same.filter("a <> b").union(near).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    discard(fps)
+    discard(least)
+    return found
+
+
+def supposed(buckets: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest, or more, of the pairs of each bucket that can reach 0.8 and that the links ``known`` don't join; and those links."""
+    roots = _roots(known)
+    found = known.union(materialize(candidates(dealt(_labelled(buckets, roots), 0), forest=True)))
+    discard(roots)
     crowded = materialize(buckets.filter(F.col("size") > CHUNK))
     if not crowded.isEmpty():
         for level in range(1, LEVELS + 1):
@@ -390,7 +417,6 @@ def _links(texts: DataFrame, size: int) -> DataFrame:
     made = materialize(profiles(texts, size))
     buckets = buckets_of(made)
     discard(made)
-    found = materialize(supposed(buckets))
 
     def tried(pairs: DataFrame) -> DataFrame:
         held = ByNode(texts, pairs)
@@ -398,7 +424,12 @@ def _links(texts: DataFrame, size: int) -> DataFrame:
         held.drop()
         return out
 
-    checked = tried(found)
+    alike = like_fingerprints(texts)
+    known = materialize(tried(alike).filter("ok").select("u", "v"))
+    discard(alike)
+    found = materialize(supposed(buckets, known))
+    # Pairs of known links are true; only the others are left to verify.
+    checked = tried(found.join(apart(known), ["u", "v"], "left_anti")).union(known.withColumn("ok", F.lit(True)))
     good, bad = checked.filter("ok").select("u", "v"), checked.filter("not ok").select("u", "v")
     if not bad.isEmpty():
         # A pair can be hidden behind a failed link only if both its nodes are in that link's supposed component.

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from ledgerloom.llm import jaccard
 from ledgerloom.llm.common import ship
-from ledgerloom.llm.simhash import LOWER, WORD
+from ledgerloom.llm.simhash import LOWER, WORD, fingerprint
 
 SCHEMA = "doc_id long, text string, n_chars long"
 
@@ -220,3 +220,40 @@ def test_joins_of_buckets_are_shuffled(spark, tmp_path):
         assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans), plans
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_simhash_finds_its_links(spark, monkeypatch):
+    """Without candidates of the prefix filter, SimHash alone still drops the near copies within 3 bits, and only those that are alike."""
+    ship(spark)
+    r = random.Random(11)
+    bases = [[r.choice([f"w{k}" for k in range(3000)]) for _ in range(600)] for _ in range(12)]
+    texts = [" ".join(w) for b in bases for w in (b, [*b, "more"], [*b[:300], "x", *b[301:]], [r.choice(["y", w]) for w in b])]
+    # One fingerprint, but unlike five-word shingles; texts of fewer words than a shingle, too.
+    texts += [" ".join(["p"] * 100 + t) for t in (["a", "b"], ["c", "d"], ["e", "f"])] + ["p p p", "p p p p", "p p p p p", "", "q"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA).repartition(3)
+    fps = [fingerprint(t.encode()) for t in texts]
+    assert fps[48] == fps[49] == fps[50]
+    root = list(range(len(rows)))
+    sets = [_grams(t) for t in texts]
+    for a, b in combinations(range(len(rows)), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root = [root[a] if x == root[b] else x for x in root]
+    want = sorted({root.index(x) for x in root})
+    whole = _least(rows)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == whole
+    none = spark.createDataFrame([], "u long, v long")
+    monkeypatch.setattr(jaccard, "candidates", lambda blocks, forest: none)
+    got = sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == want and len(whole) <= len(got) < len(rows) - 12
+
+
+def test_crowded_fingerprints_make_few_pairs(spark):
+    """Many nodes of a few linked fingerprints: no more pairs than twice the nodes, and each linked node has one."""
+    ship(spark)
+    texts = [" ".join(["p"] * 400 + [f"a{k}", f"b{k % 7}"]) for k in range(300)]
+    table_ = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3)
+    fps = [fingerprint(t.encode()) for t in texts]
+    linked = {a for a in range(300) if any(a != b and (fps[a] ^ fps[b]).bit_count() <= 3 for b in range(300))}
+    pairs = [tuple(x) for x in jaccard.like_fingerprints(table_).collect()]
+    assert {n for p in pairs for n in p} == linked and len(linked) == 300 and len(set(pairs)) == len(pairs) < 600
