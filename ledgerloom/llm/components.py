@@ -2,13 +2,14 @@
 
 Each step keeps one row per edge; a star's centre is never gathered: its least
 neighbour comes from a partial aggregate and returns by a join, which adaptive
-execution can split.  Each round is written to the shared folder, and counted
-as it is written, so that a round is one job.
+execution can split.  Each round is written to the shared folder.  Edges that are
+stars need no round: that is one small aggregate, where a round that changes
+nothing would be six shuffles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, discard, materialize
@@ -28,11 +29,11 @@ def _rounds(edges: DataFrame, small: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges as a table, and their number and the sum of their hashes."""
-    seen = Observation()
-    found = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")))
-    return found, (seen.get["n"], seen.get["mark"])
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u > v) are stars: no node hangs on two others, or on one while others hang on it."""
+    up, down = (F.struct(F.col(c).alias("node"), F.lit(k).alias("up"), F.lit(1 - k).alias("down")) for c, k in (("u", 1), ("v", 0)))
+    nodes = edges.select(F.explode(F.array(up, down)).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+    return not nodes.agg(F.max((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,16 +42,14 @@ def components(edges: DataFrame) -> DataFrame:
     Nodes without a link aren't in the result.  Null ends are dropped; no edges
     give no rows.
     """
-    now, state = _written(
+    now = materialize(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), F.col("u").isNull().alias("a"), F.col("v").isNull().alias("b"))
         .filter("not a and not b and u <> v")
         .select("u", "v")
         .distinct()
     )
-    seen = None
-    while state[0] and state != seen:
-        seen, before = state, now
-        now, state = _written(_rounds(_rounds(before, small=False), small=True))
+    while not _settled(now):
+        now, before = materialize(_rounds(_rounds(now, small=False), small=True)), now
         discard(before)
     roots = now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()
     return now.select("u", F.col("v").alias("root")).union(roots)

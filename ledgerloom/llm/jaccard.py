@@ -24,7 +24,7 @@ Nodes that meet at a shingle are a bucket, if one leads.  Each has a bitmap of t
 its shingles' hashes; two bitmaps differ in at most as many bits as the sets
 have unlike shingles, so a pair beyond (n + m) / 9 can't reach 0.8.  Of the
 other pairs of a bucket a spanning forest is supposed to be links, through all the
-rounds below; then all of them are verified at once, on 128-bit hashes of all
+rounds below, each on top of the components so far; then all of them are verified at once, on 128-bit hashes of all
 their shingles.  Where a link of a supposed component failed, every pair that is
 left between verified components in the buckets of its nodes is verified too.  A
 group of many copies so yields about as many rows as it has members.  The texts of
@@ -352,7 +352,12 @@ class ByNode:
         discard(self.rows)
 
 
-def _roots(pairs: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame | None, pairs: DataFrame) -> DataFrame:
+    """(node, root) of ``pairs``, on top of what is joined already: known stars take fewer rounds than the pairs that made them."""
+    if roots is not None:
+        if pairs.isEmpty():
+            return roots
+        pairs = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(pairs.select("u", "v"))
     return materialize(components(pairs.select("u", "v")).withColumnRenamed("u", "node"))
 
 
@@ -374,26 +379,24 @@ def like_fingerprints(texts: DataFrame, shingle: int = 3) -> DataFrame:
     return found
 
 
-def supposed(buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest, or more, of the pairs of each bucket that can reach 0.8 and that the links ``known`` don't join; and those links."""
-    roots = _roots(known)
-    found = known.union(materialize(candidates(dealt(_labelled(buckets, roots), 0), forest=True)))
-    discard(roots)
+def supposed(buckets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v), and (node, root) with them: a spanning forest, or more, of the pairs of each bucket that can reach 0.8 and that ``known`` (node, root) doesn't join."""
+    found = materialize(candidates(dealt(_labelled(buckets, known), 0), forest=True))
+    roots = _joined(known, found)
     crowded = materialize(buckets.filter(F.col("size") > CHUNK))
-    if not crowded.isEmpty():
-        for level in range(1, LEVELS + 1):
-            roots = _roots(found)
-            one_each = materialize(heads(_labelled(crowded, roots)))
-            discard(roots)
-            if one_each.isEmpty():
-                break
-            found = found.union(materialize(candidates(dealt(one_each, level), forest=True)))
-            discard(one_each)
-        roots = _roots(found)
-        found = found.union(materialize(candidates(opposed(_labelled(crowded, roots)), forest=True)))
-        discard(roots)
+    one_each = None
+    for level in range(1, LEVELS + 2 if not crowded.isEmpty() else 1):
+        one_each = materialize(heads(_labelled(crowded, roots)))
+        if one_each.isEmpty():  # each crowded bucket is one component
+            break
+        last = level > LEVELS
+        more = materialize(candidates(opposed(_labelled(crowded, roots)) if last else dealt(one_each, level), forest=True))
+        found, before, roots = found.union(more), roots, _joined(roots, more)
+        discard(one_each)
+        if before is not roots and before is not known:
+            discard(before)
     discard(crowded)
-    return found.distinct()
+    return found.distinct(), roots
 
 
 @contextmanager
@@ -407,13 +410,13 @@ def small_batches(spark: SparkSession):
         spark.conf.set(BATCH_CONF, before)
 
 
-def links(texts: DataFrame, size: int) -> DataFrame:
-    """(node, text) -> (u, v): links whose components are those of all pairs at 0.8; all its jobs run in here."""
+def roots_of(texts: DataFrame, size: int) -> DataFrame:
+    """(node, text) -> (node, root) of the nodes that have a link: the components of all pairs at 0.8; all its jobs run in here."""
     with small_batches(texts.sparkSession):
-        return _links(texts, size)
+        return _roots_of(texts, size)
 
 
-def _links(texts: DataFrame, size: int) -> DataFrame:
+def _roots_of(texts: DataFrame, size: int) -> DataFrame:
     made = materialize(profiles(texts, size))
     buckets = buckets_of(made)
     discard(made)
@@ -425,31 +428,32 @@ def _links(texts: DataFrame, size: int) -> DataFrame:
         return out
 
     alike = like_fingerprints(texts)
-    known = materialize(tried(alike).filter("ok").select("u", "v"))
+    known = _joined(None, tried(alike).filter("ok"))
     discard(alike)
-    found = materialize(supposed(buckets, known))
-    # Pairs of known links are true; only the others are left to verify.
-    checked = tried(found.join(apart(known), ["u", "v"], "left_anti")).union(known.withColumn("ok", F.lit(True)))
-    good, bad = checked.filter("ok").select("u", "v"), checked.filter("not ok").select("u", "v")
+    # Pairs of known links are true, and joined: only the others are supposed, and left to verify.
+    found, roots = supposed(buckets, known)
+    if found.isEmpty():
+        discard(buckets)
+        return known
+    checked = tried(found)
+    bad = checked.filter("not ok").select("u", "v")
     if not bad.isEmpty():
         # A pair can be hidden behind a failed link only if both its nodes are in that link's supposed component.
-        roots, true = _roots(found), _roots(good)
+        true = _joined(known, checked.filter("ok"))
         doubtful = roots.join(apart(bad.select(F.col("u").alias("node")).distinct()), "node", "left_semi").select("root").distinct()
         nodes = roots.join(apart(doubtful), "root", "left_semi").select("node")
         open_ = buckets.join(apart(buckets.join(apart(nodes), "node", "left_semi").select("bucket").distinct()), "bucket", "left_semi")
         rest = materialize(candidates(opposed(_labelled(open_, true)), forest=False).join(apart(bad), ["u", "v"], "left_anti"))
-        good = good.union(tried(rest).filter("ok").select("u", "v"))
-        for t in (roots, true, rest):
-            discard(t)
-    discard(found)
+        roots = true if rest.isEmpty() else _joined(true, tried(rest).filter("ok"))
+        discard(rest)
     discard(buckets)
-    return good
+    return roots
 
 
 def components_of(docs: DataFrame, size: int = 5) -> DataFrame:
     """(node, root) of the nodes that have a link."""
     texts = docs.select(node_of(F.col("text")).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    return components(links(texts, size)).withColumnRenamed("u", "node")
+    return roots_of(texts, size)
 
 
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:

@@ -24,6 +24,8 @@ from .vechash import BLOCK, U, Words, mix
 
 BUCKETS = 1 << 14
 TRAIN_ROWS = 1500
+#: Columns of the training matrix that are squared at a time.
+COLUMNS = 1 << 10
 THRESHOLD = 0.35
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -90,14 +92,17 @@ def fit(texts: list[str], y: list[int]) -> Model:
     if len(set(y)) < 2:
         share = float(labels.mean()) if len(y) else 1.0
         return Model(np.zeros(BUCKETS, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    x = dense(texts)
-    scale = 1 / (np.sqrt((x**2).mean(0)) + 1e-3)
-    x *= scale
-    x /= np.sqrt(BUCKETS)
     held = np.arange(len(y)) % 5 == 4
     if len(set(labels[held])) < 2 or len(set(labels[~held])) < 2:
         held[:] = False
-    own, truth = x[~held], labels[~held]
+    # The one large array: rows to train on come first, so that both parts are views of it, and it is squared a few columns at a time.
+    order, cut = np.argsort(held, kind="stable"), int((~held).sum())
+    x, labels = dense([texts[k] for k in order]), labels[order]
+    back = np.argsort(order)
+    scale = np.concatenate([1 / (np.sqrt((x[back, a : a + COLUMNS] ** 2).mean(0)) + 1e-3) for a in range(0, BUCKETS, COLUMNS)])
+    x *= scale
+    x /= np.sqrt(BUCKETS)
+    own, truth = x[:cut], labels[:cut]
     theta, bias = np.zeros(BUCKETS, np.float32), 0.0
     weight = np.where(truth == 1, 0.5 / max(truth.mean(), 1e-3), 0.5 / max(1 - truth.mean(), 1e-3)).astype(np.float32)
     m, v = np.zeros(BUCKETS + 1, np.float32), np.zeros(BUCKETS + 1, np.float32)
@@ -108,7 +113,7 @@ def fit(texts: list[str], y: list[int]) -> Model:
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         theta -= step[:-1]
         bias -= float(step[-1])
-    pick = held if held.any() else ~held
+    pick = slice(cut if held.any() else 0, None)
     slope, shift = platt(x[pick] @ theta + bias, labels[pick])
     return Model(theta * scale / np.float32(np.sqrt(BUCKETS)), bias, slope, shift)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -68,3 +70,18 @@ def test_long_texts_are_judged():
     out = quality.judge(pa.RecordBatch.from_pydict({"text": [text, "", None]}), quality.fit([], []), quality.THRESHOLD)
     assert out["n_words"].tolist() == [1_600_000, 0, 0] and out["n_repeat_words"].tolist() == [1_600_000, 0, 0] and out["base_failed"].tolist() == [True, True, True]
     assert toxicity.fit([], []).score(pa.array([text])).tolist() == [0.0]
+
+
+def test_fitting_holds_one_matrix():
+    """The driver's memory while it fits: the training matrix once, not a square or a part of it beside it."""
+    r = random.Random(3)
+    texts = [" ".join(("good", "bad")[k % 3 == 0] + str(r.randrange(400)) for _ in range(60)) for k in range(400)]
+    tracemalloc.start()
+    try:
+        model = quality.fit(texts, [int(k % 3 > 0) for k in range(400)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.5 * 400 * quality.BUCKETS * 4
+    p = quality.probability(model, vechash.Words(pa.array(texts)))
+    assert all((x > 0.5) == (k % 3 > 0) for k, x in enumerate(p))

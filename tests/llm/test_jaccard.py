@@ -257,3 +257,22 @@ def test_crowded_fingerprints_make_few_pairs(spark):
     linked = {a for a in range(300) if any(a != b and (fps[a] ^ fps[b]).bit_count() <= 3 for b in range(300))}
     pairs = [tuple(x) for x in jaccard.like_fingerprints(table_).collect()]
     assert {n for p in pairs for n in p} == linked and len(linked) == 300 and len(set(pairs)) == len(pairs) < 600
+
+
+def test_components_start_from_those_before(spark, monkeypatch):
+    """Where SimHash has found all links, components are sought once; pairs beyond it go on top of the stars of those before."""
+    ship(spark)
+    asked, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda edges: asked.append(edges) or plain(edges))
+    r = random.Random(5)
+    bases = [[r.choice([f"w{k}" for k in range(3000)]) for _ in range(400)] for _ in range(4)]
+    rows = list(enumerate(" ".join(w) for b in bases for w in (b, [*b, "..."], [".", *b])))
+    fps = [fingerprint(t.encode()) for _, t in rows]
+    assert all(min((fps[k] ^ fps[j]).bit_count() for j in range(k // 3 * 3, k)) <= 3 for k in range(12) if k % 3)
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], SCHEMA)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, "").collect()) == _least(rows) == [0, 3, 6, 9]
+    assert len(asked) == 1
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node long, root long")
+    assert jaccard._joined(roots, roots.limit(0).selectExpr("node AS u", "root AS v")) is roots and len(asked) == 1
+    on_top = jaccard._joined(roots, spark.createDataFrame([(2, 6), (8, 9)], "u long, v long"))
+    assert {x.node: x.root for x in on_top.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8} and len(asked) == 2

@@ -75,3 +75,14 @@ def test_nothing_is_sent_through_the_driver(spark, tmp_path, monkeypatch):
         assert all("SortMergeJoin" in p and "Broadcast" not in p for p in plans), plans
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that are stars are components already; a path, or two centres of one node, aren't."""
+    rounds, plain = [], components._rounds
+    monkeypatch.setattr(components, "_rounds", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    for edges, some in (([(1, k) for k in range(2, 40)] + [(90, 50), (None, 3), (7, 7)], False), ([], False), ([(1, 2), (2, 3)], True), ([(3, 1), (3, 2)], True)):
+        rounds.clear()
+        got = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        ends = [e for e in edges if None not in e and e[0] != e[1]]
+        assert got == {x: min(e) if e == (90, 50) else 1 for e in ends for x in e} and bool(rounds) is some
