@@ -384,17 +384,25 @@ def supposed(buckets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame
     found = materialize(candidates(dealt(_labelled(buckets, known), 0), forest=True))
     roots = _joined(known, found)
     crowded = materialize(buckets.filter(F.col("size") > CHUNK))
-    one_each = None
-    for level in range(1, LEVELS + 2 if not crowded.isEmpty() else 1):
-        one_each = materialize(heads(_labelled(crowded, roots)))
-        if one_each.isEmpty():  # each crowded bucket is one component
-            break
+    level, one_each = 1 if not crowded.isEmpty() else LEVELS + 2, None
+    while level <= LEVELS + 1:
+        if one_each is None:
+            one_each = materialize(heads(_labelled(crowded, roots)))
+            if one_each.isEmpty():  # each crowded bucket is one component
+                break
         last = level > LEVELS
         more = materialize(candidates(opposed(_labelled(crowded, roots)) if last else dealt(one_each, level), forest=True))
         found, before, roots = found.union(more), roots, _joined(roots, more)
+        if before is not roots:
+            discard(one_each)
+            one_each = None
+            if before is not known:
+                discard(before)
+        # Without new pairs the heads are the same; where each bucket's have met in one chunk, so are the rounds before the last.
+        met = before is roots and not last and one_each.filter(F.col("size") > CHUNK).isEmpty()
+        level = LEVELS + 1 if met else level + 1
+    if one_each is not None:
         discard(one_each)
-        if before is not roots and before is not known:
-            discard(before)
     discard(crowded)
     return found.distinct(), roots
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
-from ledgerloom.llm import components, simhash
+from ledgerloom.llm import components, jaccard, simhash
 from ledgerloom.llm.common import ship
 from pyspark.sql import functions as F
 
@@ -86,3 +87,24 @@ def test_stars_need_no_round(spark, monkeypatch):
         got = {r.u: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
         ends = [e for e in edges if None not in e and e[0] != e[1]]
         assert got == {x: min(e) if e == (90, 50) else 1 for e in ends for x in e} and bool(rounds) is some
+
+
+@pytest.mark.parametrize("held", [1 << 18, 40])
+def test_tasks_join_their_own_edges(spark, monkeypatch, held):
+    """Long paths: one round (a large and a small star) where a task holds all edges, right components where it holds few."""
+    rounds, plain = [], components._rounds
+    monkeypatch.setattr(components, "_rounds", lambda *a, **k: rounds.append(1) or plain(*a, **k))
+    monkeypatch.setattr(components, "HELD", held)
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 16)
+    r = random.Random(7)
+    names = r.sample(range(-(10**12), 10**12), 600)
+    paths = [names[k : k + 200] for k in (0, 200, 400)]
+    edges = [(a, b) for p in paths for a, b in zip(p, p[1:], strict=False)] * 2
+    r.shuffle(edges)
+    want = {x: min(p) for p in paths for x in p}
+    with jaccard.small_batches(spark):
+        got = [tuple(x) for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()]
+    assert dict(got) == want and len(got) == 600
+    assert len(rounds) == 2 if held > len(edges) else len(rounds) > 2
+    u, v = components.stars(*(np.array(x) for x in zip(*edges, strict=True)))
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {k: x for k, x in want.items() if k != x} and len(u) == 597
