@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import contains_all, is_amount, normalize, parse_amount, strip, text_hash
+from ledgerloom.functions import contains_all, is_amount, let, normalize, parse_amount, strip, text_hash
+from ledgerloom.sources.storage import ship
 
+from .geometry import lines_with
 from .layout import PAGE, center_x, doc_key, line_text, lines_in, lines_of, page_key, page_words, with_start
 
 # Wording of printed totals and balances.
 TOTAL_OUT = r"(?i)total(?U:\s)+funds(?U:\s)+out(?U:\s)+([0-9,]+\.[0-9]{2})"
 TOTAL_IN = r"(?i)total(?U:\s)+funds(?U:\s)+in(?U:\s)+([0-9,]+\.[0-9]{2})"
 PREVIOUS, NEW = "previous statement balance", "total new balance"
+#: A word of any line with one of them holds this.
+BALANCE = "balance"
 LEFT_PANEL = 350.0
 TABLE_ENDS = ("total new balance", "td message centre")
 
@@ -48,6 +54,30 @@ def printed_balances_in(pages: DataFrame, tolerance: float | Column = 2.5) -> Da
     return found.groupBy(*doc_key(found)).agg(*(F.max_by("v", F.when(k, F.col("at"))).alias(n) for k, n in ((previous, "previous_balance"), (~previous, "new_balance"))))
 
 
+def document_facts(pages: DataFrame) -> DataFrame:
+    """(profile_id, doc_id, characters, read_error, printed totals and balances) of pages with ``page_text``, ``ws``, ``dialect`` and ``tolerance``, in one pass.
+
+    The rules of ``printed_totals`` in dialect B, of ``printed_balances`` in C; null elsewhere.
+    """
+    d, text = F.col("dialect"), F.col("page_text")
+    read_error = F.col("read_error") if "read_error" in pages.columns else F.lit(None).cast("string")
+    ship(pages.sparkSession)
+    lines = lines_with(F.when(d == "C", F.col("ws")), F.col("tolerance"), LEFT_PANEL, BALANCE).alias("lines")
+    read = pages.select(*page_key(pages), F.length(strip(text)).alias("characters"), read_error.alias("read_error"), *(parse_amount(F.regexp_extract(F.when(d == "B", text), p, 1)).alias(n) for p, n in ((TOTAL_OUT, "total_out"), (TOTAL_IN, "total_in"))), lines)
+
+    def value(x: Column) -> Column:
+        v = parse_amount(F.try_element_at(F.filter(x["words"], is_amount), F.lit(-1)))
+        return let(F.lower(normalize(F.array_join(x["words"], " "))), lambda low: F.struct(F.contains(low, F.lit(PREVIOUS)).alias("previous"), F.contains(low, F.lit(NEW)).alias("new"), v.alias("v")))
+
+    def last(pick: Callable[[Column], Column]) -> Column:
+        return F.try_element_at(F.filter("values", lambda x: pick(x) & x["v"].isNotNull()), F.lit(-1))["v"]
+
+    valued = read.withColumn("values", F.transform("lines", value)).withColumns({"previous_balance": last(lambda x: x["previous"]), "new_balance": last(lambda x: x["new"] & ~x["previous"])})
+    printed = ("total_out", "total_in", "previous_balance", "new_balance")
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("page_no"))).alias(c) for c in printed]
+    return valued.groupBy(*doc_key(valued)).agg(F.sum("characters").alias("characters"), F.first("read_error", ignorenulls=True).alias("read_error"), *latest)
+
+
 def page_stats(pages: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, page_no, text_characters, positioned_words, images, text_hash); ``pages`` may carry ``images``."""
     images = F.col("images") if "images" in pages.columns else F.lit(0)

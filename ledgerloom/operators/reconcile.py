@@ -82,7 +82,7 @@ def _error(dialect: str, display_name: str | Column, headers: Sequence[str] | Co
     return error.when(missing, text).when(lacks.isNotNull(), F.concat(F.lit("Unexpected error: '"), lacks, F.lit("'"))).when(wrong, apart)
 
 
-def _beside(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+def beside(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     """A join of what is known of the same documents.
 
     Two keys are joined as a struct, which is never null: else Spark filters nulls on
@@ -108,9 +108,15 @@ def statement_status(
     read_error = F.first("read_error", ignorenulls=True) if "read_error" in pages.columns else F.lit(None).cast("string")
     key = doc_key(pages)
     docs = pages.groupBy(*key).agg(F.sum(F.length(strip(F.col("page_text")))).alias("characters"), read_error.alias("read_error"))
-    all_ = _beside(docs, statement_sums(rows))
+    all_ = beside(docs, statement_sums(rows))
     if facts is not None:
-        all_ = _beside(all_, facts)
+        all_ = beside(all_, facts)
+    return judged(all_, dialect, display_name, headers, profiles)
+
+
+def judged(all_: DataFrame, dialect: str | Column, display_name: str | Column = "", headers: Sequence[str] | Column | None = None, profiles: DataFrame | None = None) -> DataFrame:
+    """``statement_status`` of documents that have their facts and sums beside them."""
+    key = doc_key(all_)
     if profiles is not None:
         all_ = all_.join(F.broadcast(profiles), PROFILE)
     error = by_dialect(dialect, lambda d: _error(d, display_name, headers))
@@ -134,10 +140,10 @@ def accept(rows: DataFrame, dialect: str | Column, facts: DataFrame | None = Non
     if dialect != "A" if isinstance(dialect, str) else True:
         named = [c for c in SUMS if c in rows.columns and (not isinstance(dialect, str) or c in SUMMED[dialect])]
         sums = {f"__{c}": F.coalesce(F.sum(F.when(F.col(c) != "", parse_amount(F.col(c)))).over(of), F.lit(0)).cast(MONEY) for c in named}
-        beside = _beside(rows.withColumns(sums), facts)
+        joined = beside(rows.withColumns(sums), facts)
         right = by_dialect(dialect, lambda d: unnamed(d, headers).isNull() & reconciles(d, {c: F.col(f"__{c}") for c in SUMMED[d]}))
-        kept = beside.filter(right).select(*rows.columns)
-    return kept if unreadable is None else _beside(kept, unreadable, "left_anti")
+        kept = joined.filter(right).select(*rows.columns)
+    return kept if unreadable is None else beside(kept, unreadable, "left_anti")
 
 
 def accepted(rows: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import export_amount, is_amount, is_lenient_date, is_strict_date, lenient_date, normalize, repair_activity
+from ledgerloom.functions import export_amount, is_amount, is_lenient_date, is_strict_date, lenient_date, let, normalize, repair_activity
+from ledgerloom.sources.storage import ship
 
+from .geometry import table_cells
 from .layout import PAGE, by_dialect, cells_of, lines_in, page_key, page_words, region, unmarked, with_heading
 
 COLUMNS = {
@@ -49,8 +51,8 @@ def table_lines(words: DataFrame, dialect: str, tolerance: float = 2.5, excluded
     return table_lines_in(unmarked(page_words(words, PAGE, excluded)), dialect, tolerance)
 
 
-def _kind(low: Column, dialect: str) -> Column:
-    c = [F.get("cells", F.lit(k)) for k in range(len(COLUMNS[dialect]))]
+def _kind(low: Column, dialect: str, cells: str | Column = "cells") -> Column:
+    c = [F.get(cells, F.lit(k)) for k in range(len(COLUMNS[dialect]))]
     none = F.lit(True)
     if dialect == "A":
         kind = (
@@ -142,6 +144,49 @@ def stitch(attached: DataFrame, dialect: str | Column) -> DataFrame:
     return rows.select(*key, "line_no", *own, *(by_dialect(dialect, lambda d, n=n: _texts(d).get(n, none)).alias(n) for n in names))
 
 
+def _attached(lines: Column, dialect: Column, gap: Column) -> Column:
+    """``attach`` of a page's lines with their kinds, as a fold: the lines that belong to a transaction, each row with its continuations after it."""
+    ends = dialect == "A"
+    line = "struct<line_no:int,kind:string,cells:array<string>>"
+    start = F.struct(F.array().cast(f"array<{line}>").alias("out"), *(F.lit(v).cast(t).alias(n) for n, v, t in (("some", False, "boolean"), ("last_y", None, "double"), ("lost", False, "boolean"), ("stop", False, "boolean"))))
+
+    def step(a: Column, x: Column) -> Column:
+        kind, y = x["kind"], x["y"]
+        some = a["some"] | (kind == "T")
+        far = F.coalesce(y - a["last_y"] > gap, F.lit(False)) & F.when(ends, ~kind.isin("T", "S") & some).otherwise(kind == "C")
+        lost = F.when(~ends & kind.isin("T", "B"), False).otherwise(a["lost"]) | far
+        kept = ~lost & kind.isin("T", "C") & some
+        out = F.when(kept, F.concat(a["out"], F.array(F.struct(x["line_no"].alias("line_no"), kind.alias("kind"), x["cells"].alias("cells"))))).otherwise(a["out"])
+        last_y = F.when(~ends | (kind == "T") | ((kind == "C") & some), y).otherwise(a["last_y"])
+        next_ = F.struct(out.alias("out"), some.alias("some"), last_y.alias("last_y"), lost.alias("lost"), F.lit(False).alias("stop"))
+        return F.when(a["stop"] | ~(ends | kind.isin("T", "B", "C", "X")), a).when(kind == "X", a.withField("stop", F.lit(True))).otherwise(next_)
+
+    return F.aggregate(lines, start, step, lambda a: a["out"])
+
+
+def transactions_of(pages: DataFrame) -> DataFrame:
+    """``transactions_in`` of pages with ``profile_id``, ``dialect``, ``tolerance`` and ``gap``, none of them marked, without an exchange.
+
+    Lines and cells are found for many pages at once (``geometry``), kinds, stops, gaps
+    and stitching on each page's row, so that no line leaves it.
+    """
+    ship(pages.sparkSession)
+    key, own, dialect = page_key(pages), own_columns(pages), F.col("dialect")
+    lined = pages.select(*key, *own, table_cells(F.col("ws"), dialect, F.col("tolerance")).alias("lines"))
+
+    def kind(cells: Column) -> Column:
+        return let(F.lower(normalize(F.array_join(cells, " "))), lambda low: F.when(low != "", by_dialect(dialect, lambda d: _kind(low, d, cells))))
+
+    kinds = F.filter(F.transform("lines", lambda x: x.withField("kind", kind(x["cells"]))), lambda x: x["kind"].isNotNull())
+    held = lined.select(*key, *own, _attached(kinds, dialect, F.col("gap")).alias("held"))
+    starts = held.withColumn("starts", F.filter(F.transform("held", lambda x, i: F.when(x["kind"] == "T", i)), lambda i: i.isNotNull()))
+    whole = F.transform("starts", lambda s, j: F.slice("held", s + 1, F.coalesce(F.get("starts", j + 1), F.size("held")) - s))
+    # An outer explosion: for an inner one Spark adds a filter on the array, and all below would be evaluated twice.
+    each = starts.select(*key, *own, F.explode_outer(whole).alias("p")).filter("p is not null")
+    none = F.lit(None).cast("string")
+    return each.select(*key, F.col("p")[0]["line_no"].alias("line_no"), *own, *(by_dialect(dialect, lambda d, n=n: _texts(d).get(n, none)).alias(n) for n in ALL_COLUMNS))
+
+
 def transactions_in(pages: DataFrame, dialect: str | Column, tolerance: float | Column = 2.5, gap: float | Column = 18.0) -> DataFrame:
     """The transactions of ``layout.page_words``; pages that are marked there give none."""
     return stitch(attach(classify(table_lines_in(unmarked(pages), dialect, tolerance), dialect), dialect, gap), dialect)
