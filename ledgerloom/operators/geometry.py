@@ -130,7 +130,7 @@ def _windows(dialect: str, bits: list[int], funds: list[int]) -> list[tuple[int,
 
 
 def _anchors(dialect: str, near: list[tuple], low: dict[int, str]):
-    """(cuts, right edge, bottom) of a window's words (number, x0, y, word_no, x1, y1, center), null as None; None if it has no whole heading."""
+    """(cuts, right edge, bottom) of a window's words (number, x0, x1, y1, center), null as None; None if it has no whole heading."""
 
     def first(*tokens: str):
         return next((w for w in near if low.get(w[0]) in tokens), None)
@@ -148,8 +148,8 @@ def _anchors(dialect: str, near: list[tuple], low: dict[int, str]):
     cuts = [w[1] if w else None for w in picked]
     if None in cuts or any(a > b for a, b in zip(cuts, cuts[1:])):  # noqa: B905
         return None
-    right = picked[-1][4] + MARGIN if dialect == "C" and picked[-1][4] is not None else None
-    bottoms = [w[5] for w in near if w[5] is not None and (right is None or (w[6] is not None and w[6] < right))]
+    right = picked[-1][2] + MARGIN if dialect == "C" and picked[-1][2] is not None else None
+    bottoms = [w[3] for w in near if w[3] is not None and (right is None or (w[4] is not None and w[4] < right))]
     return cuts, right, max(bottoms) if bottoms else None
 
 
@@ -170,19 +170,22 @@ def _heads(w: _Words, dialects: list[str], tolerance: np.ndarray) -> dict[int, t
     begin = np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(line))
     low = dict(zip(hit.tolist(), [lows[c] for c in code.tolist()], strict=True))
     first = np.searchsorted(of, np.arange(len(dialects) + 1))
+    shown = [sorted_.tolist()]
+    for v, none in ((w.x0, w.no_x0), (w.x1, w.no_x1), (w.y1, w.no_y1), (w.center, w.no_center)):
+        column = v[sorted_].tolist()
+        for k in np.flatnonzero(none[sorted_]).tolist():
+            column[k] = None
+        shown.append(column)
+    begin, first = begin.tolist(), first.tolist()
     found = {}
     for p in np.unique(w.page[hit]).tolist():
         d = dialects[p]
         if d not in CELLS:
             continue
-        a, b = int(first[p]), int(first[p + 1])
+        a, b = first[p], first[p + 1]
         for i, size in _windows(d, bits[a:b].tolist(), funds[a:b].tolist()):
-            at = sorted_[begin[a + i] : begin[a + i + size]]
-
-            def shown(v: np.ndarray, none: np.ndarray, at: np.ndarray = at) -> list:
-                return [None if x else y for x, y in zip(none[at].tolist(), v[at].tolist(), strict=True)]
-
-            near = list(zip(at.tolist(), shown(w.x0, w.no_x0), shown(w.y, w.no_y), w.no[at].tolist(), shown(w.x1, w.no_x1), shown(w.y1, w.no_y1), shown(w.center, w.no_center), strict=True))
+            at = slice(begin[a + i], begin[a + i + size])
+            near = list(zip(*(c[at] for c in shown), strict=True))
             head = _anchors(d, near, low)
             if head:
                 found[p] = head

@@ -175,7 +175,8 @@ def transactions_of(pages: DataFrame) -> DataFrame:
     lined = pages.select(*key, *own, table_cells(F.col("ws"), dialect, F.col("tolerance")).alias("lines"))
 
     def kind(cells: Column) -> Column:
-        return let(F.lower(normalize(F.array_join(cells, " "))), lambda low: F.when(low != "", by_dialect(dialect, lambda d: _kind(low, d, cells))))
+        # Cells are normalized, so without empty ones their join is, too.
+        return let(F.lower(F.array_join(F.array_remove(cells, ""), " ")), lambda low: F.when(low != "", by_dialect(dialect, lambda d: _kind(low, d, cells))))
 
     kinds = F.filter(F.transform("lines", lambda x: x.withField("kind", kind(x["cells"]))), lambda x: x["kind"].isNotNull())
     held = lined.select(*key, *own, _attached(kinds, dialect, F.col("gap")).alias("held"))
